@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op6_decontaminate
+from .tokens import op7_token_records
 
-QUERIES = {f.__name__: f for f in (op6_decontaminate,)}
+QUERIES = {f.__name__: f for f in (op6_decontaminate, op7_token_records)}
 ORACLE_SQL: dict[str, str] = {}
