@@ -7,6 +7,7 @@ from .fuzzyhash import op3_fuzzy_hash
 from .mixing import op4_mix_sources
 from .quality import op5_quality
 from .tokens import op7_token_records
+from .warc import op1_warc
 
-QUERIES = {f.__name__: f for f in (op3_fuzzy_hash, op4_mix_sources, op5_quality, op6_decontaminate, op7_token_records)}
+QUERIES = {f.__name__: f for f in (op1_warc, op3_fuzzy_hash, op4_mix_sources, op5_quality, op6_decontaminate, op7_token_records)}
 ORACLE_SQL: dict[str, str] = {}
