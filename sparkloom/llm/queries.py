@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op6_decontaminate
+from .fmindex import op8_substring_dedup
 from .fuzzyhash import op3_fuzzy_hash
 from .mixing import op4_mix_sources
 from .neardup import op10_near_duplicates
@@ -10,5 +11,5 @@ from .quality import op5_quality
 from .tokens import op7_token_records
 from .warc import op1_warc
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_fuzzy_hash, op4_mix_sources, op5_quality, op6_decontaminate, op7_token_records, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_warc, op3_fuzzy_hash, op4_mix_sources, op5_quality, op6_decontaminate, op7_token_records, op8_substring_dedup, op10_near_duplicates)}
 ORACLE_SQL: dict[str, str] = {}
