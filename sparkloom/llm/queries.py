@@ -8,9 +8,10 @@ from .fuzzyhash import op3_fuzzy_hash
 from .induced import op9_suffix_dedup
 from .mixing import op4_mix_sources
 from .neardup import op10_near_duplicates
+from .pseudonyms import op2_pseudonyms
 from .quality import op5_quality
 from .tokens import op7_token_records
 from .warc import op1_warc
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_fuzzy_hash, op4_mix_sources, op5_quality, op6_decontaminate, op7_token_records, op8_substring_dedup, op9_suffix_dedup, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_pseudonyms, op3_fuzzy_hash, op4_mix_sources, op5_quality, op6_decontaminate, op7_token_records, op8_substring_dedup, op9_suffix_dedup, op10_near_duplicates)}
 ORACLE_SQL: dict[str, str] = {}
