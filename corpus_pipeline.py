@@ -1,14 +1,76 @@
-"""The corpus pipeline: stages are added as their operators arrive."""
+"""The corpus pipeline: quality filter, near-duplicates, decontamination, mixing, token records.
+
+Every stage takes (spark, docs, sf_dir), reads all of ``docs`` and returns a DataFrame.
+All but the last return the columns of ``documents``; each stage's result is written as
+Parquet and read again as the next one's ``docs``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from sparkloom.llm import common, decontaminate as clean, mixing, neardup, quality as classifier, tokens
+
+#: Documents are rejected below this score. Where the classes are this uneven, 0.5 is the
+#: calibrated point at which a document is as likely bad as good.
+LEAST_SCORE = 0.5
+#: SQL can't express compression, MinHash or tokenizers; tests compare run() with plain loops.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Applies the stages to ``documents``."""
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that the compression classifier doesn't reject. It learns from labelled documents of this stage's input."""
+    model = classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return classifier.score_quality(docs, model).where(F.col("_score") >= LEAST_SCORE).drop("_score")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group of near-duplicates, and of repeated rows one."""
+    kept = neardup.near_duplicates(docs).where("kept").select("doc_id", "node").distinct()
+    one = docs.dropDuplicates(["doc_id", "text"])
+    return one.join(kept.select("doc_id").distinct(), one.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a passage of the benchmark."""
+    marked = clean.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return marked.where("_n_hit = 0").select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats, keeps or leaves out documents as their source's target asks, in the order of their training positions.
+
+    A document that the mix takes p times is p rows. One that it takes in part counts
+    as a whole row. A document that it leaves out goes.
+    """
+    size = mixing.words("text")
+    sized = docs.select("*", size.alias("_size"), F.xxhash64("doc_id", "text").alias("_key"))
+    light = mixing.mix_sources(sized.select("doc_id", "source", "_size", "_key"), "_size", key=F.col("_key"))
+    places = light.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), F.explode("_positions").alias("_at"))
+    rows = sized.join(places, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")))
+    return rows.orderBy("_at", "doc_id").select(*docs.columns)
+
+
+def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes all rows as token records and returns what the files hold."""
+    return tokens.token_records(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("near-duplicates", near_duplicates),
+    ("decontamination", decontaminated),
+    ("mixing", mixed),
+    ("token records", token_records),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to ``documents``, writing each result to the shared folder."""
+    out = common.work_dir(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = common.keep(docs, f"{out}/{k}")
     return docs
