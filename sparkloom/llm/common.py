@@ -6,6 +6,7 @@ table or file in the folder that ``spark.checkpoint.dir`` names, never executor-
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -72,6 +73,32 @@ def keep(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_bucketed(df: DataFrame, path: str, key: str) -> tuple[DataFrame, str]:
+    """Writes a table in buckets of ``key``, so that later joins on it don't move its rows; returns it and its name."""
+    spark, name = df.sparkSession, f"sparkloom_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", path).bucketBy(n, key).saveAsTable(name)
+    return spark.table(name), name
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Deletes written tables that no later step reads."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more.
+
+    It acts on the driver's garbage collection, which a large heap may put off for hours
+    while executors' disks fill.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def file_system(uri: str):
     """The pyarrow file system of a URI and the path on it; works for local, HDFS and object stores."""
     from pyarrow import fs

@@ -11,9 +11,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER, blocks_of_rows, gram_hashes, keep, mix, ship, slice_texts, utf8, word_hashes, word_spans, work_dir
+from .common import blocks_of_rows, drop, gram_hashes, keep, mix, release, ship, slice_texts, utf8, word_hashes, word_spans, work_dir
 
 #: Words of a shingle, and the least similarity of a link, in hundredths.
 SHINGLE, PERCENT = 5, 75
@@ -21,8 +21,8 @@ SHINGLE, PERCENT = 5, 75
 REGISTERS, ROWS = 128, 4
 #: Standard deviations that an estimate may lie below the threshold.
 SLACK = 5.0
-#: Members of a bucket that are compared with all others in one round.
-PIVOTS = 64
+#: Texts on each side of a block that is compared in one go.
+BLOCK_ROWS = 256
 _A = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(1001, REGISTERS + 1001, dtype=np.uint64))
 
@@ -95,14 +95,15 @@ def _signatures(text: str):
 
 
 def _bands(batches):
+    """Of batches (node, n_shingles, regs): a row for each band."""
     salt = mix(np.arange(5001, 5001 + REGISTERS // ROWS, dtype=np.uint64))
     for b in batches:
-        data, offsets = utf8(b.column(1))
-        regs = data.view(np.uint16).reshape(-1, REGISTERS) if len(data) else np.zeros((0, REGISTERS), np.uint16)
-        key = regs.reshape(len(regs), -1, ROWS).astype(np.uint64)
+        data, _ = utf8(b.column(2))
+        key = data.view(np.uint16).reshape(len(b), -1, ROWS).astype(np.uint64)
         h = sum((key[:, :, k] << np.uint64(16 * k) for k in range(ROWS)), np.uint64(0))
         h = mix(h + salt)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), len(salt)), pa.int64()), pa.array(h.reshape(-1).view(np.int64))], ["node", "band"])
+        each = lambda k: pa.array(np.repeat(b.column(k).to_numpy(zero_copy_only=False), len(salt)), pa.int64())
+        yield pa.RecordBatch.from_arrays([each(0), each(1), pa.array(h.reshape(-1).view(np.int64))], ["node", "n", "band"])
 
 
 def shingle_set(text: bytes, size: int = SHINGLE) -> set[bytes]:
@@ -123,20 +124,126 @@ def components(edges: DataFrame, out: str) -> DataFrame:
 
     Each round is written to ``out``, so a lost executor costs one round at most.
     """
+    spark = edges.sparkSession
     state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).first())
-    now = keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{out}/0")
+    now = keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), f"{out}/0")
     before, k = None, 0
     while (after := state(now)) != before and after[0]:
         before, k = after, k + 1
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).distinct()
         now = keep(small, f"{out}/{k}")
+        drop(spark, f"{out}/{k - 1}")
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp"))
 
 
+def _shingles(batches):
+    """Of batches (node, text, c): the hash of each distinct shingle."""
+    for b in batches:
+        data, offsets = utf8(b.column(1))
+        nodes, comps = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+        for i, j in blocks_of_rows(offsets, 1 << 17):
+            part = offsets[i : j + 1]
+            x, to = shingle_hashes(data[part[0] : part[-1]], part - part[0])
+            found = [np.unique(x[to[k] : to[k + 1]]) for k in range(j - i)]
+            each = [len(u) for u in found]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes[i:j], each)), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(comps[i:j], each))], ["node", "shingle", "c"])
+
+
+def _promising(members: DataFrame, comp: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Of buckets that aren't connected, the members that can have a link to another one at all: (band, node, c).
+
+    A new link joins two components, so a shingle that only one component has is in no
+    intersection that counts. With n shingles, u of them such ones, and partners of at least
+    m, a link needs n - u >= p / (1 + p) * (n + m). The test is exact: it spares comparing
+    loose copies of a text, which share bands with all others but are linked with none.
+    """
+    now = members.join(comp, "node", "left").select("band", "pivot", "node", "n", F.coalesce("comp", "node").alias("c"))
+    opened = now.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("floor")).where("lo <> hi").select("band", "floor")
+    now = now.join(opened, "band")
+    nodes = now.groupBy("node").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.min("floor").alias("floor"))
+    shingles = texts.join(nodes.select("node", "c"), "node").select("node", "text", "c").mapInArrow(_shingles, "node long, shingle long, c long")
+    lone = shingles.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo = hi").select("shingle")
+    lone = shingles.join(lone, "shingle").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
+    least = F.greatest(F.col("floor"), F.ceil(F.col("n") * percent / 100))
+    able = (100 + percent) * (F.col("n") - F.coalesce("u", F.lit(0))) >= percent * (F.col("n") + least)
+    alive = nodes.join(lone, "node", "left").where(able).select("node")
+    return now.select("band", "node", "c").join(alive, "node")
+
+
+def _compared(percent: int):
+    """Of one block (node, c, text, query): links between its queries and its other texts, of different components c.
+
+    Of a pair of components one link is enough. Overlaps are counted on hashes, as bits of
+    the shingles that more than one text has; what passes is confirmed on the shingles.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        t = table.combine_chunks()
+        query = t.column("query").to_numpy(zero_copy_only=False).astype(bool)
+        nodes, comps = (t.column(k).to_numpy() for k in ("node", "c"))
+        data, offsets = utf8(t.column("text"))
+        x, to = shingle_hashes(data, offsets)
+        sets = [np.unique(x[a:b]) for a, b in zip(to[:-1].tolist(), to[1:].tolist())]
+        sizes = np.array([len(u) for u in sets], np.int64)
+        values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = np.cumsum(counts > 1) - 1
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        on = counts[inverse] > 1
+        bits = np.zeros((len(sets), (int(shared[-1]) + 64) // 64 * 8 + 8), np.uint8)
+        column = shared[inverse[on]]
+        np.bitwise_or.at(bits, (owner[on], column >> 3), np.left_shift(1, column & 7).astype(np.uint8))
+        words = bits.view(np.uint64)
+        up: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while (n := up.get(c, c)) != c:
+                c = n
+            return c
+
+        texts, made, found = list(slice_texts(data, offsets)), {}, []
+        of = lambda k: made[k] if k in made else made.setdefault(k, shingle_set(texts[k]))
+        rest = np.flatnonzero(~query)
+        for q in np.flatnonzero(query).tolist():
+            both = np.bitwise_count(words[rest] & words[q]).sum(1, dtype=np.int64)
+            close = rest[(100 * both >= percent * (sizes[rest] + sizes[q] - both)) & (comps[rest] != comps[q])]
+            for k in close.tolist():
+                a, b = top(int(comps[q])), top(int(comps[k]))
+                if a != b and linked(of(q), of(k), percent):
+                    up[max(a, b)] = min(a, b)
+                    found.append((int(nodes[q]), int(nodes[k])))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return run
+
+
+def _blocks(members: DataFrame, texts: DataFrame, out: str) -> DataFrame:
+    """(h, r, q, node, c, text, query): blocks in which all pairs of different components in one bucket meet.
+
+    A node's home h is the component that is largest in a bucket of its. In each bucket the nodes outside its
+    largest component are queries to the homes of all its nodes. A home's nodes and queries
+    are dealt over blocks of about BLOCK_ROWS each.
+    """
+    sizes = members.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k"))
+    sizes = sizes.groupBy("band").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("all")).where("all > top.k").select("band", F.col("top.c").alias("largest"))
+    placed = keep(members.join(sizes, "band").withColumn("inside", F.col("c") == F.col("largest")), f"{out}/placed")
+    home = placed.groupBy("node").agg(F.first("c").alias("c"), F.max("inside").alias("inside"), F.min("largest").alias("m"))
+    home = keep(home.select("node", "c", F.when(F.col("inside"), F.col("c")).otherwise(F.col("m")).alias("h")), f"{out}/home")
+    homes = placed.select("band", "node").join(home.select("node", "h"), "node").select("band", "h").distinct()
+    asked = placed.where("not inside").select("band", "node", "c").join(homes, "band").select("node", "c", "h").distinct()
+    asked = keep(asked, f"{out}/asked")
+    per = lambda df, c: df.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(c))
+    counts = per(home, "nr").join(per(asked, "nq"), "h")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    rows = home.join(counts, "h").select("h", own("nr").alias("r"), each("nq").alias("q"), "node", "c", F.lit(False).alias("query"))
+    queries = asked.join(counts, "h").select("h", each("nr").alias("r"), own("nq").alias("q"), "node", "c", F.lit(True).alias("query"))
+    return rows.unionAll(queries).join(texts, "node")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """Adds, for each row of ``docs``: doc_id, n_shingles, component_id, kept and node (the class of equal shingle sets).
 
@@ -146,9 +253,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     different. The component's id is its smallest doc_id; an empty table stays empty.
 
     Only one row of a class goes on. In a band's bucket all members are compared with
-    the least one; a bucket whose members aren't all connected then is compared
-    with PIVOTS more members at a time, until it is connected or all its pairs that
-    aren't connected have been compared. So copies cost no pairs, and no pair is lost.
+    the least one. In a bucket that isn't all connected then, members whose shingles
+    rule out any link are put aside, and those outside its largest component are
+    compared, in blocks, with all that share a bucket with them. So copies cost no
+    pairs, no pair is lost, and only links are given out.
     """
     spark = ship(docs.sparkSession)
     out = work_dir(spark)
@@ -159,13 +267,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     reps = full.join(firsts.select("node", F.col("f.doc_id").alias("d"), F.col("f.h").alias("g")), "node").where("doc_id <=> d and h = g")
     reps = keep(reps.select("node", "regs", "n_shingles", "doc_id", "h"), f"{out}/classes")
 
-    bands = reps.select("node", "regs").mapInArrow(_bands, "node long, band long")
+    bands = reps.select("node", "n_shingles", "regs").mapInArrow(_bands, "node long, n long, band long")
     shared = bands.groupBy("band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "pivot")
     members = keep(bands.join(shared, "band"), f"{out}/members")
-    involved = members.select("node").distinct()
-    chosen = keep(reps.join(involved, "node").dropDuplicates(["node"]), f"{out}/involved")
-    texts = keep(rows.join(chosen.select("node", F.col("doc_id").alias("d"), F.col("h").alias("g")), F.expr("doc_id <=> d and h = g")).dropDuplicates(["node"]).select("node", "text"), f"{out}/texts")
-    light = chosen.select("node", "n_shingles", "regs")
+    release(spark)
+    chosen = reps.join(members.select("node"), "node", "left_semi")
+    wanted = chosen.select("node", F.col("doc_id").alias("d"), F.col("h").alias("g"))
+    texts = rows.join(wanted, F.expr("h = g and doc_id <=> d")).dropDuplicates(["g", "node"])
+    texts = keep(texts.select("node", "text"), f"{out}/texts")
+    light = keep(chosen.select("node", "n_shingles", "regs").dropDuplicates(["node"]), f"{out}/involved")
+    release(spark)
 
     def likely(batches):
         low = percent / 100 - SLACK * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
@@ -194,28 +305,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         some = some.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
         return keep(some.select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long"), path)
 
-    tested = keep(members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), f"{out}/tested-0")
-    links = verify(tested, f"{out}/links-0")
+    links = verify(members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), f"{out}/links-0")
     comp = keep(components(links, f"{out}/components-0"), f"{out}/comp-0")
-    k = 0
-    while True:
-        k += 1
-        now = members.join(comp, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("c"))
-        opened = now.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).where(f"lo <> hi and size > {PIVOTS * (k - 1) + 1}").select("band")
-        now = now.join(opened, "band")
-        ranked = keep(now.withColumn("at", F.row_number().over(W.partitionBy("band").orderBy("node"))), f"{out}/open-{k}")
-        pivots = ranked.where((F.col("at") > PIVOTS * (k - 1)) & (F.col("at") <= PIVOTS * k)).select("band", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("at").alias("pat"))
-        pairs = pivots.join(ranked, "band").where("at > pat and c <> cb").select(F.col("node").alias("a"), "b").distinct()
-        fresh = keep(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), f"{out}/tested-{k}")
-        if fresh.isEmpty():
-            if ranked.where(f"at > {PIVOTS * k + 1}").isEmpty():
-                break
-            continue
-        tested = tested.unionAll(fresh)
-        more = verify(fresh, f"{out}/links-{k}")
-        if not more.isEmpty():
-            links = links.unionAll(more)
-            comp = keep(components(links, f"{out}/components-{k}"), f"{out}/comp-{k}")
+    members = keep(_promising(members, comp, texts, percent), f"{out}/promising")
+    release(spark)
+    more = _blocks(members, texts, out).groupBy("h", "r", "q").applyInArrow(_compared(percent), "a long, b long")
+    more = keep(more, f"{out}/links-1")
+    if not more.isEmpty():
+        comp = keep(components(links.unionAll(more), f"{out}/components-1"), f"{out}/comp-1")
+    release(spark)
     found = sig.join(comp, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("comp", "node").alias("c"))
     least = found.where("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
     done = found.join(least, "c", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")))
