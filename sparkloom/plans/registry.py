@@ -36,4 +36,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import aggregates, joins, scans, tpch  # noqa: F401
+    from . import aggregates, clicks, joins, scans, tpch  # noqa: F401
