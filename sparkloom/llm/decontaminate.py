@@ -96,7 +96,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     raw = T.StructType([*docs.schema.fields, T.StructField("_words", T.LongType()), T.StructField("_ranges", T.ArrayType(T.LongType())), T.StructField("_items", T.ArrayType(T.StringType()))])
     out = docs.withColumn("_words", F.lit(None).cast("long")).withColumn("_ranges", F.array().cast("array<bigint>")).withColumn("_items", F.array().cast("array<string>"))
 
-    def block(part: list[tuple[str, bytes]]):
+    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    final = T.StructType([*docs.schema.fields, T.StructField("_n_words", T.LongType()), T.StructField("_n_hit", T.LongType()), T.StructField("_spans", span), T.StructField("_items", T.ArrayType(T.StringType()))])
+
+    def finish(batches):
+        for b in batches:
+            n_hit, spans = [], []
+            for t, r in zip(slice_texts(*utf8(b.column(text))), b.column("_ranges").to_pylist()):
+                r = list(zip(r[::2], r[1::2]))
+                n_hit.append(sum(y - x for x, y in r))
+                spans.append([{"start": x, "end": y} for x, y in spans_of(t, r)] if r else [])
+            k = len(b.schema.names) - 3
+            columns = [b.column(i) for i in range(k)] + [b.column(k), pa.array(n_hit, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), b.column(k + 2)]
+            yield pa.RecordBatch.from_arrays(columns, [*b.schema.names[:k], "_n_words", "_n_hit", "_spans", "_items"])
+
+    def block(part: list[tuple[str, bytes]], last: bool) -> DataFrame:
         sent = spark.sparkContext.broadcast(windows_of(part, window))
 
         def run(batches):
@@ -114,30 +128,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
                 columns = [b.column(k) for k in range(len(names) - 3)] + [pa.array(n_words, pa.int64()), pa.array(ranges, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-        return out.mapInArrow(run, raw)
+        return out.mapInArrow(lambda batches: finish(run(batches)), final) if last else out.mapInArrow(run, raw)
 
-    part, size, first = [], 0, True
+    part, size = [], 0
     for r in items.toLocalIterator():
+        if size >= block_bytes:
+            out, part, size = block(part, False), [], 0
         part.append((r.i, r.t.encode()))
         size += len(part[-1][1])
-        if size >= block_bytes:
-            out, part, size, first = block(part), [], 0, False
-    if part or first:
-        out = block(part)
-
-    def finish(batches):
-        for b in batches:
-            n_hit, spans = [], []
-            for t, r in zip(slice_texts(*utf8(b.column(text))), b.column("_ranges").to_pylist()):
-                r = list(zip(r[::2], r[1::2]))
-                n_hit.append(sum(y - x for x, y in r))
-                spans.append([{"start": x, "end": y} for x, y in spans_of(t, r)] if r else [])
-            k = len(b.schema.names) - 3
-            columns = [b.column(i) for i in range(k)] + [b.column(k), pa.array(n_hit, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), b.column(k + 2)]
-            yield pa.RecordBatch.from_arrays(columns, [*b.schema.names[:k], "_n_words", "_n_hit", "_spans", "_items"])
-
-    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    return out.mapInArrow(finish, T.StructType([*docs.schema.fields, T.StructField("_n_words", T.LongType()), T.StructField("_n_hit", T.LongType()), T.StructField("_spans", span), T.StructField("_items", T.ArrayType(T.StringType()))]))
+    return block(part, True)
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
