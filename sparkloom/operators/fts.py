@@ -30,8 +30,8 @@ def index(df: DataFrame, key: str, columns: list[str], tokenizer: str = "default
 
 
 def _phrase(tokens_: Column, words: list[str]) -> Column:
-    starts = F.sequence(F.lit(1), F.greatest(F.size(tokens_) - len(words) + 1, F.lit(1)))
-    return F.exists(starts, lambda i: F.slice(tokens_, i, F.lit(len(words))) == F.array(*[F.lit(w) for w in words]))
+    line = lambda x: F.concat(F.lit("\x01"), x, F.lit("\x01"))
+    return F.contains(line(F.array_join(tokens_, "\x01")), line(F.lit("\x01".join(words))))
 
 
 class Query:
