@@ -36,4 +36,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import aggregates, clicks, functions, joins, scans, tpch, writes  # noqa: F401
+    from . import aggregates, clicks, functions, joins, scans, texts, tpch, writes  # noqa: F401

@@ -145,3 +145,18 @@ def test_union_all_counts_and_partitioned_logic(spark, data):
     p = F.when(F.col("event_id") % 3 != 0, F.col("value") > 50)
     assert t.where(p).count() + t.where(~p).count() + t.where(p.isNull()).count() == t.count()
     assert t.unionAll(t).count() == 2 * t.count()
+
+
+def test_dialect(spark):
+    from sparkloom.plans.dialect import sql, translate
+
+    assert translate("SELECT 'like ''x'' == y' AS \"a b\" /* c */ WHERE x == 1") == "SELECT 'like ''x'' == y' AS `a b` WHERE x = 1"
+    assert translate("SELECT x FROM t LIMIT -1") == "SELECT x FROM t"
+    assert translate("SELECT a IS NULL, a IS NOT NULL, a IS TRUE FROM t") == "SELECT a IS NULL, a IS NOT NULL, a IS TRUE FROM t"
+    sql(spark, "CREATE TEMP VIEW dialect_v AS SELECT 1 AS x UNION ALL SELECT 2")
+    assert [r.x for r in sql(spark, "SELECT x FROM dialect_v WHERE x GLOB '[2-3]' ORDER BY x").collect()] == [2]
+    assert [r.name for r in sql(spark, "PRAGMA table_info(dialect_v)").collect()] == ["x"]
+    sql(spark, "DROP VIEW dialect_v")
+    with pytest.raises(ValueError):
+        sql(spark, "DROP VIEW dialect_v")
+    sql(spark, "DROP VIEW IF EXISTS dialect_v")
