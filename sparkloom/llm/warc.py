@@ -319,4 +319,5 @@ def pages_through_warc(pages: DataFrame, version: int = 1) -> DataFrame:
 
 
 def op1_warc(spark, sf_dir: str) -> DataFrame:
-    return pages_through_warc(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    found = pages_through_warc(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
