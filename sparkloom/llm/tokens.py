@@ -9,6 +9,7 @@ so that a reader can fetch records in any order.
 
 from __future__ import annotations
 
+import gc
 import os
 import struct
 import zlib
@@ -21,7 +22,9 @@ from .common import file_system, partitions_for, read_bytes, ship, slice_texts,
 from .crc32c import crc32c, masked
 
 #: Words that a worker remembers, twice over.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
+#: Punctuation that makes one piece after letters.
+_TAIL = b",.!?;:*$%&#"
 #: Bytes of a text that are encoded in one go.
 PIECE = 1 << 20
 
@@ -30,7 +33,7 @@ class WordEncoder:
     """Encodes texts word by word, remembering words.
 
     Exact for tokenizers whose pre-tokenizer never joins text across ASCII white space
-    and drops it. The memory has two generations of bounded size.
+    and drops it. What it remembers is of bounded size.
     """
 
     def __init__(self, path: str):
@@ -40,9 +43,25 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
+        mark = self.tokenizer.encode("\x01", add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None  # a lone control character parts the words of a line
+        ends = [t.endswith("</w>") for t, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])]
+        self.ends = np.array(ends)
+        self.split = self._splitter(path) if any(ends) else None
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _splitter(self, path: str):
+        """The same vocabulary for text that is normalised and whose pre-tokens are parted by spaces; None where that isn't the same thing."""
+        from tokenizers import Tokenizer, pre_tokenizers as p
+
+        t = Tokenizer.from_file(path)
+        t.encode_special_tokens = True
+        t.normalizer = None
+        t.pre_tokenizer = p.Sequence([p.WhitespaceSplit(), p.ByteLevel(add_prefix_space=False, use_regex=False)])
+        probe = "the theta été ,,. größe ! ab , zyzzyva *** señor ; x"
+        return t if t.encode(probe, add_special_tokens=False).ids == self.tokenizer.encode(probe, add_special_tokens=False).ids else None
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian integers of 2 or 4 bytes."""
         return [b"".join(b"".join(self._piece(p)) for p in _pieces(t)) for t in texts] if any(len(t) > PIECE for t in texts) else self._batch(texts)
@@ -51,25 +70,62 @@ class WordEncoder:
         return self._batch([text])
 
     def _batch(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        new, old = self.new, self.old
-        missing = []
-        for w in {w for words in split for w in words}:
-            if w not in new:
-                if (x := old.get(w)) is None:
-                    missing.append(w)
-                else:
-                    new[w] = x
-        kind = "<u4" if self.wide else "<u2"
-        for k in range(0, len(missing), 4096):
-            part = missing[k : k + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                new[w] = np.array(e.ids, kind).tobytes()
-        out = [b"".join(map(new.__getitem__, words)) for words in split]
-        if len(new) > CACHE_WORDS:
-            self.old, self.new = new, {}
+        # ASCII letters in lower case, unless a mark of U+0300 to U+033F might compose with one of them
+        split = [(t if b"\xcc" in t else t.lower()).split() for t in texts]
+        known, old = self.new, self.old
+        missing = set().union(*split).difference(known)
+        for w in missing.intersection(old):
+            known[w] = old[w]
+        self._learn(list(missing.difference(old)))
+        out = [b"".join(map(known.__getitem__, x)) for x in split]
+        if len(known) > CACHE_WORDS:
+            self.old, self.new = known, {}
         return out
 
+    def _learn(self, missing: list[bytes]) -> None:
+        """Encodes words many to a line, parted by a lone control character."""
+        known = self.new
+        kind, width = ("<u4", 4) if self.wide else ("<u2", 2)
+        for w in missing if self.mark is None else [w for w in missing if b"\x01" in w]:
+            known[w] = np.array(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, kind).tobytes()
+        together = [] if self.mark is None else [w for w in missing if b"\x01" not in w]
+        plain = {w: x for w in together if (x := _plain(w))} if self.split is not None else {}
+        self._lines(list(plain), self.split, plain)
+        self._lines([w for w in together if w not in plain], self.tokenizer, None)
+
+    def _lines(self, words: list[bytes], tokenizer, plain: dict[bytes, bytes] | None) -> None:
+        known = self.new
+        kind, width = ("<u4", 4) if self.wide else ("<u2", 2)
+        lines = [words[k : k + 256] for k in range(0, len(words), 256)]
+        for k in range(0, len(lines), 64):
+            some = lines[k : k + 64]
+            texts = [b" \x01 ".join(x) for x in some] if plain is None else [b" ".join([plain[w] for w in x]) for x in some]
+            texts = [t.decode("utf-8", "replace") for t in texts]
+            for line, e in zip(some, tokenizer.encode_batch_fast(texts if plain is None else [t.lower() for t in texts], add_special_tokens=False)):
+                ids = np.array(e.ids, kind)
+                if plain is None:
+                    at = np.flatnonzero(ids == self.mark)
+                    starts, ends = [0, *((at + 1) * width).tolist()], [*(at * width).tolist(), len(ids) * width]
+                else:
+                    pieces = np.cumsum([plain[w].count(b" ") for w in line]) + np.arange(len(line))
+                    ends = ((np.flatnonzero(self.ends[ids])[pieces] + 1) * width).tolist()
+                    starts = [0, *ends[:-1]]
+                assert ends[-1] == len(ids) * width and len(ends) == len(line)
+                ids = ids.tobytes()
+                known.update(zip(line, [ids[x:y] for x, y in zip(starts, ends)]))
+
+
+def _plain(word: bytes) -> bytes | None:
+    """A word as its pre-tokens parted by a space, where they are plain to see: letters, which compose with nothing, then perhaps punctuation."""
+    if word.isalpha():
+        return word
+    core = word.rstrip(_TAIL)
+    if not core.isalpha():
+        text = core.decode("utf-8", "replace")
+        if not text.isalpha() or max(text) >= "\u0130":
+            return None
+    return core + b" " + word[len(core) :] if len(core) < len(word) else core
+
 
 def _pieces(text: bytes):
     """A long text cut at white space."""
@@ -101,11 +157,11 @@ def frames(payloads: list[bytes]) -> list[bytes]:
 def read_frames(data: bytes, offsets) -> list[bytes]:
     """The payloads at the given offsets; raises ValueError where a checksum doesn't hold."""
     offsets = [int(x) for x in offsets]
+    heads = [struct.unpack_from("<QI", data, o) for o in offsets]
+    payloads = [data[o + 12 : o + 12 + n] for o, (n, _) in zip(offsets, heads)]
+    ends = [struct.unpack_from("<I", data, o + 12 + n)[0] for o, (n, _) in zip(offsets, heads)]
     lengths = [data[o : o + 8] for o in offsets]
-    payloads = [data[o + 12 : o + 12 + struct.unpack("<Q", n)[0]] for o, n in zip(offsets, lengths)]
-    heads = np.array([struct.unpack_from("<I", data, o + 8)[0] for o in offsets], np.uint32)
-    bodies = np.array([struct.unpack_from("<I", data, o + 12 + len(p))[0] for o, p in zip(offsets, payloads)], np.uint32)
-    if (heads != masked(crc32c(lengths))).any() or (bodies != masked(crc32c(payloads))).any():
+    if (np.array([h for _, h in heads], np.uint32) != masked(crc32c(lengths))).any() or (np.array(ends, np.uint32) != masked(crc32c(payloads))).any():
         raise ValueError("a record's checksum doesn't hold")
     return payloads
 
@@ -134,18 +190,20 @@ def write_tokens(docs: DataFrame, out: str, vocabulary: str, end_id: int = 1, do
         store, at = file_system(path)
         temp = f"{at}.{TaskContext.get().taskAttemptId()}.tmp"
         offsets, tokens, place, f = [], 0, 0, None
+        gc.disable()  # a task makes millions of small objects, none of them cyclic
         for b in batches:
             ids = b.column(0).to_pylist()
             texts = list(slice_texts(*utf8(b.column(1))))
-            for k in range(0, len(ids), 256):
-                rows = [x + end for x in e.encode(texts[k : k + 256])]
+            for k in range(0, len(ids), 1000):
+                rows = [x + end for x in e.encode(texts[k : k + 1000])]
                 f = f or store.open_output_stream(temp, compression=None)
-                made = frames([struct.pack("<Bq", width | (128 if d is None else 0), d or 0) + x for d, x in zip(ids[k : k + 256], rows)])
+                made = frames([struct.pack("<Bq", width | (128 if d is None else 0), d or 0) + x for d, x in zip(ids[k : k + 1000], rows)])
                 for x, y in zip(rows, made):
                     offsets.append(place)
                     place += len(y)
                     tokens += len(x) // width
                 f.write(b"".join(made))
+        gc.enable()
         if f is None:
             return
         f.close()
