@@ -160,3 +160,24 @@ def test_dialect(spark):
     with pytest.raises(ValueError):
         sql(spark, "DROP VIEW dialect_v")
     sql(spark, "DROP VIEW IF EXISTS dialect_v")
+
+
+@pytest.mark.parametrize("fmt, args, want", [("%5d|%-5d|", (42, 42), "   42|42   |"), ("%+.2f", (1.005,), "+1.00"), ("%,d", (1234567,), "1,234,567"), ("%q", ("it's",), "it''s"), ("%Q", (None,), "NULL"), ("%x %#X", (255, 255), "ff 0xFF"), ("%.3s", ("abcdef",), "abc"), ("%*d", (4, 7), "   7"), ("%r", (12,), "12th"), ("%d", ("7x",), "7"), ("100%%", (), "100%")])
+def test_printf(fmt, args, want):
+    from sparkloom.functions.more import format_text
+
+    assert format_text(fmt, *args) == want
+
+
+def test_user_type_and_compact(spark, tmp_path):
+    from sparkloom.operators import maintenance as m
+
+    positive = m.UserType("int", check=lambda x: x > 0)
+    t = spark.createDataFrame([(1,), (None,)], "x int")
+    assert rows(t.select(positive.write(F.col("x")))) == [(1,), (None,)]
+    with pytest.raises(Exception, match="domain"):
+        spark.createDataFrame([(-1,)], "x int").select(positive.write(F.col("x"))).collect()
+    spark.range(100).repartition(10).write.parquet(str(tmp_path / "a"))
+    assert m.compact(spark, str(tmp_path / "a"), str(tmp_path / "b")) == 1 and spark.read.parquet(str(tmp_path / "b")).count() == 100
+    with pytest.raises(ValueError):
+        m.Triggers().on("during", "insert", lambda r: r)
