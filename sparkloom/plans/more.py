@@ -76,5 +76,5 @@ def triggers(spark, sf_dir):
     return t.run("before", "insert", table(spark, sf_dir, "region"))
 
 
-sql("pg_to_char", "SELECT o_orderkey, trim(to_char(CAST(o_orderkey AS DECIMAL(12,0)), '999999990')) AS c FROM orders", "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS c FROM orders")
+sql("pg_to_char", "SELECT o_orderkey, trim(to_char(CAST(o_orderkey AS DECIMAL(12,0)), '999999990')) AS c FROM orders WHERE o_orderkey > 0", "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS c FROM orders WHERE o_orderkey > 0")
 sql("pg_similar", "SELECT p_partkey FROM part WHERE p_name RLIKE '^[a-m]' AND p_name ILIKE '%E%'", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '^[a-m]') AND p_name ILIKE '%E%'")

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
@@ -27,7 +29,12 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def queries() -> dict[str, Query]:
     _load()
-    return dict(_QUERIES)
+    return {name: _shipped(f) for name, f in _QUERIES.items()}
+
+
+def _shipped(f: Query) -> Query:
+    """Some functions run in Python workers, which need the package."""
+    return lambda spark, sf_dir: f(ship(spark), sf_dir)
 
 
 def oracle_sql() -> dict[str, str]:

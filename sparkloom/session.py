@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that the engine is designed for; a cluster's own values win where they are set.
@@ -25,3 +29,22 @@ def session(app: str = "sparkloom", master: str | None = None, **settings: str)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A generated table. The read is lazy: filters and columns reach the Parquet scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors' Python workers, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        _shipped.add(sc.applicationId)
+        top = os.path.dirname(os.path.abspath(__file__))
+        to = os.path.join(tempfile.mkdtemp(prefix="sparkloom-"), "sparkloom.zip")
+        with zipfile.ZipFile(to, "w") as z:
+            for folder, _, names in os.walk(top):
+                for x in names:
+                    if x.endswith(".py"):
+                        z.write(p := os.path.join(folder, x), os.path.relpath(p, os.path.dirname(top)))
+        sc.addPyFile(to)
+    return spark
