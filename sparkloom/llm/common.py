@@ -7,39 +7,26 @@ table or file in the folder that ``spark.checkpoint.dir`` names, never executor-
 from __future__ import annotations
 
 import gc
-import os
 import tempfile
 import uuid
-import zipfile
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import session
+
 #: Rows of an Arrow batch: bounds a Python worker's memory when texts are long.
 BATCH_ROWS = 1000
 #: Bytes that the vectorised word functions look at in one go.
 BLOCK = 1 << 19
 
-_shipped: set[str] = set()
-
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors' Python workers, once for each application."""
-    sc = spark.sparkContext
+    """Sends this package to the executors' Python workers, and sets how many rows they get at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    if sc.applicationId not in _shipped:
-        _shipped.add(sc.applicationId)
-        top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        to = os.path.join(tempfile.mkdtemp(prefix="sparkloom-"), "sparkloom.zip")
-        with zipfile.ZipFile(to, "w") as z:
-            for folder, _, names in os.walk(top):
-                for x in names:
-                    if x.endswith(".py"):
-                        z.write(p := os.path.join(folder, x), os.path.relpath(p, os.path.dirname(top)))
-        sc.addPyFile(to)
-    return spark
+    return session.ship(spark)
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -103,7 +90,7 @@ def file_system(uri: str):
     """The pyarrow file system of a URI and the path on it; works for local, HDFS and object stores."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri("s3" + uri[3:] if uri.startswith(("s3a:", "s3n:")) else uri)
 
 
 def write_once(uri: str, chunks) -> int:
