@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from .repeats import Kind, without_repeats
 
 #: Bytes of a window, and of the grams that choose shards.
-WINDOW, GRAM = 50, 16
+WINDOW, GRAM = 50, 20
 #: Bytes of queued tuples that stay in memory.
 QUEUE_BYTES = 96 << 20
 #: Names beyond which a reduced text is sorted by doubling, since its lanes would be too many.
@@ -297,8 +297,8 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id",
 
     With ``with_text``, bytes of cut characters appear as replacement characters in the text left.
     """
-    if window < 16 or window > 250:
-        raise ValueError("a window has 16 to 250 bytes")
+    if window < 20 or window > 250:
+        raise ValueError("a window has 20 to 250 bytes")
     return without_repeats(docs, Kind("byte", window, min(GRAM, window), False), decide, doc_id, text, with_text)
 
 

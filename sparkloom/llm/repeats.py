@@ -16,10 +16,9 @@ from typing import Callable
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import blocks_of_rows, gram_hashes, keep, mix, ship, slide_min, utf8, word_hashes, word_spans, work_dir
+from .common import blocks_of_rows, drop, gram_hashes, keep, keep_bucketed, mix, release, ship, slide_min, utf8, word_hashes, word_spans, work_dir
 
 #: Windows that are looked at in one go, and the most of one segment.
 PIECE, LONGEST = 1 << 18, 1 << 12
@@ -30,6 +29,16 @@ SHARD_BYTES = 2 << 20
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def _geometric(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_R = _geometric(0x9FB21C651E98DF25, PIECE + LONGEST + 256)
+_R_INVERSE = _geometric(pow(0x9FB21C651E98DF25, -1, 1 << 64), PIECE + 1)
+
+
 @dataclass(frozen=True)
 class Kind:
     """Units: 'word' or 'byte'; k units of a window; m of a gram; own: whether an earlier start in the same document counts."""
@@ -43,11 +52,12 @@ class Kind:
 class Units:
     """The units of some texts."""
 
-    def __init__(self, kind: Kind, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, kind: Kind, data: np.ndarray, offsets: np.ndarray, hashed: bool = True):
         self.kind, self.data = kind, data
         if kind.unit == "word":
             self.starts, self.ends, self.first = word_spans(data, offsets)
-            self.h = word_hashes(data, self.starts, self.ends)
+            if hashed:
+                self.h = word_hashes(data, self.starts, self.ends)
         else:
             self.first = offsets
 
@@ -116,13 +126,22 @@ class Units:
         whole = self.data[self.starts[start] : self.ends[end - 1]].tobytes()
         return b" ".join(whole.split())
 
-    def window_keys(self, start: int, windows: int) -> np.ndarray:
-        """A hash of each whole window."""
-        k = self.kind.k
-        if self.kind.unit == "word":
-            return gram_hashes(self.h[start : start + windows + k - 1], k)
-        raw = self.data[start : start + windows + k - 1].tobytes()
-        return np.array([xxhash.xxh3_64_intdigest(raw[i : i + k]) for i in range(windows)], np.uint64)
+    def hashes(self, starts: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        """A hash of what each of some segments, in order, spells; with the segment's key it identifies the content."""
+        out = np.empty(len(starts), np.uint64)
+        word = self.kind.unit == "word"
+        length = windows + self.kind.k - 1 - (0 if word else self.kind.m - 1)
+        i = 0
+        while i < len(starts):
+            base = int(starts[i])
+            j = max(i + 1, int(np.searchsorted(starts, base + PIECE, "right")))
+            end = int((starts[i:j] + length[i:j]).max())
+            x = self.h[base:end] if word else self.grams(base, end)
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(x * _R[: len(x)], dtype=np.uint64)])
+            s = starts[i:j] - base
+            out[i:j] = (sums[s + length[i:j]] - sums[s]) * _R_INVERSE[s]
+            i = j
+        return mix(out + windows.astype(np.uint64))
 
 
 def _keys(kind: Kind):
@@ -151,39 +170,69 @@ def _keys(kind: Kind):
     return run
 
 
-_INSTANCES = "tid long, d long, start long, n long, key long, c1 long, c2 long, content binary"
+_INSTANCES = "tid long, d long, start long, n long, key long, c long"
 
 
 def _instances(kind: Kind):
-    """Of batches (tid, d, text, keys, hot): the segments with these keys; those of hot keys window by window."""
-    shape = pa.schema([("tid", pa.int64()), ("d", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("content", pa.binary())])
+    """Of batches (tid, d, text, keys, hot): the segments with these keys, by place and hash of content; those of hot keys window by window."""
+    shape = pa.schema([(c, pa.int64()) for c in ("tid", "d", "start", "n", "key", "c")])
+    salt = np.uint64(0xA0761D6478BD642F)
 
-    def row(tid, d, start, n, key, content):
-        c = xxhash.xxh3_128_digest(content)
-        return (tid, d, start, n, key, int.from_bytes(c[:8], "little", signed=True), int.from_bytes(c[8:], "little", signed=True), content)
+    def chosen(lists, i: int, j: int, rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Which (row, key) are in the rows' lists; a chance hit is one candidate more."""
+        some = lists.slice(i, j - i)
+        owner = np.repeat(np.arange(j - i), np.diff(some.offsets.to_numpy()))
+        wanted = some.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        return np.isin(mix(keys + rows.astype(np.uint64) * salt), mix(wanted + owner.astype(np.uint64) * salt))
 
     def run(batches):
         for b in batches:
-            tids, ds = b.column(0).to_pylist(), b.column(1).to_pylist()
+            tids, ds = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             data, offsets = utf8(b.column(2))
-            keys, hots, out, size = b.column(3), b.column(4).to_pylist(), [], 0
-            for r in range(len(tids)):
-                u = Units(kind, data[offsets[r] : offsets[r + 1]], np.array([0, offsets[r + 1] - offsets[r]]))
-                wanted, hot = keys[r].values.to_numpy(zero_copy_only=False).view(np.uint64), set(hots[r])
-                for _, start, n, key, _ in u.segments():
-                    for k in np.flatnonzero(np.isin(key, wanted)).tolist():
-                        s, m, x = int(start[k]), int(n[k]), int(key[k].view(np.int64))
-                        if x in hot:
-                            out += [row(tids[r], ds[r], s + i, 1, int(h), u.content(s + i, 1)) for i, h in enumerate(u.window_keys(s, m).view(np.int64))]
-                            size += m * kind.k
-                        else:
-                            out.append(row(tids[r], ds[r], s, m, x, u.content(s, m)))
-                            size += len(out[-1][-1])
-                        if size > 8 << 20:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), shape)], schema=shape)
-                            out, size = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), shape)], schema=shape)
+            any_hot = len(b.column(4).flatten()) > 0
+            for i, j in blocks_of_rows(offsets):
+                part = offsets[i : j + 1]
+                u = Units(kind, data[part[0] : part[-1]], part - part[0])
+                for rows, starts, n, keys, _ in u.segments():
+                    on = chosen(b.column(3), i, j, rows, keys)
+                    rows, starts, n, keys = rows[on], starts[on], n[on], keys[on]
+                    hot = chosen(b.column(4), i, j, rows, keys) if any_hot else np.zeros(len(rows), bool)
+                    if hot.any():
+                        many = np.where(hot, n, 1)
+                        step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                        rows, starts, keys, hot = np.repeat(rows, many), np.repeat(starts, many) + step, np.repeat(keys, many), np.repeat(hot, many)
+                        n = np.where(hot, 1, np.repeat(n, many))
+                    if not len(rows):
+                        continue
+                    c = u.hashes(starts, n)
+                    keys = np.where(hot, mix(c + salt), keys)
+                    at = starts - u.first[rows]
+                    columns = (tids[i + rows], ds[i + rows], at, n.astype(np.int64), keys.view(np.int64), c.view(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=shape)
+
+    return run
+
+
+def _contents(kind: Kind):
+    """Of batches (d, text, places): what the segments at these places spell."""
+    shape = pa.schema([("key", pa.int64()), ("c", pa.int64()), ("d", pa.int64()), ("start", pa.int64()), ("content", pa.binary())])
+
+    def run(batches):
+        for b in batches:
+            ds = b.column(0).to_numpy(zero_copy_only=False)
+            data, offsets = utf8(b.column(1))
+            lists = b.column(2)
+            bounds, flat = lists.offsets.to_numpy(), lists.values
+            start, n, key, c = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("start", "n", "key", "c"))
+            for i, j in blocks_of_rows(offsets):
+                part, out = offsets[i : j + 1], []
+                u = Units(kind, data[part[0] : part[-1]], part - part[0], hashed=False)
+                for r in range(i, j):
+                    base = int(u.first[r - i])
+                    out += [u.content(base + int(start[k]), int(n[k])) for k in range(bounds[r], bounds[r + 1])]
+                some = slice(bounds[i], bounds[j])
+                owner = np.repeat(ds[i:j], np.diff(bounds[i : j + 1]))
+                yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(c[some]), pa.array(owner), pa.array(start[some]), pa.array(out, pa.binary())], schema=shape)
 
     return run
 
@@ -194,15 +243,50 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist()))
 
 
+def repeated_somewhere(contents: list[bytes], kind: Kind) -> np.ndarray:
+    """Which contents hold a window that, by its hash, comes up twice among them all. Only these need an index."""
+    offsets = np.cumsum([0, *map(len, contents)])
+    hashes, owners = [], []
+    data = np.frombuffer(b"".join(contents), np.uint8)
+    for i, j in blocks_of_rows(offsets):
+        u = Units(kind, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        n = np.diff(u.first) - kind.k + 1
+        n = np.maximum(n, 0)
+        starts = np.repeat(u.first[:-1] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        hashes.append(u.hashes(starts, np.ones(len(starts), np.int64)))
+        owners.append(np.repeat(np.arange(i, j), n))
+    h, owner = np.concatenate(hashes), np.concatenate(owners)
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    out = np.zeros(len(contents), bool)
+    out[owner[order[1:][same]]] = True
+    out[owner[order[:-1][same]]] = True
+    return out
+
+
 def _shard(decide: Callable, kind: Kind):
     """Of one shard's different contents, with their first places: the runs of windows that also start earlier."""
-    shape = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("d", pa.int64()), ("start", pa.int64()), ("runs", pa.list_(pa.int64()))])
+    shape = pa.schema([("key", pa.int64()), ("c", pa.int64()), ("d", pa.int64()), ("start", pa.int64()), ("runs", pa.list_(pa.int64()))])
 
     def run(table: pa.Table) -> pa.Table:
         t = table.sort_by([("d", "ascending"), ("start", "ascending")])
-        found = decide(t.column("content").to_pylist(), t.column("d").to_numpy(), t.column("start").to_numpy(), kind)
-        flat = [[x for r in runs(f) for x in r] for f in found]
-        return pa.Table.from_arrays([t.column("c1"), t.column("c2"), t.column("d"), t.column("start"), pa.array(flat, pa.list_(pa.int64()))], schema=shape)
+        contents, d, start = t.column("content").to_pylist(), t.column("d").to_numpy(), t.column("start").to_numpy()
+        on = np.flatnonzero(repeated_somewhere(contents, kind))
+        counts, values = np.zeros(len(contents), np.int64), np.zeros(0, np.int64)
+        if len(on):
+            found = decide([contents[k] for k in on.tolist()], d[on], start[on], kind)
+            lengths = np.array([len(f) for f in found], np.int64)
+            # all flags in a row with a gap after each content, so that no run crosses two
+            first = np.cumsum(lengths + 1) - lengths - 1
+            flags = np.zeros(int((lengths + 1).sum()) + 1, np.int8)
+            flags[np.repeat(first - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))] = np.concatenate(found)
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], flags])))
+            begin, n = edge[::2], edge[1::2] - edge[::2]
+            owner = np.searchsorted(first, begin, "right") - 1
+            values = np.stack([begin - first[owner], n], 1).reshape(-1)
+            counts[on] = 2 * np.bincount(owner, minlength=len(on))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values, pa.int64()))
+        return pa.Table.from_arrays([t.column("key"), t.column("c"), t.column("d"), t.column("start"), lists], schema=shape)
 
     return run
 
@@ -215,7 +299,10 @@ def _cut(kind: Kind):
         for b in batches:
             out, size = [], 0
             data, offsets = utf8(b.column(1))
-            for r, (tid, ranges) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist())):
+            lists = b.column(2)
+            bounds, flat = lists.offsets.to_numpy(), lists.values
+            at, many = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("at", "n"))
+            for r, tid in enumerate(b.column(0).to_pylist()):
                 text = data[offsets[r] : offsets[r + 1]]
                 if kind.unit == "word":
                     starts, ends, _ = word_spans(text, np.array([0, len(text)]))
@@ -223,9 +310,9 @@ def _cut(kind: Kind):
                 else:
                     n = len(text)
                 gone = np.zeros(n + 1, np.int32)
-                for x in ranges:
-                    gone[x["at"]] += 1
-                    gone[x["at"] + x["n"] + kind.k - 1] -= 1
+                some = slice(bounds[r], bounds[r + 1])
+                np.add.at(gone, at[some], 1)
+                np.subtract.at(gone, at[some] + many[some] + kind.k - 1, 1)
                 gone = np.cumsum(gone[:-1]) > 0
                 spans = runs(gone)
                 if kind.unit == "word":
@@ -264,12 +351,36 @@ def _whole(kind: Kind):
     return run
 
 
+def _wanted(rows: DataFrame, kind: Kind) -> DataFrame:
+    """(tid, d, keys, hot): of each text's first row, the keys that come up in another text, or again where that counts."""
+    w = W.partitionBy("key")
+    keys = rows.select("tid", "text").mapInArrow(_keys(kind), "key long, tid long" + ", again boolean" * kind.own)
+    keys = keys.withColumns({"lo": F.min("tid").over(w), "hi": F.max("tid").over(w), "c": F.count(F.lit(1)).over(w)} | ({"twice": F.max("again").over(w)} if kind.own else {}))
+    keys = keys.where("lo <> hi" + " or twice" * kind.own).select("tid", "key", (F.col("c") > HOT).alias("hot"))
+    sets = keys.groupBy("tid").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot"))
+    return sets.join(rows.groupBy("tid").agg(F.min("d").alias("d")), "tid")
+
+
+def _ranges(made: DataFrame, decided: DataFrame, kind: Kind) -> DataFrame:
+    """(tid, removed): of each text the windows to remove, as (first window, number).
+
+    All windows of a content's later places start earlier too; at its first place, those that its shard found.
+    """
+    found = made.join(decided.select("key", "c", F.col("d").alias("fd"), F.col("start").alias("fs"), "runs"), ["key", "c"])
+    later = "d > fd or (d = fd and start > fs)" if kind.own else "d > fd"
+    pairs = F.transform(F.sequence(F.lit(0), (F.size("runs") / 2).cast("int") - 1), lambda i: F.struct((F.col("start") + F.get("runs", 2 * i)).alias("at"), F.get("runs", 2 * i + 1).alias("n")))
+    all_of = F.array(F.struct(F.col("start").alias("at"), F.col("n").alias("n")))
+    found = found.withColumn("r", F.when(F.expr(later), all_of).when(F.size("runs") > 0, pairs)).where("r is not null")
+    return found.groupBy("tid").agg(F.flatten(F.collect_list("r")).alias("removed"))
+
+
 def without_repeats(docs: DataFrame, kind: Kind, decide: Callable, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """Removes from each text the units in windows that also start earlier.
 
     Returns per row doc_id, n_units, n_removed, n_spans (runs of removed units) and
     kept_sha256 (of the units left; words joined by a space), and with ``with_text``
-    the text left. ``decide`` judges the contents of one shard. Null texts are empty;
+    kept_text (the text left; null where all of it is) and spans (first unit and number
+    of each run, one after another). ``decide`` judges the contents of one shard. Null texts are empty;
     null ids count as the greatest; rows with one id are one document in the comparison,
     and repeated rows get equal results. Texts of fewer than k units stay whole. An
     empty table stays empty; other columns aren't read.
@@ -277,30 +388,40 @@ def without_repeats(docs: DataFrame, kind: Kind, decide: Callable, doc_id: str =
     spark = ship(docs.sparkSession)
     out = work_dir(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(text).alias("tid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    w = W.partitionBy("key")
-    keys = rows.select("tid", "text").mapInArrow(_keys(kind), "key long, tid long" + ", again boolean" * kind.own)
-    keys = keys.withColumns({"lo": F.min("tid").over(w), "hi": F.max("tid").over(w), "c": F.count(F.lit(1)).over(w)} | ({"twice": F.max("again").over(w)} if kind.own else {}))
-    wanted = keys.where("lo <> hi" + " or twice" * kind.own).select("tid", "key", (F.col("c") > HOT).alias("hot"))
-    sets = wanted.groupBy("tid").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot"))
-    firsts = rows.groupBy("tid").agg(F.min("d").alias("d"))
-    sets = keep(sets.join(firsts, "tid"), f"{out}/keys")
-    chosen = keep(rows.join(sets, ["tid", "d"]).dropDuplicates(["tid", "d"]).select("tid", "d", "text", "keys", "hot"), f"{out}/chosen")
+    sets = keep(_wanted(rows, kind), f"{out}/keys")
+    release(spark)
+    # texts move once, into buckets: the first row of each (repeated rows stay), with its keys
+    chosen = rows.join(sets.withColumnRenamed("d", "first"), "tid").where("d = first")
+    chosen, name = keep_bucketed(chosen.select("tid", "d", "text", "keys", "hot"), f"{out}/chosen", "tid")
+    release(spark)
     made = keep(chosen.mapInArrow(_instances(kind), _INSTANCES), f"{out}/instances")
-    distinct = made.groupBy("c1", "c2").agg(F.min(F.struct("d", "start", "key", "content")).alias("f"))
-    distinct = keep(distinct.select("c1", "c2", "f.*"), f"{out}/contents")
-    size = distinct.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    places = made.groupBy("key", "c").agg(F.min(F.struct("d", "start", "tid", "n")).alias("f")).select("key", "c", "f.*")
+    places = keep(places.groupBy("tid").agg(F.collect_list(F.struct("start", "n", "key", "c")).alias("places")), f"{out}/places")
+    release(spark)
+    contents = chosen.select("tid", "d", "text").join(places, "tid").select("d", "text", "places")
+    contents = keep(contents.mapInArrow(_contents(kind), "key long, c long, d long, start long, content binary"), f"{out}/contents")
+    del places
+    drop(spark, f"{out}/places")
+    release(spark)
+    size = contents.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
-    sharded = distinct.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    decided = keep(sharded.groupBy("shard").applyInArrow(_shard(decide, kind), "c1 long, c2 long, d long, start long, runs array<bigint>"), f"{out}/decided")
-    joined = made.select("tid", "d", "start", "n", "c1", "c2").join(decided.select("c1", "c2", F.col("d").alias("fd"), F.col("start").alias("fs"), "runs"), ["c1", "c2"])
-    later = "d > fd or (d = fd and start > fs)" if kind.own else "d > fd"
-    pairs = F.transform(F.sequence(F.lit(0), (F.size("runs") / 2).cast("int") - 1), lambda i: F.struct((F.col("start") + F.get("runs", 2 * i)).alias("at"), F.get("runs", 2 * i + 1).alias("n")))
-    all_of = F.array(F.struct(F.col("start").alias("at"), F.col("n").alias("n")))
-    joined = joined.withColumn("r", F.when(F.expr(later), all_of).when(F.size("runs") > 0, pairs)).where("r is not null")
-    ranges = joined.groupBy("tid").agg(F.flatten(F.collect_list("r")).alias("removed"))
+    sharded = contents.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    decided = keep(sharded.groupBy("shard").applyInArrow(_shard(decide, kind), "key long, c long, d long, start long, runs array<bigint>"), f"{out}/decided")
+    del contents, sharded
+    drop(spark, f"{out}/contents")
+    release(spark)
+    ranges = keep(_ranges(made, decided, kind), f"{out}/ranges")
+    del made, decided
+    drop(spark, f"{out}/instances", f"{out}/decided")
+    release(spark)
     cut = "tid long, n_removed long, n_spans long, kept_sha256 string, spans array<bigint>, kept_text string"
     changed = chosen.select("tid", "text").join(ranges, "tid").mapInArrow(_cut(kind), cut)
-    changed = keep(changed if with_text else changed.drop("kept_text", "spans"), f"{out}/changed")
+    changed = keep((changed if with_text else changed.drop("kept_text", "spans")).dropDuplicates(["tid"]), f"{out}/changed")
+    del chosen, ranges
+    spark.sql(f"DROP TABLE {name}")
+    drop(spark, f"{out}/chosen", f"{out}/ranges", f"{out}/keys")
+    release(spark)
+    firsts = rows.groupBy("tid").agg(F.min("d").alias("d"))
     whole = rows.select("doc_id", "tid", "text").mapInArrow(_whole(kind), "doc_id long, tid long, n_units long, whole_sha256 string")
     empty = hashlib.sha256(b"").hexdigest()
     done = whole.join(firsts, "tid").join(changed, "tid", "left")
