@@ -82,8 +82,9 @@ def release(spark: SparkSession) -> None:
     It acts on the driver's garbage collection, which a large heap may put off for hours
     while executors' disks fill.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first frees may hold the last reference to more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def file_system(uri: str):

@@ -366,7 +366,8 @@ def _ranges(made: DataFrame, decided: DataFrame, kind: Kind) -> DataFrame:
 
     All windows of a content's later places start earlier too; at its first place, those that its shard found.
     """
-    found = made.join(decided.select("key", "c", F.col("d").alias("fd"), F.col("start").alias("fs"), "runs"), ["key", "c"])
+    first = [F.col("d").alias("fd"), *([F.col("start").alias("fs")] if kind.own else [])]
+    found = made.join(decided.select("key", "c", *first, F.when(F.size("runs") > 0, F.col("runs")).alias("runs")), ["key", "c"])
     later = "d > fd or (d = fd and start > fs)" if kind.own else "d > fd"
     pairs = F.transform(F.sequence(F.lit(0), (F.size("runs") / 2).cast("int") - 1), lambda i: F.struct((F.col("start") + F.get("runs", 2 * i)).alias("at"), F.get("runs", 2 * i + 1).alias("n")))
     all_of = F.array(F.struct(F.col("start").alias("at"), F.col("n").alias("n")))
@@ -393,6 +394,8 @@ def without_repeats(docs: DataFrame, kind: Kind, decide: Callable, doc_id: str =
     # texts move once, into buckets: the first row of each (repeated rows stay), with its keys
     chosen = rows.join(sets.withColumnRenamed("d", "first"), "tid").where("d = first")
     chosen, name = keep_bucketed(chosen.select("tid", "d", "text", "keys", "hot"), f"{out}/chosen", "tid")
+    del sets
+    drop(spark, f"{out}/keys")
     release(spark)
     made = keep(chosen.mapInArrow(_instances(kind), _INSTANCES), f"{out}/instances")
     places = made.groupBy("key", "c").agg(F.min(F.struct("d", "start", "tid", "n")).alias("f")).select("key", "c", "f.*")
@@ -419,7 +422,7 @@ def without_repeats(docs: DataFrame, kind: Kind, decide: Callable, doc_id: str =
     changed = keep((changed if with_text else changed.drop("kept_text", "spans")).dropDuplicates(["tid"]), f"{out}/changed")
     del chosen, ranges
     spark.sql(f"DROP TABLE {name}")
-    drop(spark, f"{out}/chosen", f"{out}/ranges", f"{out}/keys")
+    drop(spark, f"{out}/chosen", f"{out}/ranges")
     release(spark)
     firsts = rows.groupBy("tid").agg(F.min("d").alias("d"))
     whole = rows.select("doc_id", "tid", "text").mapInArrow(_whole(kind), "doc_id long, tid long, n_units long, whole_sha256 string")
