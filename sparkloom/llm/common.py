@@ -17,15 +17,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import session
 
-#: Rows of an Arrow batch: bounds a Python worker's memory when texts are long.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch: they bound a Python worker's memory when texts are long.
+BATCH_ROWS, BATCH_BYTES = 1000, "8m"
 #: Bytes that the vectorised word functions look at in one go.
 BLOCK = 1 << 19
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors' Python workers, and sets how many rows they get at a time."""
+    """Sends this package to the executors' Python workers, and sets how much they get at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return session.ship(spark)
 
 

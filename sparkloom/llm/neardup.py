@@ -22,7 +22,7 @@ REGISTERS, ROWS = 128, 4
 #: Standard deviations that an estimate may lie below the threshold.
 SLACK = 5.0
 #: Texts on each side of a block that is compared in one go.
-BLOCK_ROWS = 256
+BLOCK_ROWS = 128
 _A = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(1001, REGISTERS + 1001, dtype=np.uint64))
 

@@ -172,14 +172,61 @@ def test_permutation(size, x):
     assert 0 <= y < size and P.permute(b"key", "t", y, size, back=True) == x
 
 
-def test_pipeline_stages(spark, data, tmp_path):
+def plain_targets(sizes: dict) -> dict:
+    """Targets by resharing what is above the cap until nothing is."""
+    names = sorted(sizes)
+    weights = {n: M.WEIGHTS[k % 3] for k, n in enumerate(names)}
+    total, out, open_ = sum(sizes.values()), {}, set(names)
+    while open_:
+        share = (total - sum(out.values())) / sum(weights[n] for n in open_)
+        over = {n for n in open_ if share * weights[n] > 3 * sizes[n]}
+        if not over:
+            return out | {n: share * weights[n] for n in open_}
+        out |= {n: 3.0 * sizes[n] for n in over}
+        open_ -= over
+    return out
+
+
+def test_pipeline_against_plain_loops(spark, data, tmp_path):
+    from sparkloom.llm import decontaminate as D, neardup as N
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     docs = spark.read.parquet(f"{data}/documents.parquet")
-    columns, counts = docs.columns, []
+    columns, results = docs.columns, []
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        out = f"{tmp_path}/{k}"
-        stage(spark, docs, data).write.parquet(out)
-        docs = spark.read.parquet(out)
-        counts.append(docs.count())
+        stage(spark, docs, data).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
         assert k == 4 or docs.columns == columns
-    assert counts[0] > counts[1] > counts[2] and counts[3] == counts[4]
-    assert corpus_pipeline.run(spark, data).count() == counts[4]
+        results.append(docs.collect())
+    everything = spark.read.parquet(f"{data}/documents.parquet")
+    scores = {r.doc_id: r._score for r in Q.score_quality(everything, Q.fit(everything, spark.read.parquet(f"{data}/labels.parquet"))).collect()}
+    assert {r.doc_id for r in results[0]} == {d for d, x in scores.items() if x >= 0.5}
+    groups = N.brute([(r.doc_id, r.text) for r in results[0]])
+    assert {r.doc_id for r in results[1]} == {d for d, (_, _, kept) in groups.items() if kept}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    assert {r.doc_id for r in results[2]} == {w[0] for w in D.brute([(r.doc_id, r.text) for r in results[1]], items) if not w[5]}
+    size = {r.doc_id: len(r.text.encode().split()) for r in results[2]}
+    source = {r.doc_id: r.source for r in results[2]}
+    sizes: dict = {}
+    for d, n in size.items():
+        sizes[source[d]] = sizes.get(source[d], 0) + n
+    targets = plain_targets(sizes)
+    times: dict = {}
+    for r in results[3]:
+        times[r.doc_id] = times.get(r.doc_id, 0) + 1
+    for name, target in targets.items():
+        own = [d for d in size if source[d] == name]
+        whole = int(target // sizes[name]) if sizes[name] else 0
+        assert all(whole <= times.get(d, 0) <= whole + 1 for d in own if size[d])
+        words = sum(times.get(d, 0) * size[d] for d in own)
+        assert target - 1 <= words <= target + max(size[d] for d in own) + 1  # the last row counts as a whole
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want, start = [], 0
+    for r in sorted(results[3], key=lambda r: r.doc_id):
+        ids = t.encode(r.text, add_special_tokens=False).ids + [1]
+        want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted((tuple(r) for r in results[4]), key=lambda r: r[1]) == want
+    assert corpus_pipeline.run(spark, data).count() == len(want)
