@@ -26,9 +26,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of near-duplicates, and of repeated rows one."""
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id", "node").distinct()
-    one = docs.dropDuplicates(["doc_id", "text"])
-    return one.join(kept.select("doc_id").distinct(), one.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    kept = neardup.near_duplicates(docs).where("kept").select(key.alias("_key")).distinct()
+    rows = docs.withColumn("_key", key).join(kept, "_key", "left_semi")
+    if not docs.groupBy("doc_id", F.xxhash64("text")).count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["_key", "text"])
+    return rows.select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
