@@ -12,10 +12,12 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame
 
+from .common import work_dir
 from .repeats import Kind, without_repeats
 
 #: Bytes of a window, and of the grams that choose shards.
@@ -33,6 +35,7 @@ class Lanes:
         self.budget, self.spill_to, self.size = budget, spill_to, 0
         self.memory: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         self.files: dict[int, list[tuple[str, int, int]]] = {}
+        self.written: list[str] = []
 
     def push(self, symbol: int, at: np.ndarray, common: np.ndarray) -> None:
         self.memory.setdefault(symbol, []).append((at.astype(np.int32), common.astype(np.uint8)))
@@ -45,6 +48,7 @@ class Lanes:
 
         uri, place = f"{self.spill_to}/lanes-{uuid.uuid4().hex}", 0
         store, path = file_system(uri)
+        self.written.append(uri)
         with store.open_output_stream(path, compression=None) as f:
             for symbol, parts in self.memory.items():
                 at, common = (np.concatenate(x) for x in zip(*parts))
@@ -75,7 +79,7 @@ class Lanes:
     def close(self) -> None:
         from .common import file_system
 
-        for uri in {u for parts in self.files.values() for u, _, _ in parts}:
+        for uri in self.written:
             store, path = file_system(uri)
             store.delete_file(path)
 
@@ -292,14 +296,16 @@ def decide(contents: list[bytes], d: np.ndarray, start: np.ndarray, kind: Kind,
     return [earlier[b : b + w] for b, w in zip(begin.tolist(), windows.tolist())]
 
 
-def suffix_dedup(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, queue_bytes: int = QUEUE_BYTES) -> DataFrame:
     """Removes each byte in a string of ``window`` bytes that also starts in a document with a smaller id; see without_repeats.
 
     With ``with_text``, bytes of cut characters appear as replacement characters in the text left.
+    A shard's queues hold ``queue_bytes`` in memory; what is more goes to files in the shared folder.
     """
     if window < 20 or window > 250:
         raise ValueError("a window has 20 to 250 bytes")
-    return without_repeats(docs, Kind("byte", window, min(GRAM, window), False), decide, doc_id, text, with_text)
+    spilling = partial(decide, queue_bytes=queue_bytes, spill_to=work_dir(docs.sparkSession))
+    return without_repeats(docs, Kind("byte", window, min(GRAM, window), False), spilling, doc_id, text, with_text)
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:

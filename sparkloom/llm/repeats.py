@@ -22,7 +22,7 @@ from .common import blocks_of_rows, drop, gram_hashes, keep, keep_bucketed, mix,
 
 #: Windows that are looked at in one go, and the most of one segment.
 PIECE, LONGEST = 1 << 18, 1 << 12
-#: Segments of a key beyond which its windows go to shards one by one.
+#: Segments of a key, in all texts, beyond which its windows go to shards one by one.
 HOT = 20_000
 #: Bytes of different contents in a shard.
 SHARD_BYTES = 2 << 20
@@ -145,7 +145,9 @@ class Units:
 
 
 def _keys(kind: Kind):
-    """Of batches (tid, text): the keys of each text, once, and how often each comes up in it."""
+    """Of batches (tid, text): the keys of each text, once, with their segments in it (a segment longer than any of
+    one gram counts for several), and whether each comes up again in it."""
+    w = kind.k - kind.m + 1
 
     def run(batches):
         for b in batches:
@@ -153,19 +155,19 @@ def _keys(kind: Kind):
             tids = b.column(0).to_numpy(zero_copy_only=False)
             for i, j in blocks_of_rows(offsets):
                 part = offsets[i : j + 1]
-                found = [(r, key, t) for r, _, _, key, t in Units(kind, data[part[0] : part[-1]], part - part[0]).segments()]
+                found = [(r, key, -(-n // w), t) for r, _, n, key, t in Units(kind, data[part[0] : part[-1]], part - part[0]).segments()]
                 if not found:
                     continue
-                rows, keys, times = (np.concatenate(x) for x in zip(*found))
+                rows, keys, parts, times = (np.concatenate(x) for x in zip(*found))
                 order = np.lexsort((keys, rows))
-                rows, keys, times = rows[order], keys[order], times[order]
+                rows, keys, parts, times = rows[order], keys[order], parts[order], times[order]
                 new = np.ones(len(rows), bool)
                 new[1:] = (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])
                 at = np.flatnonzero(new)
-                columns = [pa.array(keys[at].view(np.int64)), pa.array(tids[i + rows[at]])]
+                columns = [pa.array(keys[at].view(np.int64)), pa.array(tids[i + rows[at]]), pa.array(np.add.reduceat(parts, at))]
                 if kind.own:
                     columns.append(pa.array((np.add.reduceat(times, at) > 1)))
-                yield pa.RecordBatch.from_arrays(columns, ["key", "tid", "again"][: len(columns)])
+                yield pa.RecordBatch.from_arrays(columns, ["key", "tid", "n", "again"][: len(columns)])
 
     return run
 
@@ -354,8 +356,8 @@ def _whole(kind: Kind):
 def _wanted(rows: DataFrame, kind: Kind) -> DataFrame:
     """(tid, d, keys, hot): of each text's first row, the keys that come up in another text, or again where that counts."""
     w = W.partitionBy("key")
-    keys = rows.select("tid", "text").mapInArrow(_keys(kind), "key long, tid long" + ", again boolean" * kind.own)
-    keys = keys.withColumns({"lo": F.min("tid").over(w), "hi": F.max("tid").over(w), "c": F.count(F.lit(1)).over(w)} | ({"twice": F.max("again").over(w)} if kind.own else {}))
+    keys = rows.select("tid", "text").mapInArrow(_keys(kind), "key long, tid long, n long" + ", again boolean" * kind.own)
+    keys = keys.withColumns({"lo": F.min("tid").over(w), "hi": F.max("tid").over(w), "c": F.sum("n").over(w)} | ({"twice": F.max("again").over(w)} if kind.own else {}))
     keys = keys.where("lo <> hi" + " or twice" * kind.own).select("tid", "key", (F.col("c") > HOT).alias("hot"))
     sets = keys.groupBy("tid").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot"))
     return sets.join(rows.groupBy("tid").agg(F.min("d").alias("d")), "tid")

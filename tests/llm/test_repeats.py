@@ -71,3 +71,31 @@ def test_long_texts_are_cut_into_pieces(monkeypatch):
     u = repeats.Units(Kind("byte", 20, 16, False), data, np.array([0, len(data)]))
     got = sorted((int(s), int(n)) for _, starts, n, _, _ in u.segments() for s, n in zip(starts, n))
     assert got[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(got, got[1:])) and sum(got[-1]) == len(data) - 19
+
+
+def test_shards_spill_their_queues(spark, frame, odd, tmp_path, monkeypatch):
+    folder = tmp_path / "spill"
+    monkeypatch.setattr(induced, "work_dir", lambda spark: f"file://{folder}")
+    call = lambda: {r.doc_id: (r.n_units, r.n_removed, r.n_spans, r.kept_sha256) for r in induced.suffix_dedup(frame(odd), queue_bytes=40).collect()}
+    with pytest.raises(Exception, match="lanes-"):  # the folder isn't there yet: shards do write to it
+        call()
+    folder.mkdir()
+    assert call() == induced.brute(odd)
+    assert not list(folder.iterdir())  # what was spilled is deleted when read
+
+
+def test_a_key_is_hot_by_its_segments(spark, frame, monkeypatch):
+    """One gram that comes up many times in two texts, before ever new text."""
+    monkeypatch.setattr(repeats, "HOT", 50)
+    rng, kind = np.random.default_rng(5), Kind("byte", 50, 20, False)
+    some = rng.integers(97, 123, (500, 20)).astype(np.uint8)
+    hashes = [repeats.Units(kind, x, np.array([0, 20])).grams(0, 1)[0] for x in some]
+    gram = some[np.argmin(hashes)].tobytes().decode()  # of so low a hash that windows have it for their key
+    rows = [(d, "".join(gram + "".join(map(chr, rng.integers(97, 123, 40))) for _ in range(100))) for d in (1, 2)]
+    docs = frame(rows).selectExpr("doc_id", "doc_id AS d", "doc_id AS tid", "text")
+    assert all(r.hot for r in repeats._wanted(docs, kind).collect())
+    got = {r.doc_id: (r.n_units, r.n_removed, r.n_spans, r.kept_sha256) for r in induced.suffix_dedup(frame(rows)).collect()}
+    assert got == induced.brute(rows)
+    # a run of one gram is long segments: it counts by its windows
+    docs = frame([(1, "x" * 5000), (2, "x" * 5000 + "y")]).selectExpr("doc_id", "doc_id AS d", "doc_id AS tid", "text")
+    assert all(r.hot for r in repeats._wanted(docs, kind).collect())
