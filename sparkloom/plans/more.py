@@ -51,9 +51,9 @@ def phonetic(spark, sf_dir):
     return spark.createDataFrame([("Braz",), ("Brás",), ("Ωμ",)], "x string").select("x", M.fuzzy_rsoundex(F.col("x")).alias("r"), M.fuzzy_script(F.col("x")).alias("s"))
 
 
-@register("fn_translit", "SELECT doc_id, strip_accents(replace(replace(replace(text, 'ß', 'ss'), 'æ', 'ae'), 'ø', 'o')) AS t FROM documents WHERE lang = 'fr'")
+@register("fn_translit", "SELECT doc_id, strip_accents(replace(replace(replace(text, 'ß', 'ss'), 'æ', 'ae'), 'ø', 'o')) AS t FROM documents")
 def translit(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'fr'").select("doc_id", M.translit(F.col("text")).alias("t"))
+    return table(spark, sf_dir, "documents").select("doc_id", M.translit(F.col("text")).alias("t"))
 
 
 @register("analyze_table", "SELECT 'o_orderkey' AS \"column\", count(*) AS \"rows\", CAST(0 AS BIGINT) AS \"nulls\", CAST(min(o_orderkey) AS VARCHAR) AS low, CAST(max(o_orderkey) AS VARCHAR) AS high FROM orders")

@@ -54,3 +54,10 @@ def test_filters_and_columns_reach_the_scan(spark, data):
 def test_names_are_registered_once():
     with pytest.raises(ValueError):
         registry.register(NAMES[0])(lambda spark, sf_dir: None)
+
+
+def test_translit_covers_every_language(spark, tmp_path):
+    rows = [(1, "Größe Äpfel", "de"), (2, "el niño", "es"), (3, "déjà vu", "fr"), (4, "plain", "en"), (5, "Ærø ærø", None), (6, None, "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.t for r in registry.queries()["fn_translit"](spark, str(tmp_path)).collect()}
+    assert got == {1: "Grosse Apfel", 2: "el nino", 3: "deja vu", 4: "plain", 5: "Æro aero", 6: None}
