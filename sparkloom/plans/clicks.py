@@ -23,7 +23,7 @@ sql("clicks_derived_keys", "SELECT user_id, user_id - 1 AS a, user_id - 2 AS b,
 sql("clicks_offset", "SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10 OFFSET 20")
 sql("clicks_case_key", "SELECT CASE WHEN value > 50 THEN event_type ELSE '' END AS src, count(*) AS n FROM events GROUP BY 1")
 sql("clicks_by_day", "SELECT CAST(ts AS DATE) AS d, count(*) AS n, count(DISTINCT user_id) AS u FROM events GROUP BY CAST(ts AS DATE)")
-sql("graph_two_hops", "SELECT DISTINCT a.o_custkey AS x, c.l_suppkey AS y FROM orders a JOIN lineitem b ON a.o_orderkey = b.l_orderkey JOIN lineitem c ON b.l_partkey = c.l_partkey WHERE a.o_custkey < 10")
+sql("graph_two_hops", "SELECT DISTINCT a.x, c.y FROM (SELECT DISTINCT o_custkey AS x, l_partkey AS p FROM orders JOIN lineitem ON o_orderkey = l_orderkey) a JOIN (SELECT DISTINCT l_partkey AS p, l_suppkey AS y FROM lineitem) c ON a.p = c.p")
 sql("graph_degree", "SELECT l_suppkey AS node, count(DISTINCT l_partkey) AS degree FROM lineitem GROUP BY l_suppkey")
 sql("graph_streaks", "SELECT user_id, max(n) AS longest FROM (SELECT user_id, grp, count(*) AS n FROM (SELECT user_id, d, date_add(d, -CAST(row_number() OVER (PARTITION BY user_id ORDER BY d) AS INT)) AS grp FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events) x) y GROUP BY user_id, grp) z GROUP BY user_id", "SELECT user_id, max(n) AS longest FROM (SELECT user_id, grp, count(*) AS n FROM (SELECT user_id, d, d - CAST(row_number() OVER (PARTITION BY user_id ORDER BY d) AS INTEGER) AS grp FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events) x) y GROUP BY user_id, grp) z GROUP BY user_id")
 sql("graph_conversations", "SELECT conv_id, count(*) AS turns, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS asked FROM conversations GROUP BY conv_id", "SELECT conv_id, count(*) AS turns, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS BIGINT) AS asked FROM conversations GROUP BY conv_id")

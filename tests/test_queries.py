@@ -61,3 +61,13 @@ def test_translit_covers_every_language(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.t for r in registry.queries()["fn_translit"](spark, str(tmp_path)).collect()}
     assert got == {1: "Grosse Apfel", 2: "el nino", 3: "deja vu", 4: "plain", 5: "Æro aero", 6: None}
+
+
+def test_two_hops_start_at_every_customer(spark, data):
+    got = [tuple(r) for r in registry.queries()["graph_two_hops"](spark, data).select("x", "y").collect()]
+    orders, lines = (spark.read.parquet(f"{data}/{t}.parquet").collect() for t in ("orders", "lineitem"))
+    suppliers, customer = {}, {r.o_orderkey: r.o_custkey for r in orders}
+    for r in lines:
+        suppliers.setdefault(r.l_partkey, set()).add(r.l_suppkey)
+    want = {(customer[r.l_orderkey], y) for r in lines if r.l_orderkey in customer for y in suppliers[r.l_partkey]}
+    assert len(got) == len(want) and set(got) == want and max(x for x, _ in got) >= 10
