@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import struct
 import zlib
 
@@ -33,7 +34,8 @@ class WordEncoder:
     """Encodes texts word by word, remembering words.
 
     Exact for tokenizers whose pre-tokenizer never joins text across ASCII white space
-    and drops it. What it remembers is of bounded size.
+    and drops it. What it remembers is of bounded size. Added tokens, such as the end of a
+    text, are found in a text as the tokenizer finds them by default.
     """
 
     def __init__(self, path: str):
@@ -41,7 +43,13 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content.encode(): k for k, t in added.items()}
+        self.contents = list(self.added)
+        # added tokens that are found in the raw text and take nothing beside them part a text; others are left to the tokenizer
+        self.parting = all(t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word or t.content.split() != [t.content]) for t in added.values())
+        self.parts = re.compile(b"(%s)" % b"|".join(re.escape(c) for c in sorted(self.contents, key=len, reverse=True))) if added else None
+        self.tokenizer.encode_special_tokens = self.parting  # between added tokens, lower case mustn't make one
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         mark = self.tokenizer.encode("\x01", add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None  # a lone control character parts the words of a line
@@ -64,6 +72,22 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian integers of 2 or 4 bytes."""
+        if self.added and not self.parting:
+            return [self._ids(self.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids) for t in texts]
+        with_added = [k for k, t in enumerate(texts) if any(c in t for c in self.contents)]
+        if not with_added:
+            return self._words(texts)
+        parts = {k: self.parts.split(texts[k]) for k in with_added}  # what is between, and the tokens, in turn
+        out = self._words([b"" if k in parts else t for k, t in enumerate(texts)])
+        between = iter(self._words([x for p in parts.values() for x in p[::2]]))
+        for k, p in parts.items():
+            out[k] = b"".join(self._ids([self.added[x]]) if n % 2 else next(between) for n, x in enumerate(p))
+        return out
+
+    def _ids(self, ids: list[int]) -> bytes:
+        return np.array(ids, "<u4" if self.wide else "<u2").tobytes()
+
+    def _words(self, texts: list[bytes]) -> list[bytes]:
         return [b"".join(b"".join(self._piece(p)) for p in _pieces(t)) for t in texts] if any(len(t) > PIECE for t in texts) else self._batch(texts)
 
     def _piece(self, text: bytes):

@@ -230,3 +230,22 @@ def test_pipeline_against_plain_loops(spark, data, tmp_path):
         start += len(ids)
     assert sorted((tuple(r) for r in results[4]), key=lambda r: r[1]) == want
     assert corpus_pipeline.run(spark, data).count() == len(want)
+
+
+def test_added_tokens_are_the_librarys(spark, frame):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    texts = [
+        "one <|endoftext|> two", "One<|endoftext|>Two's", "<|endoftext|>", "<|startoftext|><|endoftext|> x <|startoftext|>", "<|ENDOFTEXT|> Shout", "<|endoftext|><|ENDOFTEXT|>A\u0301",
+        "<|endoftext|", "plain", "", "A<|endoftext|>\u0301 E\u0301", "<|<|endoftext|>|> <|endoftext|>\n", "größe<|endoftext|>ÄÖ",
+    ]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[0] == [637, 49407, 1237]
+    e = K.WordEncoder(path)
+    got = [np.frombuffer(x, "<u4" if e.wide else "<u2").tolist() for x in e.encode([x.encode() for x in texts])]
+    assert got == want
+    rows = K.token_records(frame(list(enumerate(texts)))).collect()
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in rows} == {k: (len(w) + 1, zlib.crc32(np.array(w + [1], "<u4").tobytes())) for k, w in enumerate(want)}
