@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import ship, slice_texts, utf8
 
-#: Labelled rows of each class that a fit looks at, at most, and bytes of each; the fit alone is bounded, scores see whole texts.
+#: Labelled rows of each class that a fit looks at, at most, and their bytes on average; a fit sees fewer rows where these are longer, all of them whole.
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 16 << 10
 #: Bytes of a dictionary.
 DICTIONARY = 96 << 10
@@ -85,9 +85,24 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def _whole_rows(lengths: list[tuple], budget: int) -> list[tuple]:
+    """Of (label, hash, id, text's hash, bytes), by class the first in order of hash that fit the budget, and 8 that aren't empty in any case."""
+    out = []
+    for y in (True, False):
+        size = some = 0
+        for r in sorted(r for r in lengths if r[0] == y):
+            if some >= 8 and size + r[4] > budget:
+                break
+            size, some = size + r[4], some + (r[4] > 0)
+            out.append(r)
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fits on at most ``sample_rows`` labelled documents of each class, those of least hash, which aren't held out.
 
+    Their texts are read whole, SAMPLE_BYTES each on average: longer ones make for fewer
+    rows. Rows with one id count as one, the one whose text has the least hash.
     One half of them makes the dictionaries, the other the calibration. Contradicting
     labels count as their mean. Without documents of both classes every score is the
     share of good ones (0.5 without any).
@@ -101,8 +116,12 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return Model(b"", b"", (), base)
     order = F.xxhash64(F.lit("sample"), "_d")
     some = known.where("_y").orderBy(order, "_d").limit(sample_rows).unionAll(known.where("not _y").orderBy(order, "_d").limit(sample_rows))
-    found = docs.join(F.broadcast(some), F.col(doc_id) == F.col("_d")).select("_y", order.alias("h"), F.substring(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 1, SAMPLE_BYTES).alias("t"))
-    rows = sorted(((r._y, r.h, bytes(r.t)) for r in found.limit(4 * sample_rows).collect()), key=lambda r: r[1:])
+    texts = docs.select(F.col(doc_id).alias("_d"), F.coalesce(text, F.lit("")).alias("t")).withColumn("x", F.xxhash64("t"))
+    found = texts.join(F.broadcast(some), "_d").groupBy("_d", "_y").agg(F.min(F.struct("x", F.octet_length("t").alias("n"))).alias("m"))
+    lengths = [tuple(r) for r in found.select("_y", order, "_d", "m.x", "m.n").collect()]  # one small row for each labelled row of the sample
+    chosen = docs.sparkSession.createDataFrame(_whole_rows(lengths, sample_rows * SAMPLE_BYTES), T.StructType([T.StructField("_y", T.BooleanType()), T.StructField("h", T.LongType()), found.schema["_d"], T.StructField("x", T.LongType()), T.StructField("n", T.LongType())]))
+    found = texts.join(F.broadcast(chosen), ["_d", "x"]).dropDuplicates(["_d"]).select("_y", "h", "t")
+    rows = sorted(((r._y, r.h, r.t.encode()) for r in found.collect()), key=lambda r: r[1:])
     half = {y: [t for v, _, t in rows if v == y and t] for y in (True, False)}
     if min(map(len, half.values())) < 4:
         return Model(b"", b"", (), base)

@@ -249,3 +249,33 @@ def test_added_tokens_are_the_librarys(spark, frame):
     assert got == want
     rows = K.token_records(frame(list(enumerate(texts)))).collect()
     assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in rows} == {k: (len(w) + 1, zlib.crc32(np.array(w + [1], "<u4").tobytes())) for k, w in enumerate(want)}
+
+
+def _labelled(n):
+    """Ids that a fit may look at, and their labels by turns."""
+    ids = [d for d in range(1, 10 * n) if zlib.crc32(str(d).encode()) % 3 != 1][:n]
+    return [(d, k % 2) for k, d in enumerate(ids)]
+
+
+def test_quality_is_fitted_on_whole_texts(spark, frame):
+    """Both classes begin alike for 20 KB; what tells them apart comes behind that."""
+    rng = np.random.default_rng(7)
+    words = [["".join(map(chr, rng.integers(97, 123, 6))) for _ in range(60)] for _ in range(3)]
+    text = lambda k, n: " ".join(rng.choice(words[k], n))
+    known = _labelled(80)
+    rows = [(d, text(2, 3000) + " " + text(y, 3000)) for d, y in known]
+    model = Q.fit(frame(rows), spark.createDataFrame(known, "doc_id long, quality int"))
+    score = Q.Scorer(model).score
+    assert all(score((text(2, 3000) + " " + text(1, 3000)).encode()) > 0.5 > score((text(2, 3000) + " " + text(0, 3000)).encode()) for _ in range(10))
+
+
+def test_quality_counts_a_repeated_row_once(spark, frame):
+    known = _labelled(40)
+    rows = [(d, f"{'good words here' if y else 'BAD %%% 000'} {d}") for d, y in known]
+    labels = spark.createDataFrame(known, "doc_id long, quality int")
+    want = Q.fit(frame(rows), labels, sample_rows=20)
+    assert want.weights
+    assert Q.fit(frame(rows[:1] * 3000 + rows), labels, sample_rows=20) == want
+    # longer rows make for fewer of them, never for none
+    lengths = [(y, k, k, 0, 100) for y in (True, False) for k in range(50)]
+    assert len(Q._whole_rows(lengths, 1000)) == 20 and len(Q._whole_rows(lengths, 1)) == 16
