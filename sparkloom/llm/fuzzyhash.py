@@ -48,15 +48,34 @@ def _boundaries(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     return np.concatenate(levels), np.concatenate(sums), total
 
 
-def _signature(sums: np.ndarray, total: int) -> str:
-    """Two characters for each chunk; a run of equal chunks counts three times at most, the last of MOST chunks is all the rest."""
-    ends = np.append(sums[: MOST - 1], np.uint32(total))
-    h = np.diff(ends, prepend=np.uint32(0)).astype(np.uint32)
+def _codes(h: np.ndarray) -> np.ndarray:
     h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
-    code = (h ^ h >> np.uint32(13)) >> np.uint32(20)
-    if len(code) > 3:
-        same = (code[3:] == code[2:-1]) & (code[2:-1] == code[1:-2]) & (code[1:-2] == code[:-3])
-        code = code[np.concatenate([[True] * 3, ~same])]
+    return (h ^ h >> np.uint32(13)) >> np.uint32(20)
+
+
+def _fourth(code: np.ndarray, period: int) -> np.ndarray:
+    """Which chunks end a fourth or later round of the same ``period`` chunks."""
+    out = np.zeros(len(code), bool)
+    if len(code) > 3 * period:
+        differ = np.concatenate([[0], np.cumsum(code[period:] != code[:-period])])
+        out[4 * period - 1 :] = differ[3 * period :] == differ[: -3 * period]
+    return out
+
+
+def _signature(sums: np.ndarray, total: int) -> str:
+    """Two characters for each chunk; a run of equal chunks counts three times at most.
+
+    Where more than MOST are left, so do rounds of several chunks; of what is left then, the last of MOST chunks is all the rest.
+    """
+    ends = np.append(sums, np.uint32(total))
+    code = _codes(np.diff(ends, prepend=np.uint32(0)).astype(np.uint32))
+    for period in range(1, MOST // 4 + 1):
+        if period > 1 and len(code) <= MOST:
+            break
+        gone = _fourth(code, period)
+        code, ends = code[~gone], ends[~gone]
+    if len(code) > MOST:
+        code = np.append(code[: MOST - 1], _codes(np.array([total], np.uint32) - ends[MOST - 2 : MOST - 1]))
     return _DIGITS[np.stack([code >> np.uint32(6), code & np.uint32(63)], 1).reshape(-1)].tobytes().decode()
 
 

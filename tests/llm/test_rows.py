@@ -279,3 +279,21 @@ def test_quality_counts_a_repeated_row_once(spark, frame):
     # longer rows make for fewer of them, never for none
     lengths = [(y, k, k, 0, 100) for y in (True, False) for k in range(50)]
     assert len(Q._whole_rows(lengths, 1000)) == 20 and len(Q._whole_rows(lengths, 1)) == 16
+
+
+@pytest.mark.parametrize("line", ["a line that comes up again and again\n", "another rather longer line, with a few more words in it, that comes up again and again, too\n"])
+def test_fingerprints_reach_behind_repeated_lines(line):
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, 6)))
+    tail, other = (" ".join(word() for _ in range(800)) for _ in range(2))
+    f = lambda t: H.fingerprint((line * 400 + t).encode())
+    changed = tail[:2000] + "xyz" + tail[2000:]
+    assert H.likeness(f(tail), f(changed)) > 0.8 > 0.5 > H.likeness(f(tail), f(other))
+    assert len(f(tail).split(":")[1]) > 2 * 4
+
+
+def test_rounds_count_three_times():
+    for period in (1, 2, 5):
+        code = np.arange(period, dtype=np.uint32)
+        assert H._fourth(np.concatenate([np.tile(code, 6), [99]]), period).tolist() == [False] * (4 * period - 1) + [True] * (2 * period + 1) + [False]
+    assert not H._fourth(np.arange(9), 2).any() and not H._fourth(np.zeros(3), 1).any()
