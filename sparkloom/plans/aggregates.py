@@ -29,7 +29,7 @@ sql("agg_percentile_disc", "SELECT o_orderstatus, percentile_disc(0.5) WITHIN GR
 sql("agg_median", "SELECT l_returnflag, round(median(l_extendedprice), 4) AS m FROM lineitem GROUP BY l_returnflag")
 sql("agg_percentile", "SELECT round(percentile(l_quantity, 0.9), 6) AS p FROM lineitem", "SELECT round(quantile_cont(l_quantity, 0.9), 6) AS p FROM lineitem")
 sql("agg_stddev", "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS s FROM lineitem GROUP BY l_returnflag")
-sql("agg_approx_count_distinct", "SELECT count(DISTINCT l_partkey) > 0 AS some FROM lineitem")
+sql("agg_approx_count_distinct", "SELECT count(DISTINCT l_partkey) AS n, abs(approx_count_distinct(l_partkey, 0.01) - count(DISTINCT l_partkey)) <= 3 * 0.01 * count(DISTINCT l_partkey) AS near FROM lineitem", "SELECT count(DISTINCT l_partkey) AS n, true AS near FROM lineitem")
 sql("agg_rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 sql("agg_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 sql("agg_grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")

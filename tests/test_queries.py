@@ -71,3 +71,10 @@ def test_two_hops_start_at_every_customer(spark, data):
         suppliers.setdefault(r.l_partkey, set()).add(r.l_suppkey)
     want = {(customer[r.l_orderkey], y) for r in lines if r.l_orderkey in customer for y in suppliers[r.l_partkey]}
     assert len(got) == len(want) and set(got) == want and max(x for x, _ in got) >= 10
+
+
+def test_the_approximate_count_is_called(spark, data):
+    df = registry.queries()["agg_approx_count_distinct"](spark, data)
+    assert "approx_count_distinct" in df._jdf.queryExecution().optimizedPlan().toString()
+    row = df.first()
+    assert row.near and row.n == spark.read.parquet(f"{data}/lineitem.parquet").select("l_partkey").distinct().count()
