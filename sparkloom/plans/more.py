@@ -33,11 +33,11 @@ def typeof(spark, sf_dir):
     return t.select("n_nationkey", M.typeof(t, "n_nationkey").alias("k"), M.typeof(t, "n_name").alias("n"))
 
 
-@register("fn_array_edit", "SELECT n_nationkey, CAST(n_nationkey AS VARCHAR) || ',9,3' AS s, n_regionkey || ',3' AS r, 'a|~|c' AS t FROM nation WHERE n_nationkey > 10")
+@register("fn_array_edit", "SELECT n_nationkey, CAST(n_nationkey AS VARCHAR) || ',9,3' AS s, array_to_string(list_filter([n_nationkey, n_regionkey, 3], lambda x: x <> n_nationkey), ',') AS r, 'a|~|c' AS t FROM nation")
 def array_edit(spark, sf_dir):
     a = F.array("n_nationkey", "n_regionkey", F.lit(3))
     j = lambda x: F.array_join(x, ",")
-    return table(spark, sf_dir, "nation").where("n_nationkey > 10").select("n_nationkey", j(M.array_set_element(a, 2, F.lit(9))).alias("s"), j(F.array_remove(a, F.col("n_nationkey"))).alias("r"), F.array_join(M.string_to_array(F.lit("a.b.c"), ".", "b"), "|", "~").alias("t"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", j(M.array_set_element(a, 2, F.lit(9))).alias("s"), j(F.array_remove(a, F.col("n_nationkey"))).alias("r"), F.array_join(M.string_to_array(F.lit("a.b.c"), ".", "b"), "|", "~").alias("t"))
 
 
 @register("fn_vector_forms", "SELECT vec_id, CAST(len(list_filter(embedding, lambda x: x > 0)) AS INTEGER) AS bits, round(-list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 4) AS dot, CAST(len(embedding) * 2 AS INTEGER) AS twice, CAST(2 AS INTEGER) AS part, CAST(255 AS INTEGER) AS top FROM embeddings")

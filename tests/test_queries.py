@@ -78,3 +78,9 @@ def test_the_approximate_count_is_called(spark, data):
     assert "approx_count_distinct" in df._jdf.queryExecution().optimizedPlan().toString()
     row = df.first()
     assert row.near and row.n == spark.read.parquet(f"{data}/lineitem.parquet").select("l_partkey").distinct().count()
+
+
+def test_array_edit_covers_every_nation(spark, data):
+    nations = {r.n_nationkey: r.n_regionkey for r in spark.read.parquet(f"{data}/nation.parquet").collect()}
+    got = {r.n_nationkey: r.r for r in registry.queries()["fn_array_edit"](spark, data).collect()}
+    assert got == {k: ",".join(str(x) for x in (k, v, 3) if x != k) for k, v in nations.items()} and len(got) == 25
