@@ -9,7 +9,6 @@ so that a reader can fetch records in any order.
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 import struct
@@ -17,25 +16,29 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import file_system, partitions_for, read_bytes, ship, slice_texts, utf8, work_dir
 from .crc32c import crc32c, masked
 
-#: Words that a worker remembers, twice over.
-CACHE_WORDS = 700_000
+#: Bytes that a worker's remembered words and their ids take, at most about; what looks them up takes as much again.
+CACHE_BYTES = 8 << 20
+#: Bytes of records that are read in one go.
+READ_BYTES = 4 << 20
 #: Punctuation that makes one piece after letters.
 _TAIL = b",.!?;:*$%&#"
-#: Bytes of a text that are encoded in one go.
-PIECE = 1 << 20
+#: Bytes of text that are encoded in one go.
+PIECE = 4 << 20
 
 
 class WordEncoder:
     """Encodes texts word by word, remembering words.
 
     Exact for tokenizers whose pre-tokenizer never joins text across ASCII white space
-    and drops it. What it remembers is of bounded size. Added tokens, such as the end of a
-    text, are found in a text as the tokenizer finds them by default.
+    and drops it. It remembers words and their ids as arrays; when these pass CACHE_BYTES,
+    it goes on with the last words alone. Added tokens, such as the end of a text, are
+    found in a text as the tokenizer finds them by default.
     """
 
     def __init__(self, path: str):
@@ -56,8 +59,8 @@ class WordEncoder:
         ends = [t.endswith("</w>") for t, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])]
         self.ends = np.array(ends)
         self.split = self._splitter(path) if any(ends) else None
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.kind = "<u4" if self.wide else "<u2"
+        self.words, self.n, self.flat = pa.array([b""], pa.binary()), np.zeros(1, np.int32), np.zeros(0, self.kind)
 
     def _splitter(self, path: str):
         """The same vocabulary for text that is normalised and whose pre-tokens are parted by spaces; None where that isn't the same thing."""
@@ -85,70 +88,106 @@ class WordEncoder:
         return out
 
     def _ids(self, ids: list[int]) -> bytes:
-        return np.array(ids, "<u4" if self.wide else "<u2").tobytes()
+        return np.array(ids, self.kind).tobytes()
 
     def _words(self, texts: list[bytes]) -> list[bytes]:
-        return [b"".join(b"".join(self._piece(p)) for p in _pieces(t)) for t in texts] if any(len(t) > PIECE for t in texts) else self._batch(texts)
-
-    def _piece(self, text: bytes):
-        return self._batch([text])
+        out, group, size = [], [], 0
+        for t in texts:
+            if size + len(t) > PIECE and group:
+                out += self._batch(group)
+                group, size = [], 0
+            if len(t) > PIECE:
+                out.append(b"".join(x for p in _pieces(t) for x in self._batch([p])))
+            else:
+                group.append(t)
+                size += len(t)
+        return out + self._batch(group) if group else out
 
     def _batch(self, texts: list[bytes]) -> list[bytes]:
         # ASCII letters in lower case, unless a mark of U+0300 to U+033F might compose with one of them
-        split = [(t if b"\xcc" in t else t.lower()).split() for t in texts]
-        known, old = self.new, self.old
-        missing = set().union(*split).difference(known)
-        for w in missing.intersection(old):
-            known[w] = old[w]
-        self._learn(list(missing.difference(old)))
-        out = [b"".join(map(known.__getitem__, x)) for x in split]
-        if len(known) > CACHE_WORDS:
-            self.old, self.new = known, {}
-        return out
-
-    def _learn(self, missing: list[bytes]) -> None:
-        """Encodes words many to a line, parted by a lone control character."""
-        known = self.new
-        kind, width = ("<u4", 4) if self.wide else ("<u2", 2)
-        for w in missing if self.mark is None else [w for w in missing if b"\x01" in w]:
-            known[w] = np.array(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, kind).tobytes()
-        together = [] if self.mark is None else [w for w in missing if b"\x01" not in w]
-        plain = {w: x for w in together if (x := _plain(w))} if self.split is not None else {}
-        self._lines(list(plain), self.split, plain)
-        self._lines([w for w in together if w not in plain], self.tokenizer, None)
-
-    def _lines(self, words: list[bytes], tokenizer, plain: dict[bytes, bytes] | None) -> None:
-        known = self.new
-        kind, width = ("<u4", 4) if self.wide else ("<u2", 2)
+        column = pa.array([t if b"\xcc" in t else t.lower() for t in texts], pa.binary()).view(pa.string())
+        split = pc.ascii_split_whitespace(column)
+        words = split.values.dictionary_encode()
+        each = words.dictionary.view(pa.binary())
+        which = self._known(each)
+        missing = np.flatnonzero(which < 0)
+        if len(missing):
+            new = each.take(pa.array(missing))
+            ids = self._learn(new.to_pylist())
+            which[missing] = len(self.n) + np.arange(len(missing), dtype=np.int32)
+            width = 4 if self.wide else 2
+            self.words = pa.concat_arrays([self.words, new])
+            self.n = np.concatenate([self.n, np.array([len(x) // width for x in ids], np.int32)])
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), self.kind)])
+        first = np.cumsum(self.n, dtype=np.int32) - self.n
+        at = which[words.indices.to_numpy()]
+        n = self.n[at]
+        to = np.zeros(len(n) + 1, np.int32)
+        np.cumsum(n, dtype=np.int32, out=to[1:])
+        place = np.repeat(first[at] - to[:-1], n)
+        place += np.arange(len(place), dtype=np.int32)
+        out = self.flat[place].tobytes()
+        bounds = (to[split.offsets.to_numpy()] * (4 if self.wide else 2)).tolist()
+        if self.words.nbytes + self.n.nbytes + self.flat.nbytes > CACHE_BYTES:  # go on with the words of these texts
+            n = self.n[which]
+            place = np.repeat(first[which] - (np.cumsum(n, dtype=np.int32) - n), n)
+            self.flat = self.flat[place + np.arange(len(place), dtype=np.int32)]
+            self.words, self.n = each, n
+        return [out[x:y] for x, y in zip(bounds, bounds[1:])]
+
+    def _known(self, words: pa.Array) -> np.ndarray:
+        """The number of each word among those remembered, or -1."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).copy()
+
+    def _learn(self, missing: list[bytes]) -> list[bytes]:
+        """The ids of words: the pre-tokens of plain ones each alone, others many to a line, parted by a lone control character."""
+        known: dict[bytes, bytes] = {b"": b""}
+        parts = [_plain(w) for w in missing] if self.split is not None else [None] * len(missing)
+        cores = list({x for p in parts if p for x in p if x})
+        at = self._known(pa.array(cores, pa.binary()))
+        first = np.cumsum(self.n, dtype=np.int64) - self.n
+        some = np.flatnonzero(at >= 0)
+        a, n = first[at[some]].tolist(), self.n[at[some]].tolist()
+        known.update((cores[k], self.flat[x : x + m].tobytes()) for k, x, m in zip(some.tolist(), a, n))
+        self._lines([cores[k] for k in np.flatnonzero(at < 0).tolist()], self.split, b" ", known)
+        rest = [w for w, p in zip(missing, parts) if not p]
+        for w in rest if self.mark is None else [w for w in rest if b"\x01" in w]:
+            known[w] = self._ids(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids)
+        if self.mark is not None:
+            self._lines([w for w in rest if b"\x01" not in w], self.tokenizer, b" \x01 ", known)
+        return [known[p[0]] + known[p[1]] if p else known[w] for w, p in zip(missing, parts)]
+
+    def _lines(self, words: list[bytes], tokenizer, between: bytes, known: dict[bytes, bytes]) -> None:
+        width = 4 if self.wide else 2
         lines = [words[k : k + 256] for k in range(0, len(words), 256)]
         for k in range(0, len(lines), 64):
             some = lines[k : k + 64]
-            texts = [b" \x01 ".join(x) for x in some] if plain is None else [b" ".join([plain[w] for w in x]) for x in some]
-            texts = [t.decode("utf-8", "replace") for t in texts]
-            for line, e in zip(some, tokenizer.encode_batch_fast(texts if plain is None else [t.lower() for t in texts], add_special_tokens=False)):
-                ids = np.array(e.ids, kind)
-                if plain is None:
+            texts = [between.join(x).decode("utf-8", "replace") for x in some]
+            plain = between == b" "
+            for line, e in zip(some, tokenizer.encode_batch_fast([t.lower() for t in texts] if plain else texts, add_special_tokens=False)):
+                ids = np.array(e.ids, self.kind)
+                if plain:  # pre-tokens: each ends in an id that ends a word
+                    ends = ((np.flatnonzero(self.ends[ids]) + 1) * width).tolist()
+                    starts = [0, *ends[:-1]]
+                else:
                     at = np.flatnonzero(ids == self.mark)
                     starts, ends = [0, *((at + 1) * width).tolist()], [*(at * width).tolist(), len(ids) * width]
-                else:
-                    pieces = np.cumsum([plain[w].count(b" ") for w in line]) + np.arange(len(line))
-                    ends = ((np.flatnonzero(self.ends[ids])[pieces] + 1) * width).tolist()
-                    starts = [0, *ends[:-1]]
-                assert ends[-1] == len(ids) * width and len(ends) == len(line)
+                if len(ends) != len(line) or ends[-1] != len(ids) * width:
+                    raise ValueError("the tokenizer joins words")
                 ids = ids.tobytes()
                 known.update(zip(line, [ids[x:y] for x, y in zip(starts, ends)]))
 
 
-def _plain(word: bytes) -> bytes | None:
-    """A word as its pre-tokens parted by a space, where they are plain to see: letters, which compose with nothing, then perhaps punctuation."""
+def _plain(word: bytes) -> tuple[bytes, bytes] | None:
+    """A word's pre-tokens, where they are plain to see: letters, which compose with nothing, then perhaps punctuation."""
     if word.isalpha():
-        return word
+        return word, b""
     core = word.rstrip(_TAIL)
     if not core.isalpha():
         text = core.decode("utf-8", "replace")
         if not text.isalpha() or max(text) >= "\u0130":
             return None
-    return core + b" " + word[len(core) :] if len(core) < len(word) else core
+    return core, word[len(core) :]
 
 
 def _pieces(text: bytes):
@@ -191,7 +230,7 @@ def read_frames(data: bytes, offsets) -> list[bytes]:
 
 
 def write_tokens(docs: DataFrame, out: str, vocabulary: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> list[dict]:
-    """Encodes all texts, each followed by ``end_id``, and writes record files in ascending doc_id order (null first, equal ids by text).
+    """Encodes all texts, each followed by ``end_id``, and writes record files in ascending doc_id order (null first, equal ids by their texts' hashes, then by text).
 
     Returns one row per file in order: part, path, index, docs, tokens. A null or empty
     text is the end id alone; an empty table writes nothing. Other columns aren't read.
@@ -201,7 +240,7 @@ def write_tokens(docs: DataFrame, out: str, vocabulary: str, end_id: int = 1, do
     spark = ship(docs.sparkSession)
     sized = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
     n = partitions_for(spark, _input_bytes(docs))
-    ordered = sized.repartitionByRange(n, "d", F.xxhash64("t")).sortWithinPartitions("d", "t")
+    ordered = sized.repartitionByRange(n, "d", F.xxhash64("t")).sortWithinPartitions("d", F.xxhash64("t"), "t")
 
     def run(batches):
         from pyspark import TaskContext
@@ -214,7 +253,6 @@ def write_tokens(docs: DataFrame, out: str, vocabulary: str, end_id: int = 1, do
         store, at = file_system(path)
         temp = f"{at}.{TaskContext.get().taskAttemptId()}.tmp"
         offsets, tokens, place, f = [], 0, 0, None
-        gc.disable()  # a task makes millions of small objects, none of them cyclic
         for b in batches:
             ids = b.column(0).to_pylist()
             texts = list(slice_texts(*utf8(b.column(1))))
@@ -227,7 +265,6 @@ def write_tokens(docs: DataFrame, out: str, vocabulary: str, end_id: int = 1, do
                     place += len(y)
                     tokens += len(x) // width
                 f.write(b"".join(made))
-        gc.enable()
         if f is None:
             return
         f.close()
@@ -254,16 +291,22 @@ def read_tokens(spark, files: list[dict]) -> DataFrame:
     def run(batches):
         for b in batches:
             for path, index, base in zip(*(c.to_pylist() for c in b.columns)):
-                data, offsets = read_bytes(path), np.frombuffer(read_bytes(index), "<u8")
-                for k in range(0, len(offsets), 1000):
-                    out = {"doc_id": [], "start": [], "n_tokens": [], "ids_crc32": []}
-                    for p in read_frames(data, offsets[k : k + 1000]):
-                        flag, d = struct.unpack_from("<Bq", p)
-                        ids = np.frombuffer(p, "<u2" if flag & 127 == 2 else "<u4", offset=9).astype("<u4")
-                        for c, v in zip(out.values(), (None if flag & 128 else d, base, len(ids), zlib.crc32(ids.tobytes()))):
-                            c.append(v)
-                        base += len(ids)
-                    yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(c, pa.int64()) for c in out]))
+                store, at = file_system(path)
+                offsets = np.frombuffer(read_bytes(index), "<u8").astype(np.int64)  # eight bytes a record
+                with store.open_input_file(at) as f:
+                    bounds, k = np.append(offsets, f.size()), 0
+                    while k < len(offsets):
+                        j = max(k + 1, min(k + 1000, int(np.searchsorted(bounds, bounds[k] + READ_BYTES, "right")) - 1))
+                        data = f.read_at(int(bounds[j] - bounds[k]), int(bounds[k]))
+                        out = {"doc_id": [], "start": [], "n_tokens": [], "ids_crc32": []}
+                        for p in read_frames(data, offsets[k:j] - offsets[k]):
+                            flag, d = struct.unpack_from("<Bq", p)
+                            ids = np.frombuffer(p, "<u2" if flag & 127 == 2 else "<u4", offset=9).astype("<u4")
+                            for c, v in zip(out.values(), (None if flag & 128 else d, base, len(ids), zlib.crc32(ids.tobytes()))):
+                                c.append(v)
+                            base += len(ids)
+                        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(c, pa.int64()) for c in out]))
+                        k = j
 
     return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
