@@ -131,6 +131,8 @@ def _date(text: str) -> Value | None:
 
 def _email(text: str) -> Value | None:
     local, _, domain = text.partition("@")
+    if len(local) > LOCAL or len(domain) > DOMAIN:
+        return None
     places = [(k, 10 if c.isdigit() else 26, ord("0") if c.isdigit() else ord("a") if c.islower() else ord("A")) for k, c in enumerate(local) if c.isalnum()]
     if not re.fullmatch(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}", domain) or len(places) < 3:
         return None
@@ -148,6 +150,8 @@ def _email(text: str) -> Value | None:
     return Value("email", "email" + "".join("9" if r == 10 else "a" for _, r, _ in places), number, size, write)
 
 
+#: Characters of an e-mail address before and after its @, at most, as mail systems have it.
+LOCAL, DOMAIN = 64, 255
 #: Runs of what numbers are written with; then the kinds, in the order in which they are tried.
 _RUN = re.compile(r"[+(0-9][-+(0-9 )./]{5,}")
 _NUMBER = re.compile(
@@ -157,7 +161,8 @@ _NUMBER = re.compile(
     r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}(?P<c>[-.])\d{3}(?P=c)\d{4})"
     r"|(?P<card>\d{13,19}|\d{4}(?P<d>[ -])\d{4}(?P=d)\d{4}(?P=d)\d{4}|\d{4}(?P<e>[ -])\d{6}(?P=e)\d{5})"
 )
-_EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9][A-Za-z0-9.-]*[A-Za-z0-9]")
+#: Begins where a run of an address's characters does, so that a long run is read once; what follows the @ may be part of a next address.
+_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[._%+-]*([A-Za-z0-9][A-Za-z0-9._%+-]*)@(?=([A-Za-z0-9][A-Za-z0-9.-]*[A-Za-z0-9]))")
 _READ = {"card": _card, "phone": _phone, "ip": _ip, "ssn": _ssn, "date": _date, "email": _email}
 KINDS = tuple(_READ)
 
@@ -178,12 +183,24 @@ def find(text: str, kinds=KINDS) -> Iterator[tuple[int, int, Value]]:
                 at = s + 1
                 while at < len(text) and text[at - 1].isdigit() and text[at].isdigit():  # not from within a number
                     at += 1
-    if "email" in kinds and "@" in text:
-        for m in _EMAIL.finditer(text):
-            if value := _email(m[0]):
-                found = [x for x in found if x[1] <= m.start() or x[0] >= m.end()]
-                found.append((m.start(), m.end(), value))
-    return iter(sorted(found, key=lambda x: x[0]))
+    mails: list[tuple[int, int, Value]] = []
+    for m in _EMAIL.finditer(text) if "email" in kinds and "@" in text else ():
+        s, e = m.start(1), m.end(2)
+        if (not mails or mails[-1][1] <= s) and (value := _email(text[s:e])):
+            mails.append((s, e, value))
+    return _merged(found, mails)
+
+
+def _merged(numbers: list, mails: list) -> Iterator[tuple[int, int, Value]]:
+    """Both lists, each in order and free of overlaps, as one; a number that overlaps an address is part of it."""
+    k = 0
+    for mail in mails:
+        while k < len(numbers) and numbers[k][0] < mail[1]:
+            if numbers[k][1] <= mail[0]:
+                yield numbers[k]
+            k += 1
+        yield mail
+    yield from numbers[k:]
 
 
 @lru_cache(1 << 16)
@@ -214,14 +231,16 @@ def replace(text: str, key: bytes = KEY, kinds=KINDS, back: bool = False) -> tup
 def pseudonymise(docs: DataFrame, key: bytes = KEY, text: str = "text", kinds=KINDS, back: bool = False) -> DataFrame:
     """Adds _text (with pseudonyms) and _values: kind, start, end (code points of the text given) and pseudonym of each value.
 
+    A column of ``docs`` with one of these names is replaced; others pass through.
     Null texts stay null and have no values; empty ones stay empty. What doesn't validate
     (a number whose check digit is wrong, no calendar day, an octet over 255) stays as it
-    is. Each row is treated alone, so repeated rows agree, an empty table stays empty and
-    other columns pass through.
+    is. Each row is treated alone, so repeated rows agree, and an empty table stays empty.
+    A text's time and memory grow with its length alone.
     """
     if not key:
         raise ValueError("a key is needed")
     ship(docs.sparkSession)
+    rest = docs.drop("_text", "_values")
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("pseudonym", pa.string())])
 
     def run(batches):
@@ -234,7 +253,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, text: str = "text", kinds=KI
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string()), pa.array(values, pa.list_(span))], [*b.schema.names, "_text", "_values"])
 
     spans = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("pseudonym", T.StringType())]))
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_text", T.StringType()), T.StructField("_values", spans)]))
+    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField("_text", T.StringType()), T.StructField("_values", spans)]))
 
 
 def op2_pseudonyms(spark, sf_dir: str) -> DataFrame:
