@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .common import keep, work_dir
+
 #: A word is a run of bytes other than \\x20 and \\x09-\\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights by a source's rank in code point order, repeating.
@@ -41,13 +43,14 @@ def time_of(demand: Column, knots) -> Column:
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
-    """Of rows (source, source_size): adds rank, weight and target.
+    """Of one row per source (no_source, source, source_size): adds rank, weight and target.
 
     The targets share the sum of all sizes by weight; none is above ``cap`` times its
     source's size: they are the lesser of that and one common multiple of the weight,
-    which is what resharing the excess until none is above comes to.
+    which is what resharing the excess until none is above comes to. The windows see one
+    row of a source.
     """
-    ranked = sizes.withColumn("rank", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
+    ranked = sizes.withColumn("rank", F.row_number().over(W.orderBy("no_source", "source")) - 1)
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
     ranked = ranked.withColumn("weight", w).withColumn("_cap", F.lit(float(cap)) * F.col("source_size"))
     order = W.orderBy(F.col("_cap") / F.col("weight"), "rank")
@@ -60,25 +63,26 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
 def mix_sources(docs: DataFrame, size: str, source: str = "source", key: Column | None = None, weights=WEIGHTS, cap: float = CAP, schedules=SCHEDULES, buckets: int = BUCKETS) -> DataFrame:
     """Adds _source_size, _target, _taken (words, repeats counted) and _positions (training times 0 to 1, one per pass).
 
-    ``size`` names a long column with each row's words; ``key`` (default: a hash of all
-    columns) orders a source's rows, so reruns agree. A source's passes take its rows in
+    A column of ``docs`` with such a name is replaced, others pass through. ``size`` names
+    a long column with each row's words, ``source`` one of strings; ``key`` (default: a hash
+    of all columns) orders a source's rows, so reruns agree. A source's passes take its rows in
     that order until the target is reached; the row at which it is reached gives just the
     words still wanted. A null source is a source of its own and comes last; null sizes
     count as 0. An empty table gives an empty table; sources without words take nothing.
     Repeated rows stay apart. The hash ranges of a source are ordered apart, so that no
     task holds one source.
     """
-    columns = docs.columns
+    columns = [c for c in docs.columns if c not in ("_source_size", "_target", "_taken", "_positions")]
     key = F.xxhash64(*columns) if key is None else key
-    rows = docs.select(F.struct(*columns).alias("_row"), F.col(source).alias("_s"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_n"), key.alias("_h"))
+    named = [F.col(source).isNull().alias("_u"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_s")]
+    rows = docs.select(F.struct(*columns).alias("_row"), *named, F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_n"), key.alias("_h"))
     rows = rows.withColumn("_b", F.pmod("_h", F.lit(buckets)))
-    sums = rows.groupBy("_s", "_b").agg(F.sum("_n").alias("_bn"))
-    plan = targets(sums.groupBy(F.col("_s").alias("source")).agg(F.sum("_bn").alias("source_size")), weights, cap)
-    starts = sums.withColumn("_start", F.sum("_bn").over(W.partitionBy("_s").orderBy("_b")) - F.col("_bn")).drop("_bn")
-    starts = starts.join(plan, F.col("_s").eqNullSafe(F.col("source"))).select("_s", "_b", "_start", "source_size", "target", "rank")
-    inner = F.sum("_n").over(W.partitionBy("_s", "_b").orderBy("_h", "_row").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
-    placed = rows.withColumn("_in", inner).withColumnRenamed("_s", "_ds").withColumnRenamed("_b", "_db")
-    placed = placed.join(starts, F.col("_ds").eqNullSafe(F.col("_s")) & (F.col("_db") == F.col("_b")))
+    sums = rows.groupBy("_u", "_s", "_b").agg(F.sum("_n").alias("_bn"))
+    plan = targets(sums.groupBy(F.col("_u").alias("no_source"), F.col("_s").alias("source")).agg(F.sum("_bn").alias("source_size")), weights, cap)
+    plan = plan.select(F.col("no_source").alias("_u"), F.col("source").alias("_s"), "source_size", "target", "rank")
+    starts = sums.withColumn("_start", F.sum("_bn").over(W.partitionBy("_u", "_s").orderBy("_b")) - F.col("_bn")).drop("_bn")
+    inner = F.sum("_n").over(W.partitionBy("_u", "_s", "_b").orderBy("_h", "_row").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
+    placed = rows.withColumn("_in", inner).join(starts.join(plan, ["_u", "_s"]), ["_u", "_s", "_b"])
     offset, whole = F.col("_start") + F.col("_in"), F.col("source_size")
     passes = F.when(whole > 0, F.floor(F.col("target") / whole)).otherwise(F.lit(0)).cast("long")
     rest = F.round(F.col("target")).cast("long") - passes * whole
@@ -97,7 +101,8 @@ def in_training_order(mixed: DataFrame) -> DataFrame:
 
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sized = docs.select("doc_id", "source", words("text").alias("size"), F.xxhash64("doc_id", "text").alias("_key"))
+    # written, so that words are counted once
+    sized = keep(docs.select("doc_id", "source", words("text").alias("size"), F.xxhash64("doc_id", "text").alias("_key")), f"{work_dir(spark)}/sizes")
     mixed = mix_sources(sized, "size", key=F.col("_key"))
     return in_training_order(mixed).select(
         "doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"), F.get("_positions", F.lit(0)).alias("first_position"),

@@ -107,6 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     labels count as their mean. Without documents of both classes every score is the
     share of good ones (0.5 without any).
     """
+    # internal names stand beside none of the table's own: only what is named here is read
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id)).groupBy(F.col(doc_id).alias("_d"))
     known = known.agg((F.avg(label) >= 0.5).alias("_y"))
     counts = {r._y: r["count"] for r in known.groupBy("_y").count().collect()}
@@ -139,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def score_quality(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds _score (0 to 1; higher: good likelier) for every whole text.
+    """Adds _score (0 to 1; higher: good likelier) for every whole text; an older column of that name is replaced.
 
     Null and empty texts get the score that the calibration gives no evidence. Rows are
     judged one by one, so repeated rows agree; other columns pass through; an empty table
@@ -147,6 +148,7 @@ def score_quality(docs: DataFrame, model: Model, text: str = "text") -> DataFram
     """
     spark = ship(docs.sparkSession)
     sent = spark.sparkContext.broadcast(model)  # two dictionaries of bounded size
+    rest = docs.drop("_score")
 
     def run(batches):
         s = Scorer(sent.value)
@@ -154,7 +156,7 @@ def score_quality(docs: DataFrame, model: Model, text: str = "text") -> DataFram
             scores = [s.score(t) for t in slice_texts(*utf8(b.column(text)))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, "_score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
+    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField("_score", T.DoubleType())]))
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
