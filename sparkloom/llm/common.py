@@ -13,12 +13,12 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import session
 
 #: Rows and bytes of an Arrow batch: they bound a Python worker's memory when texts are long.
-BATCH_ROWS, BATCH_BYTES = 1000, "8m"
+BATCH_ROWS, BATCH_BYTES = 1000, "4m"
 #: Bytes that the vectorised word functions look at in one go.
 BLOCK = 1 << 19
 
@@ -54,10 +54,15 @@ def _own_dir(spark: SparkSession) -> str:
     return top
 
 
+#: For tables that are soon read and deleted: where the shared folder is on a mounted file system, Hadoop
+#: starts some five processes for each file that it writes (its mode, a checksum file, that one's mode), so.
+LEAN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+
+
 def keep(df: DataFrame, path: str) -> DataFrame:
     """Writes a table and reads it back: cuts lineage so that lost executors cost no recomputation."""
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**LEAN).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -65,10 +70,37 @@ def keep_bucketed(df: DataFrame, path: str, key: str) -> tuple[DataFrame, str]:
     """Writes a table in buckets of ``key``, so that later joins on it don't move its rows; returns it and its name."""
     spark, name = df.sparkSession, f"sparkloom_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.format("parquet").option("path", path).bucketBy(n, key).saveAsTable(name)
+    df.write.format("parquet").options(**LEAN).option("path", path).bucketBy(n, key).saveAsTable(name)
     return spark.table(name), name
 
 
+#: Parts that the rows of a hot key are dealt in, and a number that stands for no hot key at all.
+SALTS, NO_KEY = 64, -(1 << 63)
+
+
+def hot_least(total: int) -> int:
+    """Rows from which on a key is hot: a thousandth of all, so that a thousand keys are at most."""
+    return max(100, -(-int(total) // 1000))
+
+
+def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> list[int]:
+    """The keys with a thousandth of all rows or more, from a table with one row of each: a thousand at most."""
+    return [r[0] for r in counts.where(F.col(n) >= hot_least(total)).select(key).limit(1000).collect()]
+
+
+def join_salted(left: DataFrame, right: DataFrame, keys: list[str], hot: list[int], spread: Column, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row of each key.
+
+    Rows of ``left`` whose first key is ``hot`` are dealt by ``spread`` over SALTS parts,
+    and ``right``'s row goes to each part; so no key is one task. What is in ``hot`` has
+    no effect on the result. The values of ``spread`` mustn't depend on a run.
+    """
+    on = F.col(keys[0]).isin([*hot, NO_KEY])
+    dealt = left.withColumn("_salt", F.when(on, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    each = right.withColumn("_salt", F.explode(F.when(on, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(each, [*keys, "_salt"], how).select(*left.columns, *[c for c in right.columns if c not in keys])
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Deletes written tables that no later step reads."""
     jvm = spark.sparkContext._jvm
@@ -184,8 +216,9 @@ def _powers(n: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
 _POW = _powers(1 << 12)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word. Works in blocks, so that memory doesn't grow with a text's length."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, other: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word, of one of two families. Works in blocks, so that memory doesn't grow with a text's length."""
+    by_place = _LOOSE if other else _POW
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -196,7 +229,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
             for k in range(int(s[0]), int(e[0]), BLOCK):  # one huge word
                 part = data[k : min(k + BLOCK, int(e[0]))]
                 part = LOWER[part] if lower else part
-                h = (h * 0xD6E8FEB86659FD93 + int(mix(np.array([int((part * _POW[np.arange(len(part)) & 4095]).sum(dtype=np.uint64))], np.uint64))[0])) % (1 << 64)
+                h = (h * 0xD6E8FEB86659FD93 + int(mix(np.array([int((part * by_place[np.arange(len(part)) & 4095]).sum(dtype=np.uint64))], np.uint64))[0])) % (1 << 64)
             out[i] = h
         else:
             part = data[s[0] : e[-1]]
@@ -204,13 +237,16 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
             rel, length = s - s[0], e - s
             gap = np.append(rel[1:], len(part)) - rel
             pos = np.arange(len(part)) - np.repeat(rel, gap)
-            v = (part.astype(np.uint64) + np.uint64(1)) * _POW[pos & 4095]
+            v = (part.astype(np.uint64) + np.uint64(1)) * by_place[pos & 4095]
             v[pos >= np.repeat(length, gap)] = 0
             out[i:j] = np.add.reduceat(v, rel) + length.astype(np.uint64) * np.uint64(_GOLD)
         i = j
     return mix(out)
 
 
+#: Coefficients by position without any structure, so that what collides in one family of hashes doesn't in the other.
+_LOOSE = mix(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
+
 _STEP = [np.uint64((_GOLD * (2 * k + 1) * 0x2545F4914F6CDD1D + 2 * k) % (1 << 64) | 1) for k in range(64)]
 
 

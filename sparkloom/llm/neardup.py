@@ -13,7 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import blocks_of_rows, drop, gram_hashes, keep, mix, release, ship, slice_texts, utf8, word_hashes, word_spans, work_dir
+from .common import blocks_of_rows, drop, gram_hashes, hot_keys, hot_least, join_salted, keep, mix, release, ship, slice_texts, utf8, word_hashes, word_spans, work_dir
 
 #: Words of a shingle, and the least similarity of a link, in hundredths.
 SHINGLE, PERCENT = 5, 75
@@ -21,16 +21,18 @@ SHINGLE, PERCENT = 5, 75
 REGISTERS, ROWS = 128, 4
 #: Standard deviations that an estimate may lie below the threshold.
 SLACK = 5.0
-#: Texts on each side of a block that is compared in one go.
-BLOCK_ROWS = 128
+#: Texts on each side of a block that is compared in one go, and their shingles, about, at most.
+BLOCK_ROWS, BLOCK_SHINGLES = 128, 1 << 20
+#: Parts that the members of one bucket are dealt in when they are compared with its least one.
+PARTS = 64
 _A = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(1001, REGISTERS + 1001, dtype=np.uint64))
 
 
-def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE, other: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of the rows, repeats included, and the offsets of the rows in them."""
     starts, ends, first = word_spans(data, offsets)
-    h = word_hashes(data, starts, ends, lower=True)
+    h = word_hashes(data, starts, ends, lower=True, other=other)
     n = np.diff(first)
     counts = np.where(n >= size, n - size + 1, (n > 0).astype(np.int64))
     out, to = np.empty(int(counts.sum()), np.uint64), np.concatenate([[0], np.cumsum(counts)])
@@ -74,24 +76,26 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return np.clip(((a == b).mean(1) - c) / (1 - c), 0, 1)
 
 
-def _signatures(text: str):
-    shape = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("regs", pa.binary())])
+def _signatures(batches):
+    """Of batches (doc_id, h, text): number of shingles, 128 bits that stand for their set, registers.
 
-    def run(batches):
-        for b in batches:
-            data, offsets = utf8(b.column(2))
-            for i, j in blocks_of_rows(offsets, 1 << 17):
-                part = offsets[i : j + 1]
-                x, to = shingle_hashes(data[part[0] : part[-1]], part - part[0])
-                full = np.flatnonzero(np.diff(to))
-                regs = registers(x, to[full]) if len(full) else np.zeros((0, REGISTERS), np.uint16)
-                counts, nodes, packed = np.zeros(j - i, np.int64), [None] * (j - i), [None] * (j - i)
-                for k, r in zip(full.tolist(), regs):
-                    u = np.unique(x[to[k] : to[k + 1]])
-                    counts[k], nodes[k], packed[k] = len(u), xxhash.xxh3_64_intdigest(u.tobytes()) - (1 << 63), r.tobytes()
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(counts), pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())], schema=shape)
-
-    return run
+    The 128 bits digest the hashes of all shingles in two families.
+    """
+    shape = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("regs", pa.binary())])
+    for b in batches:
+        data, offsets = utf8(b.column(2))
+        for i, j in blocks_of_rows(offsets, 1 << 17):
+            part = offsets[i : j + 1]
+            some = data[part[0] : part[-1]], part - part[0]
+            (x, to), (y, _) = shingle_hashes(*some), shingle_hashes(*some, other=True)
+            full = np.flatnonzero(np.diff(to))
+            regs = registers(x, to[full]) if len(full) else np.zeros((0, REGISTERS), np.uint16)
+            counts, keys, packed = np.zeros(j - i, np.int64), np.zeros((j - i, 2), np.int64), [None] * (j - i)
+            for k, r in zip(full.tolist(), regs):
+                u, at = np.unique(x[to[k] : to[k + 1]], return_index=True)
+                digest = xxhash.xxh3_128_digest(u.tobytes() + y[to[k] + at].tobytes())
+                counts[k], keys[k], packed[k] = len(u), np.frombuffer(digest, np.int64), r.tobytes()
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(counts), *map(pa.array, keys.T.copy()), pa.array(packed, pa.binary())], schema=shape)
 
 
 def _bands(batches):
@@ -125,16 +129,20 @@ def components(edges: DataFrame, out: str) -> DataFrame:
     Each round is written to ``out``, so a lost executor costs one round at most.
     """
     spark = edges.sparkSession
-    state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).first())
+    turned = lambda e: e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     now = keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), f"{out}/0")
-    before, k = None, 0
-    while (after := state(now)) != before and after[0]:
+    many, before, k = hot_least(2 * now.count()), None, 0
+    while True:
+        degrees = turned(now).groupBy("a").agg(F.count(F.lit(1)).alias("k"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31))).alias("s"))
+        *after, hot = degrees.agg(F.sum("k"), F.sum("s"), F.collect_list(F.when(F.col("k") >= many, F.col("a")))).first()  # a few thousand hot nodes at most
+        if after == before or not after[0]:
+            break
         before, k = after, k + 1
-        both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = turned(now)
         least = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
+        large = join_salted(both, least, ["a"], hot, F.col("b")).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).distinct()
+        small = join_salted(large, least, ["a"], hot, F.col("b")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).distinct()
         now = keep(small, f"{out}/{k}")
         drop(spark, f"{out}/{k - 1}")
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp"))
@@ -153,8 +161,8 @@ def _shingles(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes[i:j], each)), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(comps[i:j], each))], ["node", "shingle", "c"])
 
 
-def _promising(members: DataFrame, comp: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Of buckets that aren't connected, the members that can have a link to another one at all: (band, node, c).
+def _promising(members: DataFrame, hot: list[int], comp: DataFrame, texts: DataFrame, percent: int, out: str) -> DataFrame:
+    """Of buckets that aren't connected, the members that can have a link to another one at all: (band, node, n, c).
 
     A new link joins two components, so a shingle that only one component has is in no
     intersection that counts. With n shingles, u of them such ones, and partners of at least
@@ -163,7 +171,7 @@ def _promising(members: DataFrame, comp: DataFrame, texts: DataFrame, percent: i
     """
     now = members.join(comp, "node", "left").select("band", "pivot", "node", "n", F.coalesce("comp", "node").alias("c"))
     opened = now.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("floor")).where("lo <> hi").select("band", "floor")
-    now = now.join(opened, "band")
+    now = keep(join_salted(now, opened, ["band"], hot, F.col("node")), f"{out}/open")
     nodes = now.groupBy("node").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.min("floor").alias("floor"))
     shingles = texts.join(nodes.select("node", "c"), "node").select("node", "text", "c").mapInArrow(_shingles, "node long, shingle long, c long")
     lone = shingles.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo = hi").select("shingle")
@@ -171,7 +179,7 @@ def _promising(members: DataFrame, comp: DataFrame, texts: DataFrame, percent: i
     least = F.greatest(F.col("floor"), F.ceil(F.col("n") * percent / 100))
     able = (100 + percent) * (F.col("n") - F.coalesce("u", F.lit(0))) >= percent * (F.col("n") + least)
     alive = nodes.join(lone, "node", "left").where(able).select("node")
-    return now.select("band", "node", "c").join(alive, "node")
+    return now.select("band", "node", "n", "c").join(alive, "node")
 
 
 def _compared(percent: int):
@@ -220,22 +228,23 @@ def _compared(percent: int):
     return run
 
 
-def _blocks(members: DataFrame, texts: DataFrame, out: str) -> DataFrame:
+def _blocks(members: DataFrame, hot: list[int], texts: DataFrame, out: str) -> DataFrame:
     """(h, r, q, node, c, text, query): blocks in which all pairs of different components in one bucket meet.
 
     A node's home h is the component that is largest in a bucket of its. In each bucket the nodes outside its
     largest component are queries to the homes of all its nodes. A home's nodes and queries
-    are dealt over blocks of about BLOCK_ROWS each.
+    are dealt over blocks of about BLOCK_ROWS texts or BLOCK_SHINGLES shingles each.
     """
     sizes = members.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k"))
     sizes = sizes.groupBy("band").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("all")).where("all > top.k").select("band", F.col("top.c").alias("largest"))
-    placed = keep(members.join(sizes, "band").withColumn("inside", F.col("c") == F.col("largest")), f"{out}/placed")
-    home = placed.groupBy("node").agg(F.first("c").alias("c"), F.max("inside").alias("inside"), F.min("largest").alias("m"))
-    home = keep(home.select("node", "c", F.when(F.col("inside"), F.col("c")).otherwise(F.col("m")).alias("h")), f"{out}/home")
+    placed = join_salted(members, sizes, ["band"], hot, F.col("node"))
+    placed = keep(placed.withColumn("inside", F.col("c") == F.col("largest")), f"{out}/placed")
+    home = placed.groupBy("node").agg(F.first("c").alias("c"), F.first("n").alias("n"), F.max("inside").alias("inside"), F.min("largest").alias("m"))
+    home = keep(home.select("node", "n", "c", F.when(F.col("inside"), F.col("c")).otherwise(F.col("m")).alias("h")), f"{out}/home")
     homes = placed.select("band", "node").join(home.select("node", "h"), "node").select("band", "h").distinct()
-    asked = placed.where("not inside").select("band", "node", "c").join(homes, "band").select("node", "c", "h").distinct()
+    asked = placed.where("not inside").select("band", "node", "n", "c").join(homes, "band").select("node", "n", "c", "h").distinct()
     asked = keep(asked, f"{out}/asked")
-    per = lambda df, c: df.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(c))
+    per = lambda df, c: df.groupBy("h").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias(c))
     counts = per(home, "nr").join(per(asked, "nq"), "h")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
@@ -245,12 +254,15 @@ def _blocks(members: DataFrame, texts: DataFrame, out: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """Adds, for each row of ``docs``: doc_id, n_shingles, component_id, kept and node (the class of equal shingle sets).
+    """For each row of ``docs``: doc_id, n_shingles, component_id, kept, node, h and first.
 
     Links join documents whose sets of distinct shingles have a similarity of at least
     ``percent`` hundredths. Texts without words (null ones too) are linked with nothing.
-    Repeated rows and equal sets share a class; equal ids with different texts stay
-    different. The component's id is its smallest doc_id; an empty table stays empty.
+    Repeated rows and equal sets (128 bits that digest the whole set) share a class, the
+    node. The component's id is its smallest doc_id, null only where all of its ids are;
+    kept tells whether the row has this id. Of rows with one id and different texts, first
+    is true for one alone: a component's first row is the least by doc_id (null last) and
+    hash h of the text. An empty table stays empty; other columns aren't read.
 
     Only one row of a class goes on. In a band's bucket all members are compared with
     the least one. In a bucket that isn't all connected then, members whose shingles
@@ -261,21 +273,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = ship(docs.sparkSession)
     out = work_dir(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    sig = keep(rows.mapInArrow(_signatures("text"), "doc_id long, h long, n_shingles long, node long, regs binary"), f"{out}/signatures")
-    full = sig.where("n_shingles > 0")
-    firsts = full.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")).alias("f"))
-    reps = full.join(firsts.select("node", F.col("f.doc_id").alias("d"), F.col("f.h").alias("g")), "node").where("doc_id <=> d and h = g")
-    reps = keep(reps.select("node", "regs", "n_shingles", "doc_id", "h"), f"{out}/classes")
+    sig = keep(rows.mapInArrow(_signatures, "doc_id long, h long, n_shingles long, k1 long, k2 long, regs binary"), f"{out}/signatures")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "h", "n_shingles", "regs")).alias("f")
+    reps = sig.where("n_shingles > 0").groupBy("k1", "k2").agg(least, F.count(F.lit(1)).alias("copies"))
+    # the number of a class holds once it is written
+    reps = keep(reps.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "f.doc_id", "f.h", "f.n_shingles", "f.regs", "copies"), f"{out}/classes")
+    n_rows, n_classes = sig.count(), reps.count()
 
     bands = reps.select("node", "n_shingles", "regs").mapInArrow(_bands, "node long, n long, band long")
-    shared = bands.groupBy("band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "pivot")
-    members = keep(bands.join(shared, "band"), f"{out}/members")
+    shared = keep(bands.groupBy("band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1"), f"{out}/shared")
+    hot = hot_keys(shared, "band", "c", shared.agg(F.sum("c")).first()[0] or 0)
+    members = keep(join_salted(bands, shared.select("band", "pivot"), ["band"], hot, F.col("node")), f"{out}/members")
     release(spark)
     chosen = reps.join(members.select("node"), "node", "left_semi")
     wanted = chosen.select("node", F.col("doc_id").alias("d"), F.col("h").alias("g"))
     texts = rows.join(wanted, F.expr("h = g and doc_id <=> d")).dropDuplicates(["g", "node"])
     texts = keep(texts.select("node", "text"), f"{out}/texts")
-    light = keep(chosen.select("node", "n_shingles", "regs").dropDuplicates(["node"]), f"{out}/involved")
+    light = keep(chosen.select("node", "n_shingles", "regs"), f"{out}/involved")
     release(spark)
 
     def likely(batches):
@@ -288,40 +302,50 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([c["a"], c["b"]], ["a", "b"]).filter(pa.array(ok))
 
     def exact(batches):
-        last = kept = None
-        for b in batches:
-            mine, theirs = slice_texts(*utf8(b.column(2))), slice_texts(*utf8(b.column(3)))
-            ok = []
-            for p, s, t in zip(b.column(1).to_pylist(), mine, theirs):
-                if p != last:
-                    last, kept = p, shingle_set(t)
-                ok.append(linked(shingle_set(s), kept, percent))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    def verify(pairs: DataFrame, path: str) -> DataFrame:
-        left = light.select(F.col("node").alias("a"), F.col("n_shingles").alias("n"), F.col("regs").alias("r"))
-        right = light.select(F.col("node").alias("b"), F.col("n_shingles").alias("m"), F.col("regs").alias("s"))
-        some = pairs.join(left, "a").join(right, "b").mapInArrow(likely, "a long, b long")
-        some = some.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        return keep(some.select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long"), path)
-
-    links = verify(members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), f"{out}/links-0")
+        """Of batches (b, part, a, text) in order: after a bucket's least text (a is null) its members, each compared with it."""
+        kept = set()
+        for batch in batches:
+            ok, ours = [], batch.column(2).to_pylist()
+            for a, t in zip(ours, slice_texts(*utf8(batch.column(3)))):
+                if a is None:
+                    kept = shingle_set(t)
+                ok.append(a is not None and linked(shingle_set(t), kept, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    pairs = keep(members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), f"{out}/pairs")
+    left, right = (light.select(F.col("node").alias(x), F.col("n_shingles").alias(n), F.col("regs").alias(r)) for x, n, r in (("a", "n", "r"), ("b", "m", "s")))
+    pivots = hot_keys(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("k")), "b", "k", pairs.count())
+    some = join_salted(pairs.join(left, "a"), right, ["b"], pivots, F.col("a")).mapInArrow(likely, "a long, b long")
+    some = keep(some.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(PARTS))), f"{out}/likely")
+    # a bucket's least text goes once to each of its parts, ahead of the members there
+    ahead = some.select("b", "part").distinct().join(texts, F.col("b") == F.col("node")).select("b", "part", F.lit(None).cast("long").alias("a"), "text")
+    after = some.join(texts, F.col("a") == F.col("node")).select("b", "part", "a", "text")
+    dealt = ahead.unionAll(after).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+    links = keep(dealt.mapInArrow(exact, "a long, b long"), f"{out}/links-0")
+
     comp = keep(components(links, f"{out}/components-0"), f"{out}/comp-0")
-    members = keep(_promising(members, comp, texts, percent), f"{out}/promising")
+    members = keep(_promising(members, hot, comp, texts, percent, out), f"{out}/promising")
     release(spark)
-    more = _blocks(members, texts, out).groupBy("h", "r", "q").applyInArrow(_compared(percent), "a long, b long")
+    more = _blocks(members, hot, texts, out).groupBy("h", "r", "q").applyInArrow(_compared(percent), "a long, b long")
     more = keep(more, f"{out}/links-1")
     if not more.isEmpty():
         comp = keep(components(links.unionAll(more), f"{out}/components-1"), f"{out}/comp-1")
     release(spark)
-    found = sig.join(comp, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("comp", "node").alias("c"))
-    least = found.where("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
-    done = found.join(least, "c", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")))
-    return done.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "node")
+    # each class's component is told by its first row
+    classes = reps.select("node", "k1", "k2", "copies", F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "h").alias("own"))
+    classes = classes.join(comp, "node", "left").withColumn("c", F.coalesce("comp", "node")).drop("comp")
+    large = hot_keys(comp.groupBy("comp").agg(F.count(F.lit(1)).alias("k")), "comp", "k", n_classes)
+    named = join_salted(classes, classes.groupBy("c").agg(F.min("own").alias("f")), ["c"], large, F.col("node"))
+    copied = hot_keys(reps, "k1", "copies", n_rows)
+    found = join_salted(sig.drop("regs"), named.select("k1", "k2", "node", "f"), ["k1", "k2"], copied, F.monotonically_increasing_id(), "left")
+    lone = F.col("n_shingles") == 0
+    found = found.withColumn("component_id", F.when(lone, F.col("doc_id")).otherwise(F.col("f.doc_id")))
+    first = lone | (F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("h") == F.col("f.h")))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "node", "h", first.alias("first"))
 
 
 def op10_near_duplicates(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("node")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def brute(rows: list[tuple], percent: int = PERCENT) -> dict:
