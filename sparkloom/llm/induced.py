@@ -6,6 +6,7 @@ induced by queues with one lane for each first byte, taken in order. What goes t
 queue is a tuple of a suffix and the length of its common prefix with the one before it;
 the prefixes of induced suffixes follow from range minima over those that induce them. A
 queue beyond its share of memory writes its lanes to files and reads them when their turn comes.
+In the recursion symbols are names, of which there are many: there a lane holds a range of them.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from .repeats import Kind, without_repeats
 WINDOW, GRAM = 50, 20
 #: Bytes of queued tuples that stay in memory.
 QUEUE_BYTES = 96 << 20
-#: Names beyond which a reduced text is sorted by doubling, since its lanes would be too many.
-LANES = 2048
+#: Suffixes that a lane of the recursion holds, about, unless one symbol has more.
+RANGE = 1 << 16
 
 
 class Lanes:
@@ -127,23 +128,108 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
 
 
-def _doubled(rank: np.ndarray, least: int) -> np.ndarray:
-    """Suffixes of a sequence of ranks, sorted by at least ``least`` symbols."""
-    n, have = len(rank), 1
-    order = np.argsort(rank, kind="stable")
-    while have < least:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - have)] = rank[have:] + 1
-        key = rank * (int(after.max(initial=0)) + 1) + after
-        order = np.argsort(key, kind="stable")
-        s = key[order]
-        new = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        have *= 2
-        if new[-1] == n - 1:
-            break
-    return order
+def _dense(key: np.ndarray) -> np.ndarray:
+    """Ranks of integers, from 0; equal ones share a rank."""
+    order = np.argsort(key, kind="stable")
+    x = key[order]
+    out = np.empty(len(key), np.int64)
+    out[order] = np.concatenate([[0], np.cumsum(x[1:] != x[:-1])]) if len(x) else 0
+    return out
+
+
+def reduced_sort(text: np.ndarray, depth: int, queue_bytes: int, spill_to: str | None, level: int = 1) -> np.ndarray:
+    """Suffixes of a text of names in order, exact to ``depth`` symbols at least. ``text`` ends in 0, which comes up nowhere else."""
+    n = len(text)
+    many = np.bincount(text)
+    if depth <= 1 or many.max() == 1:
+        return np.argsort(text, kind="stable")
+    small, _ = _types(text)
+    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    seeds = lms[_seed_order(text, small, lms, depth, queue_bytes, spill_to, level)]
+    lane_of = ((np.cumsum(many) - many) // RANGE)[text]  # of each position
+    by_lane = np.argsort(lane_of, kind="stable")
+    bounds = np.searchsorted(lane_of[by_lane], np.arange(int(lane_of.max()) + 2))
+    seed_lane = lane_of[seeds]
+    seed_bounds = np.searchsorted(seed_lane, np.arange(len(bounds)))
+    place = np.zeros(n, np.int64)  # where a position stands among those of its lane
+    larger, out = [], []
+    lanes = Lanes(queue_bytes, spill_to)
+    for j in range(len(bounds) - 1):
+        own = by_lane[bounds[j] : bounds[j + 1]]
+        more = seeds[seed_bounds[j] : seed_bounds[j + 1]]
+        large = own[~small[own]]
+        done = _emitted(text, lane_of, place, large, lanes.pop(j)[0], more, j)
+        larger.append(done[~small[done]])
+        _send(lane_of, small, j, done, lanes, False)
+    lanes.close()
+    lanes = Lanes(queue_bytes, spill_to)
+    for j in range(len(bounds) - 2, -1, -1):
+        own = by_lane[bounds[j] : bounds[j + 1]]
+        popped = lanes.pop(j)[0] if j or lanes.has(0) else np.zeros(0, np.int64)
+        if j == 0:  # the end comes last of all
+            popped = np.append(popped, n - 1)
+        done = _emitted(text, lane_of, place, own[small[own]], popped, larger[j][::-1], j, down=True)
+        out.append(done)
+        _send(lane_of, small, j, done, lanes, True)
+    lanes.close()
+    return np.concatenate(out)[::-1]
+
+
+def _emitted(text, lane_of, place, members, popped, given, lane: int, down: bool = False) -> np.ndarray:
+    """A lane's suffixes in the order of emission (descending, ``down``).
+
+    ``members`` are to be ordered: by symbol, and under one symbol those from the queue
+    (``popped``, in order) before those that suffixes of this lane itself induce, which
+    follow their inducers. ``given`` are those of the other type, in order, which come
+    after the members of their symbol. Chains of inducers are followed by doubling.
+    """
+    popped = popped.astype(np.int64)
+    whole = np.concatenate([members, given])
+    m = len(whole)
+    if not m:
+        return whole
+    place[whole] = np.arange(m)
+    symbol = text[whole].astype(np.int64)
+    symbol = _dense(-symbol if down else symbol)
+    given_rank = np.concatenate([np.zeros(len(members), np.int64), np.arange(1, len(given) + 1)])
+    local = np.full(m, len(popped) + 1, np.int64)  # those that this lane induces follow all popped ones
+    local[place[popped]] = np.arange(1, len(popped) + 1)
+    local[len(members) :] = len(popped) + 1 + given_rank[len(members) :]
+    rank = _dense(symbol * (int(local.max()) + 1) + local)
+    after = np.minimum(whole + 1, len(text) - 1)
+    before = np.where(lane_of[after] == lane, place[after], -1)
+    before[len(members) :] = -1
+    before[place[popped]] = -1
+    while (before >= 0).any():
+        rank = _dense(rank * (m + 1) + np.where(before >= 0, rank[before] + 1, 0))
+        before = np.where(before >= 0, before[before], -1)
+    out = np.empty(m, np.int64)
+    out[rank] = whole
+    return out
+
+
+def _send(lane_of, small, j: int, at, lanes: Lanes, kind: bool) -> None:
+    """Sends the suffixes one symbol longer, where of the wanted type and of a lane still to come, to their lanes."""
+    before = at[at > 0] - 1
+    to = lane_of[before]
+    on = (small[before] == kind) & ((to < j) if kind else (to > j))
+    before, to = before[on], to[on]
+    order = np.argsort(to, kind="stable")
+    before, to = before[order], to[order]
+    cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]])) if len(to) else []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        lanes.push(int(to[a]), before[a:b], np.zeros(b - a, np.uint8))
+
+
+def _seed_order(text, small, lms, depth: int, queue_bytes: int, spill_to: str | None, level: int) -> np.ndarray:
+    """The order of the suffixes at leftmost S positions: by name, where names differ, or else by the sorted text of names.
+
+    Names stand for two symbols at least, so half as many of them tell as much.
+    """
+    names = _names(text, small, lms, depth + 8)
+    if int(names.max()) == len(lms) - 1:
+        return np.argsort(names, kind="stable")
+    return reduced_sort(np.append(names + 1, 0), depth // 2 + 1, queue_bytes, spill_to, level + 1)[1:]
 
 
 def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
@@ -181,7 +267,7 @@ def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.nd
     return np.minimum(out, depth)
 
 
-def suffix_sort(text: np.ndarray, depth: int, queue_bytes: int = QUEUE_BYTES, spill_to: str | None = None, _level: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def suffix_sort(text: np.ndarray, depth: int, queue_bytes: int = QUEUE_BYTES, spill_to: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in order (exact to ``depth`` symbols at least) and each one's common prefix, up to ``depth``, with the one before it.
 
     ``text`` ends in 0, which comes up nowhere else.
@@ -192,15 +278,7 @@ def suffix_sort(text: np.ndarray, depth: int, queue_bytes: int = QUEUE_BYTES, sp
     sigma = int(text.max()) + 1
     small, run = _types(text)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    names = _names(text, small, lms, depth + 8)
-    distinct = int(names.max()) + 1
-    if distinct == len(lms):
-        order = np.argsort(names, kind="stable")
-    elif distinct <= LANES and _level < 8:
-        order = suffix_sort(np.append(names + 1, 0), depth, queue_bytes, spill_to, _level + 1)[0][1:]
-    else:
-        order = _doubled(names, depth)
-    seeds = lms[order]
+    seeds = lms[_seed_order(text, small, lms, depth, queue_bytes, spill_to, 0)]
     common = np.zeros(len(seeds), np.int64)
     common[1:] = _common(text, seeds[:-1], seeds[1:], depth)
     symbols = text[seeds]
