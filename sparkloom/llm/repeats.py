@@ -16,9 +16,9 @@ from typing import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import blocks_of_rows, drop, gram_hashes, keep, keep_bucketed, mix, release, ship, slide_min, utf8, word_hashes, word_spans, work_dir
+from .common import blocks_of_rows, drop, gram_hashes, hot_keys, hot_least, join_salted, keep, keep_bucketed, mix, release, ship, slide_min, utf8, word_hashes, word_spans, work_dir
 
 #: Windows that are looked at in one go, and the most of one segment.
 PIECE, LONGEST = 1 << 18, 1 << 12
@@ -353,14 +353,24 @@ def _whole(kind: Kind):
     return run
 
 
+def _identity(light: DataFrame) -> Column:
+    """A number for each text, from its two hashes h and g: h, unless another text has it too.
+
+    Such texts are 10**-11 of all pairs in 10**4 million texts, so their hashes are a handful.
+    """
+    twice = [r.h for r in light.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").limit(10_001).collect()]
+    if len(twice) > 10_000:
+        raise ValueError("the texts' hashes don't tell them apart")
+    return F.when(F.col("h").isin(twice), F.xxhash64("h", "g")).otherwise(F.col("h")) if twice else F.col("h")
+
+
 def _wanted(rows: DataFrame, kind: Kind) -> DataFrame:
-    """(tid, d, keys, hot): of each text's first row, the keys that come up in another text, or again where that counts."""
+    """(tid, keys, hot): of each text, the keys that come up in another text, or again where that counts."""
     w = W.partitionBy("key")
     keys = rows.select("tid", "text").mapInArrow(_keys(kind), "key long, tid long, n long" + ", again boolean" * kind.own)
     keys = keys.withColumns({"lo": F.min("tid").over(w), "hi": F.max("tid").over(w), "c": F.sum("n").over(w)} | ({"twice": F.max("again").over(w)} if kind.own else {}))
     keys = keys.where("lo <> hi" + " or twice" * kind.own).select("tid", "key", (F.col("c") > HOT).alias("hot"))
-    sets = keys.groupBy("tid").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot"))
-    return sets.join(rows.groupBy("tid").agg(F.min("d").alias("d")), "tid")
+    return keys.groupBy("tid").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot"))
 
 
 def _ranges(made: DataFrame, decided: DataFrame, kind: Kind) -> DataFrame:
@@ -390,11 +400,19 @@ def without_repeats(docs: DataFrame, kind: Kind, decide: Callable, doc_id: str =
     """
     spark = ship(docs.sparkSession)
     out = work_dir(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(text).alias("tid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sets = keep(_wanted(rows, kind), f"{out}/keys")
+    last, content = F.lit((1 << 63) - 1), F.coalesce(F.col(text), F.lit(""))
+    hashed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), last).alias("d"), F.xxhash64(content).alias("h"), F.xxhash64(F.lit(7), content).alias("g"), content.alias("text"))
+    light = keep(hashed.select("d", "h", "g"), f"{out}/hashes")
+    tid, n_rows = _identity(light), light.count()
+    firsts = keep(light.groupBy(tid.alias("tid")).agg(F.min("d").alias("first"), F.count(F.lit(1)).alias("copies")), f"{out}/firsts")
+    rows = hashed.select("doc_id", "d", tid.alias("tid"), "text")
+    # of texts with very many copies (a thousand texts at most) only the first rows go on
+    many = F.broadcast(firsts.where(F.col("copies") >= hot_least(n_rows)).select("tid", F.col("first").alias("_first")))
+    few = rows.join(many, "tid", "left").where("_first is null or d = _first").select(*rows.columns)
+    sets = keep(_wanted(few, kind).join(firsts.select("tid", "first"), "tid"), f"{out}/keys")
     release(spark)
     # texts move once, into buckets: the first row of each (repeated rows stay), with its keys
-    chosen = rows.join(sets.withColumnRenamed("d", "first"), "tid").where("d = first")
+    chosen = few.join(sets, "tid").where("d = first")
     chosen, name = keep_bucketed(chosen.select("tid", "d", "text", "keys", "hot"), f"{out}/chosen", "tid")
     del sets
     drop(spark, f"{out}/keys")
@@ -426,15 +444,19 @@ def without_repeats(docs: DataFrame, kind: Kind, decide: Callable, doc_id: str =
     spark.sql(f"DROP TABLE {name}")
     drop(spark, f"{out}/chosen", f"{out}/ranges")
     release(spark)
-    firsts = rows.groupBy("tid").agg(F.min("d").alias("d"))
     whole = rows.select("doc_id", "tid", "text").mapInArrow(_whole(kind), "doc_id long, tid long, n_units long, whole_sha256 string")
-    empty = hashlib.sha256(b"").hexdigest()
-    done = whole.join(firsts, "tid").join(changed, "tid", "left")
-    copy = (F.coalesce("doc_id", F.lit((1 << 63) - 1)) > F.col("d")) & (F.col("n_units") >= kind.k)
-    columns = [
-        F.col("doc_id"), F.col("n_units"), F.when(copy, F.col("n_units")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(copy, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).alias("n_spans"), F.when(copy, F.lit(empty)).otherwise(F.coalesce("kept_sha256", "whole_sha256")).alias("kept_sha256"),
-    ]
-    if with_text:
-        columns += [F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"), F.when(copy, F.array(F.lit(0).cast("long"), F.col("n_units"))).otherwise(F.coalesce("spans", F.array().cast("array<bigint>"))).alias("spans")]
-    return done.select(*columns)
+    whole = join_salted(whole, firsts.select("tid", "first"), ["tid"], hot_keys(firsts, "tid", "copies", n_rows), F.monotonically_increasing_id())
+    whole = keep(whole.withColumn("copy", (F.coalesce("doc_id", last) > F.col("first")) & (F.col("n_units") >= kind.k)), f"{out}/whole")
+    # later copies go as a whole, and short texts stay: only others need what was found
+    known = F.col("copy") | (F.col("n_units") < kind.k)
+    none, zero = F.lit(hashlib.sha256(b"").hexdigest()), F.lit(0).cast("long")
+    alike = whole.where(known).select(
+        "doc_id", "n_units", F.when(F.col("copy"), F.col("n_units")).otherwise(zero).alias("n_removed"), F.when(F.col("copy"), 1).otherwise(0).cast("long").alias("n_spans"),
+        F.when(F.col("copy"), none).otherwise(F.col("whole_sha256")).alias("kept_sha256"),
+        *([F.when(F.col("copy"), F.lit("")).alias("kept_text"), F.when(F.col("copy"), F.array(zero, F.col("n_units"))).otherwise(F.array().cast("array<bigint>")).alias("spans")] if with_text else []),
+    )
+    others = whole.where(~known).join(changed, "tid", "left").select(
+        "doc_id", "n_units", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"),
+        *(["kept_text", F.coalesce("spans", F.array().cast("array<bigint>")).alias("spans")] if with_text else []),
+    )
+    return alike.unionAll(others)

@@ -49,15 +49,71 @@ def test_fm_index_shard(texts):
             seen.add(w)
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.integers(1, 3), min_size=1, max_size=80), st.booleans(), st.booleans())
-def test_induced_sorting(symbols, lanes, spill):
-    text = np.array([*symbols, 0], np.uint8)
-    was, induced.LANES = induced.LANES, 2048 if lanes else 0
+def test_fm_index_is_compressed_and_decides():
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in rng.integers(0, 2000, 60_000)]
+    words[40_000:45_000] = words[1000:6000]
+    contents = [" ".join(words[k : k + 500]).encode() for k in range(0, 60_000, 500)]
+    place = np.arange(60_000)
+    text = np.append(rng.integers(1, 2000, 60_000), 0)
+    index = fmindex.FMIndex(text, 20, np.append(place, 1 << 62))
+    assert index.nbytes() < 3.2 * len(text)  # eleven bits of wavelet, a bit of grouping, their ranks, and two integers a word
+    got = np.concatenate(fmindex.decide(contents, np.arange(len(contents)), np.zeros(len(contents), np.int64), Kind("word", 20, 5, True)))
+    seen, want = set(), []
+    for c in contents:
+        w = c.split()
+        for i in range(len(w) - 19):
+            want.append(tuple(w[i : i + 20]) in seen)
+            seen.add(tuple(w[i : i + 20]))
+    assert got.tolist() == want and sum(want) > 4000
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.booleans(), min_size=1, max_size=400))
+def test_bits(flags):
+    b = np.array(flags)
+    bits, at = fmindex.Bits(b), np.flatnonzero(b)
+    assert bits.rank(np.arange(len(b) + 1)).tolist() == np.concatenate([[0], np.cumsum(b)]).tolist()
+    assert bits.select(np.arange(len(at))).tolist() == at.tolist()
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 3), min_size=1, max_size=120), st.integers(1, 40), st.booleans())
+def test_reduced_sorting(symbols, width, spill):
+    text = np.array([*symbols, 0])
+    was, induced.RANGE = induced.RANGE, width
     try:
-        order, common = induced.suffix_sort(text, 50, 40 if spill else 1 << 20, "file:///tmp" if spill else None)
+        order = induced.reduced_sort(text, 50, 40 if spill else 1 << 20, "file:///tmp" if spill else None)
     finally:
-        induced.LANES = was
+        induced.RANGE = was
+    keys = [tuple(text[i : i + 50].tolist()) for i in order]
+    assert sorted(order.tolist()) == list(range(len(text))) and keys == sorted(keys)
+
+
+def test_recursion_and_spilling(tmp_path, monkeypatch):
+    """A shard far larger than its queue's memory: tuples of every level go through files, and names are sorted recursively."""
+    levels, spills = set(), []
+    was_sort, was_spill = induced.reduced_sort, induced.Lanes._spill
+    monkeypatch.setattr(induced, "reduced_sort", lambda t, d, q, s, level=1: levels.add(level) or was_sort(t, d, q, s, level))
+    monkeypatch.setattr(induced.Lanes, "_spill", lambda self: spills.append(self.size) or was_spill(self))
+    monkeypatch.setattr(induced, "RANGE", 500)
+    rng = np.random.default_rng(9)
+    some = rng.integers(97, 101, 30_000).astype(np.uint8).tobytes()
+    contents = [some[k : k + 3000] for k in range(0, 27_000, 2500)] + [b"ab" * 2000, b"x" * 3000]
+    got = induced.decide(contents, np.arange(len(contents)), np.zeros(len(contents), np.int64), Kind("byte", 50, 20, False), 4096, f"file://{tmp_path}")
+    seen: dict = {}
+    for k, (c, flags) in enumerate(zip(contents, got)):
+        assert flags.tolist() == [seen.get(c[i : i + 50], k) < k for i in range(len(c) - 49)]
+        for i in range(len(c) - 49):
+            seen.setdefault(c[i : i + 50], k)
+    assert len(levels) > 1 and len(spills) > 10 and not list(tmp_path.iterdir())
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 3), min_size=1, max_size=80), st.booleans())
+def test_induced_sorting(symbols, spill):
+    text = np.array([*symbols, 0], np.uint8)
+    order, common = induced.suffix_sort(text, 50, 40 if spill else 1 << 20, "file:///tmp" if spill else None)
     keys = [tuple(text[i : i + 50].tolist()) for i in order]
     assert sorted(order.tolist()) == list(range(len(text))) and keys == sorted(keys)
     for a, b, n in zip(keys, keys[1:], common[1:].tolist()):
@@ -99,3 +155,23 @@ def test_a_key_is_hot_by_its_segments(spark, frame, monkeypatch):
     # a run of one gram is long segments: it counts by its windows
     docs = frame([(1, "x" * 5000), (2, "x" * 5000 + "y")]).selectExpr("doc_id", "doc_id AS d", "doc_id AS tid", "text")
     assert all(r.hot for r in repeats._wanted(docs, kind).collect())
+
+
+def test_texts_with_one_hash_are_told_apart(spark, frame, odd, monkeypatch):
+    """A hash that all texts share: a second one keeps them apart."""
+    rows = odd + odd[:2]
+    light = frame(rows).selectExpr("doc_id AS d", "cast(length(text) % 2 AS long) AS h", "xxhash64(7, text) AS g")
+    tid = repeats._identity(light)
+    names = {(r.h, r.g): r.t for r in light.select("h", "g", tid.alias("t")).collect()}
+    assert len(set(names.values())) == len(names) > 3
+    apart = frame([(1, "a"), (2, "b")]).selectExpr("doc_id AS d", "xxhash64(text) AS h", "xxhash64(7, text) AS g")
+    assert apart.where(repeats._identity(apart) == repeats.F.col("h")).count() == 2
+
+
+def test_many_copies_of_one_text(spark, frame):
+    """Copies beyond a thousandth of all rows: none of their texts but the first goes on."""
+    text = " ".join(f"c{k}" for k in range(40))
+    rows = [(k, text) for k in range(300)] + [(1000 + k, "") for k in range(300)] + [(2000, "x " + text), (2001, "short")]
+    for module, call, names in ((fmindex, fmindex.substring_dedup, ("n_units", "n_removed", "kept_sha256")), (induced, induced.suffix_dedup, ("n_units", "n_removed", "n_spans", "kept_sha256"))):
+        got = {r.doc_id: tuple(r[c] for c in names) for r in call(frame(rows)).collect()}
+        assert got == module.brute(rows)

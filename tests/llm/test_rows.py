@@ -107,6 +107,44 @@ def test_tokens_round_trip(spark, frame, odd):
     assert K.token_records(frame([])).count() == 0
 
 
+def test_equal_ids_have_a_defined_order(spark, frame):
+    rows = [(1, f"text {k}") for k in range(40)] + [(None, "b"), (None, "a"), (0, "z")]
+    df = frame(rows)
+    order = {(r.doc_id, r.text): r.h for r in df.select("doc_id", "text", M.F.xxhash64("text").alias("h")).collect()}
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = [zlib.crc32(np.array(t.encode(x, add_special_tokens=False).ids + [1], "<u4").tobytes()) for d, x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, order[r]))]
+    got = sorted((tuple(r) for r in K.token_records(df.repartition(7)).collect()), key=lambda r: r[1])
+    assert [r[3] for r in got] == want
+
+
+def test_plain_words_agree_with_the_library():
+    """All letters that go the short way, alone, in pairs, in both cases and before punctuation."""
+    import public_tokenizers
+
+    e = K.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    letters = [c for c in map(chr, range(0x130)) if c.isalpha()]
+    words = [*letters, *(a + b for a in letters for b in letters), *(f"x{a}{p}" for a in letters for p in (",", ".!", "*:", "$%&#", "?;"))]
+    for k in range(0, len(words), 500):
+        text = " ".join(words[k : k + 500])
+        want = e.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(e.encode([text.encode()])[0], "<u2").tolist() == want
+
+
+def test_remembered_words_stay_in_their_bound(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(K, "CACHE_BYTES", 10_000)
+    e = K.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    for k in range(30):
+        texts = [f"w{k * 100 + i} hello".encode() for i in range(100)]
+        got = e.encode(texts)
+        assert np.frombuffer(got[7], "<u2").tolist() == e.tokenizer.encode(texts[7].decode(), add_special_tokens=False).ids
+        assert e.words.nbytes + e.flat.nbytes + e.n.nbytes < 20_000
+
+
 def test_frames_are_checked():
     made = K.frames([b"abc", b"", b"x" * 1000])
     data, offsets = b"".join(made), [0, len(made[0]), len(made[0]) + len(made[1])]
@@ -164,6 +202,100 @@ def test_pseudonyms(spark, frame):
         P.pseudonymise(frame([]), b"")
 
 
+def plain_feistel(key, tweak, x, size):
+    """Ten rounds on two halves, walked until the value is in the range, with nothing shared but the hash."""
+    bits = 1
+    while 4**bits < size:
+        bits += 1
+    n_bytes = -(-bits // 8)
+    while True:
+        left, right = divmod(x, 2**bits)
+        for r in range(10):
+            digest = hashlib.blake2b(bytes([r]) + right.to_bytes(n_bytes, "big") + tweak.encode(), key=key, digest_size=max(8, n_bytes)).digest()
+            left, right = right, left ^ int.from_bytes(digest, "big") % 2**bits
+        x = left * 2**bits + right
+        if x < size:
+            return x
+
+
+def brute_pseudonyms(text, key):
+    """The text with pseudonyms, by trying every place of it alone."""
+    import re
+
+    patterns = [
+        ("date", r"\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4}"), ("ip", r"\d{1,3}(?:\.\d{1,3}){3}"), ("ssn", r"\d{3}-\d{2}-\d{4}"),
+        ("phone", r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}([-.])\d{3}\1\d{4}"),
+        ("card", r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5}"),
+    ]
+    found, at = [], 0
+    for s in range(len(text)):
+        if s < at or not (text[s].isdigit() or text[s] in "+("):
+            continue
+        e = s
+        while e < len(text) and (text[e] in "-+( )./" or "0" <= text[e] <= "9"):
+            e += 1
+        for kind, pattern in patterns:
+            m = re.compile(pattern).match(text, s, e)
+            if not m:
+                continue
+            a, b = text[: m.start()], text[m.end() :]
+            free = not (a and a[-1].isalnum()) and not (len(a) > 1 and a[-1] == "." and a[-2].isdigit()) and not (b and b[0].isalnum()) and not (len(b) > 1 and b[0] in ".-/" and b[1].isdigit())
+            value = P._READ[kind](m[0]) if free else None
+            if value:
+                found.append((s, m.end(), value))
+                at = m.end()
+            break
+    mails = []
+    for k, c in enumerate(text):
+        if c == "@":
+            s = k
+            while s and re.match(r"[A-Za-z0-9._%+-]", text[s - 1]):
+                s -= 1
+            while s < k and not re.match(r"[A-Za-z0-9]", text[s]):
+                s += 1
+            e = k + 1
+            while e < len(text) and re.match(r"[A-Za-z0-9.-]", text[e]):
+                e += 1
+            while e > k + 1 and not re.match(r"[A-Za-z0-9]", text[e - 1]):
+                e -= 1
+            if s < k and e > k + 2 and (not mails or mails[-1][1] <= s) and (value := P._email(text[s:e])):
+                mails.append((s, e, value))
+    found = [x for x in found if all(x[1] <= s or x[0] >= e for s, e, _ in mails)] + mails
+    out, at = [], 0
+    for s, e, v in sorted(found, key=lambda x: x[0]):
+        x = plain_feistel(key, v.tweak, v.number, v.size)
+        while not v.write(x):
+            x = plain_feistel(key, v.tweak, x, v.size)
+        out += [text[at:s], v.write(x)]
+        at = e
+    return "".join([*out, text[at:]]), len(found)
+
+
+def test_pseudonyms_against_plain_loops(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: (r.text, r.n_values) for r in P.op2_pseudonyms(spark, data).collect()}
+    want = {r.doc_id: (None, 0) if r.text is None else brute_pseudonyms(r.text, P.KEY) for r in docs}
+    assert got == want and sum(n for _, n in want.values()) > 20
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["2020-02-29", "1/12/1999", "47.129.145.209", "123-45-6789", "4111111111111111", "+1 (017) 555-7713", "555-0102-0103", "a.b1c@x.com", "..q1q@m-n.co.uk", "@", "-", ".", " ", "9", "x", "555-555-5555@abc.de"]), max_size=9))
+def test_pseudonyms_of_odd_neighbours(parts):
+    text = "".join(parts)
+    new, spans = P.replace(text)
+    assert (new, len(spans)) == brute_pseudonyms(text, P.KEY)
+
+
+def test_pseudonyms_take_linear_time():
+    import time
+
+    texts = [" ".join(f"user{k}@mail{k % 9}.example.com 10.0.{k % 250}.7" for k in range(50_000)), "a" * 2_000_000 + " x@y.zz", "1" * 2_000_000, "(" * 1_000_000 + "@", "." * 1_000_000 + "a@b.cc"]
+    start = time.process_time()
+    counts = [len(P.replace(t)[1]) for t in texts]
+    assert counts[0] == 100_000 and time.process_time() - start < 60
+    assert P.replace("a" * 65 + "@b.cc")[1] == [] and len(P.replace("a" * 64 + "@b.cc")[1]) == 1
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(1, 10**6), st.integers(0, 10**6))
 def test_permutation(size, x):
@@ -297,3 +429,59 @@ def test_rounds_count_three_times():
         code = np.arange(period, dtype=np.uint32)
         assert H._fourth(np.concatenate([np.tile(code, 6), [99]]), period).tolist() == [False] * (4 * period - 1) + [True] * (2 * period + 1) + [False]
     assert not H._fourth(np.arange(9), 2).any() and not H._fourth(np.zeros(3), 1).any()
+
+
+CLASHING = ("_score", "_key", "_d", "_h", "_x", "_n", "_u", "_m", "_words", "_ranges", "_items", "_n_words", "_n_hit", "_spans", "_size", "_row", "_s", "_b", "_at", "_taken", "_target", "_positions", "_source_size", "_text", "_values", "node", "extra0", "rank", "a b")
+
+
+@pytest.mark.parametrize("which", range(4))
+def test_stages_keep_rows_whole(spark, data, odd, which, tmp_path):
+    """Null ids, null, empty and long texts, repeated rows, columns of any name: what stays is unchanged, and an empty table stays empty."""
+    name, stage = corpus_pipeline.STAGES[which]
+    rows = [(*r, "s" if k % 2 else None) for k, r in enumerate([*odd, (None, "null id text"), (None, None), (6, "one"), (6, "two"), (1, odd[0][1]), (40, "w " * 200_000)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df = df.select("*", *(M.F.concat(M.F.lit(c), M.F.col("doc_id").cast("string")).alias(c) for c in CLASHING))
+    df.repartition(3).write.parquet(f"{tmp_path}/in")
+    df = spark.read.parquet(f"{tmp_path}/in")
+    out = stage(spark, df, data)
+    assert out.columns == df.columns
+    known = {tuple(r) for r in df.collect()}
+    got = [tuple(r) for r in out.collect()]
+    assert got and set(got) <= known
+    assert stage(spark, df.limit(0), data).count() == 0
+    if name == "near-duplicates":
+        assert len(got) == len(set(got))
+        kept = sorted((r[0], r[1]) for r in got if r[0] is not None and r[1] and r[1].split())
+        assert (1, odd[0][1]) in kept and (2, odd[1][1]) not in kept and (6, "one") in kept and (6, "two") in kept
+        assert sum(r[1] is None for r in got) == 2
+    if name == "mixing":
+        assert not any(r[1] is None or not r[1].split() for r in got)
+    if name == "decontamination":
+        assert len(got) == len(rows)
+
+
+def test_near_duplicate_stage_judges_rows_not_ids(spark, tmp_path):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(3, a, "p"), (5, b, "p"), (5, a, "q"), (5, b, "q"), (5, b, "q"), (9, b, "r")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/in")
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{tmp_path}/in"), "").collect()]
+    assert len(got) == 2 and got.count((3, a, "p")) == 1 and sum(r[:2] == (5, b) for r in got) == 1
+
+
+def test_mixing_stage_takes_repeated_rows_one_by_one(spark, tmp_path):
+    rows = [(1, "w w w", "s")] * 30 + [(2, "w w w", "t")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/in")
+    got = [tuple(r) for r in corpus_pipeline.mixed(spark, spark.read.parquet(f"{tmp_path}/in"), "").collect()]
+    # two sources, 93 words: t is held at 9 words, its three passes; s takes the other 84, 28 rows
+    assert got.count((2, "w w w", "t")) == 3 and got.count((1, "w w w", "s")) == 28
+
+
+def test_operators_replace_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "one two", "s", "old", "old", "old")], "doc_id long, text string, source string, _score string, _text string, _target string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    scored = Q.score_quality(df, Q.fit(df, labels))
+    assert scored.columns == ["doc_id", "text", "source", "_text", "_target", "_score"] and scored.first()._score != "old"
+    named = P.pseudonymise(df)
+    assert named.columns == ["doc_id", "text", "source", "_score", "_target", "_text", "_values"] and named.first()._text == "one two"
+    placed = M.mix_sources(df.withColumn("n", M.words("text")), "n")
+    assert placed.columns == ["doc_id", "text", "source", "_score", "_text", "n", "_source_size", "_target", "_taken", "_positions"] and placed.first()._target == 2.0
