@@ -3,6 +3,10 @@
 Every stage takes (spark, docs, sf_dir), reads all of ``docs`` and returns a DataFrame.
 All but the last return the columns of ``documents``; each stage's result is written as
 Parquet and read again as the next one's ``docs``.
+
+All stages stand null and empty texts, null ids, repeated rows, texts of any length, empty
+tables and extra columns of any name, which they pass through (the last one reads doc_id and
+text alone). What becomes of each is said at the stage.
 """
 
 from __future__ import annotations
@@ -18,44 +22,72 @@ LEAST_SCORE = 0.5
 ORACLE_SQL = None
 
 
+def apart(docs: DataFrame) -> tuple[DataFrame, list]:
+    """``docs`` with names of extra columns that no operator uses, and what selects the old names again."""
+    names = {c: c if c in ("doc_id", "text", "source") else f"extra{k}" for k, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), [F.col(n).alias(c) for c, n in names.items()]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the compression classifier doesn't reject. It learns from labelled documents of this stage's input."""
+    """Keeps the documents that the compression classifier doesn't reject. It learns from labelled documents of this stage's input.
+
+    Null and empty texts get the score that calibration gives no evidence; repeated rows
+    are judged alike; an empty table stays empty.
+    """
+    docs, back = apart(docs)
     model = classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return classifier.score_quality(docs, model).where(F.col("_score") >= LEAST_SCORE).drop("_score")
+    return classifier.score_quality(docs, model).where(F.col("_score") >= LEAST_SCORE).select(*back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near-duplicates, and of repeated rows one."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    kept = neardup.near_duplicates(docs).where("kept").select(key.alias("_key")).distinct()
-    rows = docs.withColumn("_key", key).join(kept, "_key", "left_semi")
-    if not docs.groupBy("doc_id", F.xxhash64("text")).count().where("count > 1").isEmpty():
-        rows = rows.dropDuplicates(["_key", "text"])
-    return rows.select(*docs.columns)
+    """Keeps one row of each group of near-duplicates: the least by doc_id (null last), then by hash of the text.
+
+    Rows are judged by what they hold, so that of two rows with one id only the copy goes.
+    Of rows that agree in id and text that with the least hash of all columns stays, once.
+    Texts without words (null ones too) are no one's near-duplicates. An empty table stays empty.
+    """
+    docs, back = apart(docs)
+    found = neardup.near_duplicates(docs)
+    key = [F.col("doc_id").isNull().alias("_u"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_d")]
+    chosen = found.where("first").select(*key, F.col("h").alias("_h")).distinct()
+    keyed = docs.select("*", *key, F.xxhash64("text").alias("_h"), F.xxhash64(*docs.columns).alias("_x"))
+    light = keyed.groupBy("_u", "_d", "_h", "_x").agg(F.count(F.lit(1)).alias("_n"))
+    light = light.groupBy("_u", "_d", "_h").agg(F.min(F.struct("_x", "_n")).alias("_m")).select("_u", "_d", "_h", "_m._x", "_m._n")
+    rows = keyed.join(chosen.join(light, ["_u", "_d", "_h"]), ["_u", "_d", "_h", "_x"])
+    once = rows.where("_n = 1").select(*back)
+    return once.unionAll(rows.where("_n > 1").select(*back).dropDuplicates())
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of the benchmark."""
+    """Drops documents that hold a passage of the benchmark.
+
+    Null and empty texts hold none; repeated rows are judged alike; an empty table stays empty.
+    """
+    docs, back = apart(docs)
     marked = clean.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return marked.where("_n_hit = 0").select(*docs.columns)
+    return marked.where("_n_hit = 0").select(*back)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats, keeps or leaves out documents as their source's target asks, in the order of their training positions.
 
     A document that the mix takes p times is p rows. One that it takes in part counts
-    as a whole row. A document that it leaves out goes.
+    as a whole row. A document that it leaves out goes, as do those without words (null
+    texts too). Null sources are a source of their own. Repeated rows count one by one;
+    an empty table stays empty.
     """
-    size = mixing.words("text")
-    sized = docs.select("*", size.alias("_size"), F.xxhash64("doc_id", "text").alias("_key"))
-    light = mixing.mix_sources(sized.select("doc_id", "source", "_size", "_key"), "_size", key=F.col("_key"))
-    places = light.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), F.explode("_positions").alias("_at"))
-    rows = sized.join(places, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")))
-    return rows.orderBy("_at", "doc_id").select(*docs.columns)
+    docs, back = apart(docs)
+    sized = docs.select("*", mixing.words("text").alias("_size"))
+    placed = mixing.mix_sources(sized, "_size", key=F.xxhash64("doc_id", "text"))
+    return placed.select("*", F.explode("_positions").alias("_at")).orderBy("_at", "doc_id").select(*back)
 
 
 def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes all rows as token records and returns what the files hold."""
+    """Writes all rows as token records and returns what the files hold, in ascending doc_id order (null first).
+
+    Null and empty texts are the end id alone; repeated rows are records of their own; an
+    empty table gives none.
+    """
     return tokens.token_records(docs)
 
 
