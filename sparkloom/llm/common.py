@@ -59,9 +59,15 @@ def _own_dir(spark: SparkSession) -> str:
 LEAN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
 
 
-def keep(df: DataFrame, path: str) -> DataFrame:
-    """Writes a table and reads it back: cuts lineage so that lost executors cost no recomputation."""
+def keep(df: DataFrame, path: str, rows: int | None = None, each: int = 1 << 19) -> DataFrame:
+    """Writes a table and reads it back: cuts lineage so that lost executors cost no recomputation.
+
+    Where the table has ``rows`` rows at most, it is written in no more files than these need
+    at ``each`` rows, however many partitions its making has.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-int(rows) // each)))
     df.write.mode("overwrite").options(**LEAN).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -150,6 +156,12 @@ def partitions_for(spark: SparkSession, n_bytes: float, each: int = 8 << 20) ->
     return int(max(spark.sparkContext.defaultParallelism, min(200_000, -(-n_bytes // each))))
 
 
+def input_bytes(df: DataFrame) -> float:
+    """Catalyst's estimate of a plan's size."""
+    n = float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 60 else 0.0
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column (null: empty) and the offsets of its rows in them."""
     if isinstance(column, pa.ChunkedArray):

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import keep, partitions_for, ship, slice_texts, utf8, work_dir
+from .common import input_bytes, keep, partitions_for, ship, slice_texts, utf8, work_dir
 
 #: Bytes of the rolling window.
 ROLL = 7
@@ -132,9 +132,7 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     spark = ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    from .tokens import _input_bytes
-
-    n = partitions_for(spark, _input_bytes(docs))
+    n = partitions_for(spark, input_bytes(docs))
     order = [F.col("doc_id").desc_nulls_last(), F.col("t").asc()]
     ordered = rows.repartitionByRange(n, F.col("doc_id").desc_nulls_last(), F.xxhash64("t")).sortWithinPartitions(F.col("doc_id").desc_nulls_last(), F.xxhash64("t"), order[1])
     columns = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]

@@ -131,7 +131,8 @@ def components(edges: DataFrame, out: str) -> DataFrame:
     spark = edges.sparkSession
     turned = lambda e: e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     now = keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), f"{out}/0")
-    many, before, k = hot_least(2 * now.count()), None, 0
+    n, before, k = now.count(), None, 0
+    many = hot_least(2 * n)
     while True:
         degrees = turned(now).groupBy("a").agg(F.count(F.lit(1)).alias("k"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31))).alias("s"))
         *after, hot = degrees.agg(F.sum("k"), F.sum("s"), F.collect_list(F.when(F.col("k") >= many, F.col("a")))).first()  # a few thousand hot nodes at most
@@ -143,9 +144,9 @@ def components(edges: DataFrame, out: str) -> DataFrame:
         large = join_salted(both, least, ["a"], hot, F.col("b")).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = join_salted(large, least, ["a"], hot, F.col("b")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).distinct()
-        now = keep(small, f"{out}/{k}")
+        now = keep(small, f"{out}/{k}", 2 * n)
         drop(spark, f"{out}/{k - 1}")
-    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp"))
+    return keep(now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")), f"{out}/done", 2 * n)
 
 
 def _shingles(batches):
@@ -161,7 +162,7 @@ def _shingles(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes[i:j], each)), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(comps[i:j], each))], ["node", "shingle", "c"])
 
 
-def _promising(members: DataFrame, hot: list[int], comp: DataFrame, texts: DataFrame, percent: int, out: str) -> DataFrame:
+def _promising(members: DataFrame, hot: list[int], comp: DataFrame, texts: DataFrame, percent: int, out: str, n: int) -> DataFrame:
     """Of buckets that aren't connected, the members that can have a link to another one at all: (band, node, n, c).
 
     A new link joins two components, so a shingle that only one component has is in no
@@ -171,7 +172,7 @@ def _promising(members: DataFrame, hot: list[int], comp: DataFrame, texts: DataF
     """
     now = members.join(comp, "node", "left").select("band", "pivot", "node", "n", F.coalesce("comp", "node").alias("c"))
     opened = now.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("floor")).where("lo <> hi").select("band", "floor")
-    now = keep(join_salted(now, opened, ["band"], hot, F.col("node")), f"{out}/open")
+    now = keep(join_salted(now, opened, ["band"], hot, F.col("node")), f"{out}/open", n)
     nodes = now.groupBy("node").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.min("floor").alias("floor"))
     shingles = texts.join(nodes.select("node", "c"), "node").select("node", "text", "c").mapInArrow(_shingles, "node long, shingle long, c long")
     lone = shingles.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo = hi").select("shingle")
@@ -228,7 +229,7 @@ def _compared(percent: int):
     return run
 
 
-def _blocks(members: DataFrame, hot: list[int], texts: DataFrame, out: str) -> DataFrame:
+def _blocks(members: DataFrame, hot: list[int], texts: DataFrame, out: str, n: int) -> DataFrame:
     """(h, r, q, node, c, text, query): blocks in which all pairs of different components in one bucket meet.
 
     A node's home h is the component that is largest in a bucket of its. In each bucket the nodes outside its
@@ -238,12 +239,12 @@ def _blocks(members: DataFrame, hot: list[int], texts: DataFrame, out: str) -> D
     sizes = members.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k"))
     sizes = sizes.groupBy("band").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("all")).where("all > top.k").select("band", F.col("top.c").alias("largest"))
     placed = join_salted(members, sizes, ["band"], hot, F.col("node"))
-    placed = keep(placed.withColumn("inside", F.col("c") == F.col("largest")), f"{out}/placed")
+    placed = keep(placed.withColumn("inside", F.col("c") == F.col("largest")), f"{out}/placed", n)
     home = placed.groupBy("node").agg(F.first("c").alias("c"), F.first("n").alias("n"), F.max("inside").alias("inside"), F.min("largest").alias("m"))
-    home = keep(home.select("node", "n", "c", F.when(F.col("inside"), F.col("c")).otherwise(F.col("m")).alias("h")), f"{out}/home")
+    home = keep(home.select("node", "n", "c", F.when(F.col("inside"), F.col("c")).otherwise(F.col("m")).alias("h")), f"{out}/home", n)
     homes = placed.select("band", "node").join(home.select("node", "h"), "node").select("band", "h").distinct()
     asked = placed.where("not inside").select("band", "node", "n", "c").join(homes, "band").select("node", "n", "c", "h").distinct()
-    asked = keep(asked, f"{out}/asked")
+    asked = keep(asked, f"{out}/asked", n)
     per = lambda df, c: df.groupBy("h").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias(c))
     counts = per(home, "nr").join(per(asked, "nq"), "h")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -275,21 +276,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     sig = keep(rows.mapInArrow(_signatures, "doc_id long, h long, n_shingles long, k1 long, k2 long, regs binary"), f"{out}/signatures")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "h", "n_shingles", "regs")).alias("f")
+    n_rows = sig.count()
     reps = sig.where("n_shingles > 0").groupBy("k1", "k2").agg(least, F.count(F.lit(1)).alias("copies"))
     # the number of a class holds once it is written
-    reps = keep(reps.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "f.doc_id", "f.h", "f.n_shingles", "f.regs", "copies"), f"{out}/classes")
-    n_rows, n_classes = sig.count(), reps.count()
+    reps = keep(reps.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "f.doc_id", "f.h", "f.n_shingles", "f.regs", "copies"), f"{out}/classes", n_rows, 1 << 16)
+    n_classes = reps.count()
 
     bands = reps.select("node", "n_shingles", "regs").mapInArrow(_bands, "node long, n long, band long")
-    shared = keep(bands.groupBy("band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1"), f"{out}/shared")
+    n_bands = n_classes * REGISTERS // ROWS
+    shared = keep(bands.groupBy("band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1"), f"{out}/shared", n_bands)
     hot = hot_keys(shared, "band", "c", shared.agg(F.sum("c")).first()[0] or 0)
-    members = keep(join_salted(bands, shared.select("band", "pivot"), ["band"], hot, F.col("node")), f"{out}/members")
+    members = keep(join_salted(bands, shared.select("band", "pivot"), ["band"], hot, F.col("node")), f"{out}/members", n_bands)
+    n_members = members.count()
     release(spark)
     chosen = reps.join(members.select("node"), "node", "left_semi")
     wanted = chosen.select("node", F.col("doc_id").alias("d"), F.col("h").alias("g"))
     texts = rows.join(wanted, F.expr("h = g and doc_id <=> d")).dropDuplicates(["g", "node"])
-    texts = keep(texts.select("node", "text"), f"{out}/texts")
-    light = keep(chosen.select("node", "n_shingles", "regs"), f"{out}/involved")
+    texts = keep(texts.select("node", "text"), f"{out}/texts", n_classes, 1 << 12)
+    light = keep(chosen.select("node", "n_shingles", "regs"), f"{out}/involved", n_classes, 1 << 16)
     release(spark)
 
     def likely(batches):
@@ -312,24 +316,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 ok.append(a is not None and linked(shingle_set(t), kept, percent))
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    pairs = keep(members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), f"{out}/pairs")
+    pairs = keep(members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), f"{out}/pairs", n_members)
+    n_pairs = pairs.count()
     left, right = (light.select(F.col("node").alias(x), F.col("n_shingles").alias(n), F.col("regs").alias(r)) for x, n, r in (("a", "n", "r"), ("b", "m", "s")))
-    pivots = hot_keys(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("k")), "b", "k", pairs.count())
+    pivots = hot_keys(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("k")), "b", "k", n_pairs)
     some = join_salted(pairs.join(left, "a"), right, ["b"], pivots, F.col("a")).mapInArrow(likely, "a long, b long")
-    some = keep(some.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(PARTS))), f"{out}/likely")
+    some = keep(some.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(PARTS))), f"{out}/likely", n_pairs, 1 << 16)
     # a bucket's least text goes once to each of its parts, ahead of the members there
     ahead = some.select("b", "part").distinct().join(texts, F.col("b") == F.col("node")).select("b", "part", F.lit(None).cast("long").alias("a"), "text")
     after = some.join(texts, F.col("a") == F.col("node")).select("b", "part", "a", "text")
     dealt = ahead.unionAll(after).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
-    links = keep(dealt.mapInArrow(exact, "a long, b long"), f"{out}/links-0")
+    links = keep(dealt.mapInArrow(exact, "a long, b long"), f"{out}/links-0", n_pairs, 1 << 12)
 
-    comp = keep(components(links, f"{out}/components-0"), f"{out}/comp-0")
-    members = keep(_promising(members, hot, comp, texts, percent, out), f"{out}/promising")
-    release(spark)
-    more = _blocks(members, hot, texts, out).groupBy("h", "r", "q").applyInArrow(_compared(percent), "a long, b long")
+    comp = components(links, f"{out}/components-0")
+    able = keep(_promising(members, hot, comp, texts, percent, out, n_members), f"{out}/promising", n_members)
+    more = _blocks(able, hot, texts, out, n_members).groupBy("h", "r", "q").applyInArrow(_compared(percent), "a long, b long")
     more = keep(more, f"{out}/links-1")
     if not more.isEmpty():
-        comp = keep(components(links.unionAll(more), f"{out}/components-1"), f"{out}/comp-1")
+        comp = components(links.unionAll(more), f"{out}/components-1")
     release(spark)
     # each class's component is told by its first row
     classes = reps.select("node", "k1", "k2", "copies", F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "h").alias("own"))

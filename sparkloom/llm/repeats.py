@@ -404,12 +404,12 @@ def without_repeats(docs: DataFrame, kind: Kind, decide: Callable, doc_id: str =
     hashed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), last).alias("d"), F.xxhash64(content).alias("h"), F.xxhash64(F.lit(7), content).alias("g"), content.alias("text"))
     light = keep(hashed.select("d", "h", "g"), f"{out}/hashes")
     tid, n_rows = _identity(light), light.count()
-    firsts = keep(light.groupBy(tid.alias("tid")).agg(F.min("d").alias("first"), F.count(F.lit(1)).alias("copies")), f"{out}/firsts")
+    firsts = keep(light.groupBy(tid.alias("tid")).agg(F.min("d").alias("first"), F.count(F.lit(1)).alias("copies")), f"{out}/firsts", n_rows)
     rows = hashed.select("doc_id", "d", tid.alias("tid"), "text")
     # of texts with very many copies (a thousand texts at most) only the first rows go on
     many = F.broadcast(firsts.where(F.col("copies") >= hot_least(n_rows)).select("tid", F.col("first").alias("_first")))
     few = rows.join(many, "tid", "left").where("_first is null or d = _first").select(*rows.columns)
-    sets = keep(_wanted(few, kind).join(firsts.select("tid", "first"), "tid"), f"{out}/keys")
+    sets = keep(_wanted(few, kind).join(firsts.select("tid", "first"), "tid"), f"{out}/keys", n_rows, 1 << 14)
     release(spark)
     # texts move once, into buckets: the first row of each (repeated rows stay), with its keys
     chosen = few.join(sets, "tid").where("d = first")
@@ -419,7 +419,7 @@ def without_repeats(docs: DataFrame, kind: Kind, decide: Callable, doc_id: str =
     release(spark)
     made = keep(chosen.mapInArrow(_instances(kind), _INSTANCES), f"{out}/instances")
     places = made.groupBy("key", "c").agg(F.min(F.struct("d", "start", "tid", "n")).alias("f")).select("key", "c", "f.*")
-    places = keep(places.groupBy("tid").agg(F.collect_list(F.struct("start", "n", "key", "c")).alias("places")), f"{out}/places")
+    places = keep(places.groupBy("tid").agg(F.collect_list(F.struct("start", "n", "key", "c")).alias("places")), f"{out}/places", n_rows, 1 << 14)
     release(spark)
     contents = chosen.select("tid", "d", "text").join(places, "tid").select("d", "text", "places")
     contents = keep(contents.mapInArrow(_contents(kind), "key long, c long, d long, start long, content binary"), f"{out}/contents")
@@ -433,20 +433,20 @@ def without_repeats(docs: DataFrame, kind: Kind, decide: Callable, doc_id: str =
     del contents, sharded
     drop(spark, f"{out}/contents")
     release(spark)
-    ranges = keep(_ranges(made, decided, kind), f"{out}/ranges")
+    ranges = keep(_ranges(made, decided, kind), f"{out}/ranges", n_rows, 1 << 14)
     del made, decided
     drop(spark, f"{out}/instances", f"{out}/decided")
     release(spark)
     cut = "tid long, n_removed long, n_spans long, kept_sha256 string, spans array<bigint>, kept_text string"
     changed = chosen.select("tid", "text").join(ranges, "tid").mapInArrow(_cut(kind), cut)
-    changed = keep((changed if with_text else changed.drop("kept_text", "spans")).dropDuplicates(["tid"]), f"{out}/changed")
+    changed = keep((changed if with_text else changed.drop("kept_text", "spans")).dropDuplicates(["tid"]), f"{out}/changed", n_rows, 1 << 13)
     del chosen, ranges
     spark.sql(f"DROP TABLE {name}")
     drop(spark, f"{out}/chosen", f"{out}/ranges")
     release(spark)
     whole = rows.select("doc_id", "tid", "text").mapInArrow(_whole(kind), "doc_id long, tid long, n_units long, whole_sha256 string")
     whole = join_salted(whole, firsts.select("tid", "first"), ["tid"], hot_keys(firsts, "tid", "copies", n_rows), F.monotonically_increasing_id())
-    whole = keep(whole.withColumn("copy", (F.coalesce("doc_id", last) > F.col("first")) & (F.col("n_units") >= kind.k)), f"{out}/whole")
+    whole = keep(whole.withColumn("copy", (F.coalesce("doc_id", last) > F.col("first")) & (F.col("n_units") >= kind.k)), f"{out}/whole", n_rows, 1 << 14)
     # later copies go as a whole, and short texts stay: only others need what was found
     known = F.col("copy") | (F.col("n_units") < kind.k)
     none, zero = F.lit(hashlib.sha256(b"").hexdigest()), F.lit(0).cast("long")

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import file_system, partitions_for, read_bytes, ship, slice_texts, utf8, work_dir
+from .common import file_system, input_bytes, partitions_for, read_bytes, ship, slice_texts, utf8, work_dir
 from .crc32c import crc32c, masked
 
 #: Bytes that a worker's remembered words and their ids take, at most about; what looks them up takes as much again.
@@ -239,7 +239,7 @@ def write_tokens(docs: DataFrame, out: str, vocabulary: str, end_id: int = 1, do
     """
     spark = ship(docs.sparkSession)
     sized = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
-    n = partitions_for(spark, _input_bytes(docs))
+    n = partitions_for(spark, input_bytes(docs))
     ordered = sized.repartitionByRange(n, "d", F.xxhash64("t")).sortWithinPartitions("d", F.xxhash64("t"), "t")
 
     def run(batches):
@@ -286,7 +286,8 @@ def read_tokens(spark, files: list[dict]) -> DataFrame:
         rows.append((f["path"], f["index"], base))
         base += f["tokens"]
     listed = spark.createDataFrame(rows, "path string, index string, base long")
-    listed = listed.repartition(max(1, len(rows))) if rows else listed
+    tasks = partitions_for(spark, 4 * base, 16 << 20)
+    listed = listed.repartition(min(len(rows), tasks)) if rows else listed
 
     def run(batches):
         for b in batches:
@@ -311,12 +312,6 @@ def read_tokens(spark, files: list[dict]) -> DataFrame:
     return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def _input_bytes(df: DataFrame) -> float:
-    """Catalyst's estimate of a plan's size."""
-    n = float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return n if n < 1 << 60 else 0.0
-
-
 def token_records(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1) -> DataFrame:
     """Writes the records of ``docs`` to the shared folder and reads them back."""
     if vocabulary is None:
