@@ -55,7 +55,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     light = light.groupBy("_u", "_d", "_h").agg(F.min(F.struct("_x", "_n")).alias("_m")).select("_u", "_d", "_h", "_m._x", "_m._n")
     rows = keyed.join(chosen.join(light, ["_u", "_d", "_h"]), ["_u", "_d", "_h", "_x"])
     once = rows.where("_n = 1").select(*back)
-    return once.unionAll(rows.where("_n > 1").select(*back).dropDuplicates())
+    kept = once.unionAll(rows.where("_n > 1").select(*back).dropDuplicates())
+    return kept.coalesce(common.partitions_for(spark, common.input_bytes(docs), 16 << 20))  # the files of few rows are few
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
