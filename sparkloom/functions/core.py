@@ -21,8 +21,8 @@ def cast_integer(x: Column) -> Column:
 
 
 def add(x: Column, y: Column) -> Column:
-    """x + y of integers; what overflows goes on as REAL."""
-    return F.coalesce(F.try_add(x, y).cast("double"), x.cast("double") + y.cast("double"))
+    """x + y of integers as a VARIANT: an integer, or REAL where it overflows."""
+    return F.coalesce(F.try_add(x, y).cast("variant"), (x.cast("double") + y.cast("double")).cast("variant"))
 
 
 def divide(x: Column, y: Column, integers: bool = False) -> Column:
@@ -74,6 +74,19 @@ def glob(pattern: str, x: Column) -> Column:
     return x.rlike(glob_regex(pattern))
 
 
+def to_char(x: Column, fmt: str) -> Column:
+    """A number by a format of 9s and 0s; a 0 in the last place shows a zero that 9s would leave blank."""
+    whole = fmt.partition(".")[0]
+    text = F.to_char(x, F.lit(fmt))
+    return F.when(x == 0, F.lpad(F.lit("0"), len(whole), " ")).otherwise(text) if "." not in fmt and whole.startswith("9") and whole.endswith("0") else text
+
+
+def similar(pattern: str, x: Column) -> Column:
+    """SIMILAR TO: ``%`` and ``_`` as in LIKE, else a regular expression's brackets, alternatives and repeats."""
+    regex = "".join({"%": ".*", "_": "."}.get(c, "\\" + c if c in ".^$\\" else c) for c in pattern)
+    return x.rlike(f"(?s)\\A(?:{regex})\\z")
+
+
 def lower(x: Column) -> Column:
     """ASCII letters in lower case."""
     return F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

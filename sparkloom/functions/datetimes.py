@@ -12,19 +12,46 @@ _FORMATS = {"d": "dd", "e": "d", "F": "yyyy-MM-dd", "H": "HH", "I": "hh", "j": "
 
 
 def stamp(x: Column, *modifiers: str, kind: str = "text") -> Column:
-    """A time value (text, 'julianday' or 'unixepoch') as a timestamp without time zone, after the modifiers."""
+    """A time value (text, 'julianday', 'unixepoch' or 'auto') as a timestamp without time zone, after the modifiers.
+
+    Text is a date with or without a time, a time of 2000-01-01, a Julian day, or 'now'.
+    'auto' takes a number for a Julian day where it can be one, else for seconds.
+    After a shift of months, 'floor' takes the last day of a month that lacks the day
+    ('ceiling', as without either, runs over into the next).
+    """
+    steps = [m.strip().lower() for m in modifiers]
+    if "auto" in steps:
+        kind = "auto"
     if kind == "julianday":
-        t = F.timestamp_micros(F.round((x - 2440587.5) * 86400e6).cast("long")).cast("timestamp_ntz")
+        t = _julian(x)
     elif kind == "unixepoch":
-        t = F.timestamp_micros((x * 1_000_000).cast("long")).cast("timestamp_ntz")
+        t = _seconds(x)
+    elif kind == "auto":
+        n = x.try_cast("double")
+        t = F.when(n.isNull(), _text(x.cast("string"))).when((n >= 0) & (n < 5373484.5), _julian(n)).otherwise(_seconds(n))
     else:
-        t = x.try_cast("timestamp_ntz")
-    for m in modifiers:
-        t = _modified(t, m.strip().lower())
+        t = _text(x)
+    for m, after in zip(steps, [*steps[1:], ""]):
+        t = _modified(t, m, after == "floor")
     return t
 
 
-def _modified(t: Column, m: str) -> Column:
+def _julian(x: Column) -> Column:
+    return F.timestamp_micros(F.round((x - 2440587.5) * 86400e3).cast("long") * 1000).cast("timestamp_ntz")
+
+
+def _seconds(x: Column) -> Column:
+    return F.timestamp_micros((x * 1_000_000).cast("long")).cast("timestamp_ntz")
+
+
+def _text(x: Column) -> Column:
+    x = F.trim(x)
+    clock = F.when(x.rlike(r"^\d{2}:\d{2}"), F.concat(F.lit("2000-01-01 "), x)).otherwise(x)
+    plain = F.when(F.lower(x) == "now", F.localtimestamp()).otherwise(clock.try_cast("timestamp_ntz"))
+    return F.when(x.rlike(r"^\d+(\.\d+)?$"), _julian(x.try_cast("double"))).otherwise(plain)
+
+
+def _modified(t: Column, m: str, clamp: bool = False) -> Column:
     if m in ("start of day", "start of month", "start of year"):
         return F.date_trunc(m[9:], t).cast("timestamp_ntz")
     if w := re.fullmatch(r"weekday ([0-6])", m):
@@ -33,15 +60,23 @@ def _modified(t: Column, m: str) -> Column:
     if w := re.fullmatch(r"([+-]?\d+(?:\.\d+)?) (second|minute|hour|day|month|year)s?", m):
         n, unit = float(w[1]), w[2]
         if unit in ("month", "year"):
-            return _plus_months(t, int(n) * (12 if unit == "year" else 1))
+            months = int(n) * (12 if unit == "year" else 1)
+            return t + F.make_ym_interval(months=F.lit(months)) if clamp else _plus_months(t, months)
         seconds = n * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit]
         return t + F.make_dt_interval(secs=F.lit(seconds).cast("decimal(18,6)"))
+    if w := re.fullmatch(r"([+-])(\d{4})-(\d\d)-(\d\d)(?: (\d\d):(\d\d)(?::(\d\d))?)?", m):
+        sign = -1 if w[1] == "-" else 1
+        months, seconds = int(w[2]) * 12 + int(w[3]), int(w[4]) * 86400 + int(w[5] or 0) * 3600 + int(w[6] or 0) * 60 + int(w[7] or 0)
+        t = t + F.make_ym_interval(months=F.lit(sign * months)) if clamp else _plus_months(t, sign * months)
+        return t + F.make_dt_interval(secs=F.lit(sign * seconds).cast("decimal(18,6)"))
     if w := re.fullmatch(r"([+-])(\d\d):(\d\d)(?::(\d\d))?", m):
         seconds = (int(w[2]) * 3600 + int(w[3]) * 60 + int(w[4] or 0)) * (-1 if w[1] == "-" else 1)
         return t + F.make_dt_interval(secs=F.lit(seconds).cast("decimal(18,6)"))
-    if m in ("utc", "localtime", "subsec", "subsecond", "auto", "ceiling"):
-        return t
-    if m == "floor":
+    if m == "localtime":
+        return F.convert_timezone(F.lit("UTC"), F.current_timezone(), t)
+    if m == "utc":
+        return F.convert_timezone(F.current_timezone(), F.lit("UTC"), t)
+    if m in ("subsec", "subsecond", "auto", "ceiling", "floor", "unixepoch", "julianday"):
         return t
     raise ValueError(f"no such modifier: {m}")
 

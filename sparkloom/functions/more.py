@@ -147,3 +147,21 @@ def translit(x: Column) -> Column:
     import unicodedata
 
     return _map("string", lambda v: "".join(c for c in unicodedata.normalize("NFKD", v.replace("ß", "ss").replace("æ", "ae").replace("ø", "o")) if not unicodedata.combining(c)), x)
+
+
+#: Fixed values of Caverphone: its replacements in order, as regular expressions.
+_CAVERPHONE = (
+    ("[^a-z]", ""), ("e$", ""), ("^cough", "cou2f"), ("^rough", "rou2f"), ("^tough", "tou2f"), ("^enough", "enou2f"), ("^trough", "trou2f"), ("^gn", "2n"), ("mb$", "m2"),
+    ("cq", "2q"), ("ci", "si"), ("ce", "se"), ("cy", "sy"), ("tch", "2ch"), ("[cqx]", "k"), ("v", "f"), ("dg", "2g"), ("tio", "sio"), ("tia", "sia"), ("d", "t"), ("ph", "fh"), ("b", "p"), ("sh", "s2"), ("z", "s"),
+    ("^[aeiou]", "A"), ("[aeiou]", "3"), ("j", "y"), ("^y3", "Y3"), ("^y", "A"), ("y", "3"), ("3gh3", "3kh3"), ("gh", "22"), ("g", "k"),
+    ("s+", "S"), ("t+", "T"), ("p+", "P"), ("k+", "K"), ("f+", "F"), ("m+", "M"), ("n+", "N"), ("w3", "W3"), ("wh3", "Wh3"), ("w$", "3"), ("w", "2"), ("^h", "A"), ("h", "2"),
+    ("r3", "R3"), ("r$", "3"), ("r", "2"), ("l3", "L3"), ("l$", "3"), ("l", "2"), ("2", ""), ("3$", "A"), ("3", ""),
+)
+
+
+def caverphone(x: Column) -> Column:
+    """Caverphone of a word in lower case: ten characters; an empty text has none."""
+    out = x
+    for old, new in _CAVERPHONE:
+        out = F.regexp_replace(out, old, new)
+    return F.when(x == "", "").otherwise(F.rpad(out, 10, "1"))

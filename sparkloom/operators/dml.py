@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import folder
+
 
 class ConstraintError(ValueError):
     """A write that a constraint forbids."""
@@ -47,6 +50,18 @@ def upsert(table: DataFrame, rows: DataFrame, key: list[str], update: dict[str,
     return both.select(*[column(c) for c in table.columns])
 
 
+def with_generated(table: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """Adds generated columns, each an expression over others, generated ones too; a circle among them is an error."""
+    left = dict(rules)
+    while left:
+        ready = {c: e for c, e in left.items() if not any(re.search(rf"\b{other}\b", e) for other in left)}
+        if not ready:
+            raise ConstraintError(f"generated columns in a circle: {', '.join(sorted(left))}")
+        table = table.withColumns({c: F.expr(e) for c, e in ready.items()})
+        left = {c: e for c, e in left.items() if c not in ready}
+    return table.select(*[c for c in table.columns if c not in rules], *rules)
+
+
 def update(table: DataFrame, where: str, changes: dict[str, str]) -> DataFrame:
     """UPDATE t SET ... WHERE: all expressions see the old row."""
     return table.select(*[F.when(F.expr(where), F.expr(changes[c])).otherwise(F.col(c)).cast(table.schema[c].dataType).alias(c) if c in changes else F.col(c) for c in table.columns])
@@ -149,15 +164,20 @@ class Sequence:
         return n
 
     def take(self, df: DataFrame, column: str) -> DataFrame:
-        """Adds the next values, without gaps: rows are counted by partition, not brought together."""
+        """Adds the next values, without gaps: rows are counted by partition, not brought together.
+
+        The rows are written with their places first, so that no rerun numbers them anew.
+        """
+        spark, path = df.sparkSession, folder(df.sparkSession, "numbered")
         base = self.start if self.value is None else self.value + self.increment
-        tagged = df.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+        df.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()).write.parquet(path)
+        tagged = spark.read.parquet(path)
         sizes = sorted((r._p, r["count"]) for r in tagged.groupBy("_p").count().collect())  # one number per partition
         offsets, n = [], 0
         for p, k in sizes:
             offsets.append((p, n))
             n += k
-        starts = df.sparkSession.createDataFrame(offsets, "_p int, _o long")
+        starts = spark.createDataFrame(offsets, "_p int, _o long")
         self.value = base + (n - 1) * self.increment if n else self.value
         within = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
         return tagged.join(F.broadcast(starts), "_p").withColumn(column, F.lit(base) + (F.col("_o") + within) * self.increment).drop("_p", "_m", "_o")

@@ -23,7 +23,7 @@ sql("agg_total", "SELECT coalesce(sum(CAST(x AS DOUBLE)), 0.0) AS t FROM (VALUES
 sql("agg_min_max_text", "SELECT min(p_name) AS lo, max(p_name) AS hi FROM part")
 sql("agg_group_concat", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
 sql("agg_string_agg", "SELECT string_agg(r_name, '; ') WITHIN GROUP (ORDER BY r_name DESC) AS names FROM region", "SELECT string_agg(r_name, '; ' ORDER BY r_name DESC) AS names FROM region")
-sql("agg_mode", "SELECT l_returnflag, mode() WITHIN GROUP (ORDER BY l_linenumber) AS m FROM lineitem WHERE l_linenumber = 1 OR l_quantity < 20 GROUP BY l_returnflag", "SELECT l_returnflag, mode(l_linenumber) AS m FROM lineitem WHERE l_linenumber = 1 OR l_quantity < 20 GROUP BY l_returnflag")
+sql("agg_mode", "SELECT l_returnflag, mode() WITHIN GROUP (ORDER BY l_linenumber) AS m FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, mode(l_linenumber) AS m FROM lineitem GROUP BY l_returnflag")
 sql("agg_percentile_cont", "SELECT o_orderstatus, round(percentile_cont(0.25) WITHIN GROUP (ORDER BY o_totalprice), 4) AS p FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, round(quantile_cont(o_totalprice, 0.25), 4) AS p FROM orders GROUP BY o_orderstatus")
 sql("agg_percentile_disc", "SELECT o_orderstatus, percentile_disc(0.5) WITHIN GROUP (ORDER BY o_totalprice) AS p FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, quantile_disc(o_totalprice, 0.5) AS p FROM orders GROUP BY o_orderstatus")
 sql("agg_median", "SELECT l_returnflag, round(median(l_extendedprice), 4) AS m FROM lineitem GROUP BY l_returnflag")
@@ -35,7 +35,7 @@ sql("agg_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM order
 sql("agg_grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
 sql("agg_json_group_array", "SELECT n_regionkey, to_json(array_sort(collect_list(n_nationkey))) AS j FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, '[' || string_agg(CAST(n_nationkey AS VARCHAR), ',' ORDER BY n_nationkey) || ']' AS j FROM nation GROUP BY n_regionkey")
 sql("agg_json_group_object", "SELECT to_json(map_from_entries(array_sort(collect_list(struct(r_name, r_regionkey))))) AS j FROM region", """SELECT '{' || string_agg('"' || r_name || '":' || r_regionkey, ',' ORDER BY r_name) || '}' AS j FROM region""")
-sql("agg_array_agg", "SELECT n_regionkey, array_join(array_sort(collect_list(n_name)), '|') AS a FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, array_to_string(list_sort(array_agg(n_name)), '|') AS a FROM nation GROUP BY n_regionkey")
+sql("agg_array_agg", "SELECT n_regionkey, array_join(array_agg(n_name), '|') AS a FROM (SELECT * FROM nation ORDER BY n_nationkey) t GROUP BY n_regionkey", "SELECT n_regionkey, array_to_string(array_agg(n_name ORDER BY n_nationkey), '|') AS a FROM nation GROUP BY n_regionkey")
 
 
 @register("agg_bare_column", "SELECT o_custkey, max(o_totalprice) AS top, arg_max(o_orderkey, o_totalprice) AS o_orderkey FROM orders GROUP BY o_custkey")
@@ -87,7 +87,7 @@ sql("min_max_shortcut", "SELECT max(o_orderkey) AS hi FROM orders")
 sql("set_union_all", "SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region")
 sql("set_union", "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey FROM region")
 sql("set_intersect", "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal < 0")
-sql("set_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+sql("set_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
 sql("set_left_associative", "SELECT * FROM ((SELECT 1 AS x UNION SELECT 2) INTERSECT SELECT 2) t")
 sql("set_intersect_all", "SELECT n_regionkey AS k FROM nation INTERSECT ALL SELECT r_regionkey FROM region")
 sql("set_except_all", "SELECT n_regionkey AS k FROM nation EXCEPT ALL SELECT r_regionkey FROM region")

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import sqlfuncs
 from ..session import table
 from .registry import register
 
@@ -22,6 +23,7 @@ def views(spark: SparkSession, sf_dir: str, text: str) -> None:
 
 def run_sql(spark: SparkSession, sf_dir: str, text: str, **args) -> DataFrame:
     views(spark, sf_dir, text)
+    sqlfuncs.install(spark, text)
     return spark.sql(text, args=args or None)
 
 

@@ -3,7 +3,8 @@
 The rewriter works on tokens, so text in quotes and comments is safe. What it changes is
 what differs between the dialects: LIKE ignores case, GLOB and REGEXP, IS between any two
 values, ``==``, quoting of names, index hints, LIMIT forms, set operations of one
-precedence, and functions of other names.
+precedence, row values, JSON arrows, and functions of other names. Statements that write
+(INSERT, UPDATE, DELETE, CREATE TABLE, ALTER TABLE, DROP) replace a table of the session.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import sqlfuncs
 from ..functions.core import glob_regex
-from ..sources import catalog
+from ..sources import catalog, tables
 
 _TOKEN = re.compile(
     r"(?P<space>\s+|--[^\n]*|/\*.*?\*/)|(?P<string>'(?:[^']|'')*')|(?P<name>\"(?:[^\"]|\"\")*\"|`(?:[^`]|``)*`|\[[^\]]*\])|(?P<blob>[xX]'[0-9a-fA-F]*')"
@@ -59,7 +61,7 @@ def tokenize(text: str) -> list[Token]:
 
 def translate(text: str) -> str:
     """One query in Spark SQL."""
-    return "".join(t.text for t in _compound(_calls(_tokens(tokenize(text))))).strip()
+    return "".join(t.text for t in _compound(_calls(_rows(_arrows(_tokens(tokenize(text))))))).strip()
 
 
 def _next(ts: list[Token], k: int) -> int:
@@ -130,6 +132,97 @@ def _tokens(ts: list[Token]) -> list[Token]:
     return out
 
 
+def _opening(ts: list[Token], k: int) -> int:
+    """Where the operand that ends at k begins: a name, a literal, a parenthesis, or a call."""
+    if ts[k].text == ")":
+        depth = 0
+        while k >= 0:
+            depth += (ts[k].text == ")") - (ts[k].text == "(")
+            if not depth:
+                break
+            k -= 1
+        if k and ts[k - 1].kind in ("word", "call"):
+            k -= 1
+    while k > 1 and ts[k - 1].text == "." and ts[k - 2].kind in ("word", "name"):
+        k -= 2
+    return k
+
+
+def _closing(ts: list[Token], k: int) -> int:
+    """Where the parenthesis that opens at k closes."""
+    depth = 0
+    for end in range(k, len(ts)):
+        depth += (ts[end].text == "(") - (ts[end].text == ")")
+        if not depth:
+            return end
+    raise ValueError("a parenthesis isn't closed")
+
+
+def _arrows(ts: list[Token]) -> list[Token]:
+    """``j -> p`` as the part's JSON text, ``j ->> p`` as its value; p is a path, a key or a place, given as a literal."""
+    k = 0
+    while k < len(ts):
+        if ts[k].text in ("->", "->>") and ts[k].kind == "op":
+            right = _next(ts, k)
+            left = k - 1
+            while ts[left].kind == "space":
+                left -= 1
+            start = _opening(ts, left)
+            body = "".join(t.text for t in ts[start : left + 1])
+            if ts[right].kind == "number":
+                path = f"$[{ts[right].text}]"
+            elif ts[right].kind == "string":
+                path = ts[right].text[1:-1]
+                path = path if path.startswith("$") else f"$['{path}']".replace("'", "''") if not path.isidentifier() else f"$.{path}"
+            else:
+                raise ValueError("a JSON arrow takes a literal path, key or place")
+            part = f"try_variant_get(try_parse_json({body}), '{path}', '{'string' if ts[k].text == '->>' else 'variant'}')"
+            ts = [*ts[:start], Token("call", part if ts[k].text == "->>" else f"to_json({part})"), *ts[right + 1 :]]
+            k = start
+        k += 1
+    return ts
+
+
+def _rows(ts: list[Token]) -> list[Token]:
+    """Comparisons of row values, from left to right."""
+    k = 0
+    while k < len(ts):
+        before = next((t for t in reversed(ts[:k]) if t.kind != "space"), Token("op", "("))
+        if ts[k].text == "(" and not (k and ts[k - 1].kind in ("word", "call") and ts[k - 1].up not in ("WHERE", "AND", "OR", "NOT", "ON", "WHEN", "HAVING")) and before.up != "IN":
+            end = _closing(ts, k)
+            op = _next(ts, end)
+            if op < len(ts) and ts[op].text in ("<", "<=", ">", ">=", "=", "<>", "!=") and (right := _next(ts, op)) < len(ts) and ts[right].text == "(":
+                last = _closing(ts, right)
+                xs, ys = _parts(ts[k + 1 : end]), _parts(ts[right + 1 : last])
+                if len(xs) == len(ys) > 1 and not xs[0].upper().startswith("SELECT") and not ys[0].upper().startswith("SELECT"):
+                    ts = [*ts[:k], Token("call", _lexical(ts[op].text, xs, ys)), *ts[last + 1 :]]
+        k += 1
+    return ts
+
+
+def _parts(ts: list[Token]) -> list[str]:
+    """What commas part, outside parentheses."""
+    out, depth = [""], 0
+    for t in ts:
+        depth += (t.text == "(") - (t.text == ")")
+        if t.text == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += t.text
+    return [x.strip() for x in out]
+
+
+def _lexical(op: str, xs: list[str], ys: list[str]) -> str:
+    if op in ("=", "<>", "!="):
+        same = " AND ".join(f"{x} = {y}" for x, y in zip(xs, ys))
+        return f"({same})" if op == "=" else f"(NOT ({same}))"
+    strict = op[0]
+    out = f"{xs[-1]} {op} {ys[-1]}"
+    for x, y in reversed(list(zip(xs[:-1], ys[:-1]))):
+        out = f"{x} {strict} {y} OR ({x} = {y} AND ({out}))"
+    return f"({out})"
+
+
 def _calls(ts: list[Token]) -> list[Token]:
     """Renames functions and rewrites calls, innermost first."""
     k = len(ts) - 1
@@ -173,8 +266,16 @@ def _compound(ts: list[Token]) -> list[Token]:
 
 
 def sql(spark: SparkSession, text: str, **args) -> DataFrame:
-    """Runs a statement: a query, EXPLAIN, VALUES, PRAGMA table_info or table_list, CREATE [TEMP] VIEW or TABLE AS, DROP VIEW."""
+    """Runs a statement: a query, EXPLAIN, VALUES, PRAGMA table_info or table_list, CREATE [TEMP] VIEW or TABLE, DROP, ALTER TABLE, INSERT, UPDATE or DELETE.
+
+    A write returns its rows where it says RETURNING, else none; changes(), total_changes()
+    and last_insert_rowid() tell of the session's writes.
+    """
     head = text.strip().rstrip(";")
+    head = re.sub(r"(?i)\b(changes|total_changes|last_insert_rowid)\s*\(\s*\)", lambda m: str(tables.counter(spark, m[1].lower())), head)
+    if re.match(r"(?is)(insert|replace|update|delete|alter|create\s+(temp(orary)?\s+)?table\s+(if\s+not\s+exists\s+)?[\w\"`]+\s*\()", head):
+        return tables.write(spark, head, translate, args or None)
+    sqlfuncs.install(spark, head.lower())
     if m := re.fullmatch(r"(?is)pragma\s+table_info\s*\(\s*['\"]?(\w+)['\"]?\s*\)", head):
         return catalog.table_info(spark.table(m[1]))
     if re.fullmatch(r"(?is)pragma\s+table_list", head):

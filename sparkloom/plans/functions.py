@@ -102,6 +102,14 @@ def date_modifiers(t):
     return t.select("o_orderkey", D.date(s("start of month")).alias("m"), D.date(s("start of year")).alias("y"), D.datetime(s("+10 days", "-3 hours")).alias("a"), D.date(s("weekday 0")).alias("w"), D.date(s("+1 month")).alias("n"))
 
 
+@register("fn_date_forms", """SELECT * FROM (VALUES ('2024-01-31', '+1 month', '2024-03-02 00:00:00'), ('2024-01-31', '+1 month, floor', '2024-02-29 00:00:00'), ('2024-01-31', '+1 month, ceiling', '2024-03-02 00:00:00'), ('12:34', '', '2000-01-01 12:34:00'), ('2460000.5', '', '2023-02-25 00:00:00'), ('1700000000', 'auto', '2023-11-14 22:13:20'), ('2460000.5', 'auto', '2023-02-25 00:00:00'), ('2024-02-29 01:00', '+0001-00-00, floor', '2025-02-28 01:00:00'), ('2024-02-29 01:00', '-0000-01-01 01:30', '2024-01-27 23:30:00'), ('2024-05-01', 'localtime, utc', '2024-05-01 00:00:00'), ('2024-13-01', '', NULL)) t(x, m, d)""")
+def date_forms(spark, sf_dir):
+    """All forms of a time value, and the modifiers that depend on others."""
+    cases = [("2024-01-31", "+1 month"), ("2024-01-31", "+1 month, floor"), ("2024-01-31", "+1 month, ceiling"), ("12:34", ""), ("2460000.5", ""), ("1700000000", "auto"), ("2460000.5", "auto"), ("2024-02-29 01:00", "+0001-00-00, floor"), ("2024-02-29 01:00", "-0000-01-01 01:30"), ("2024-05-01", "localtime, utc"), ("2024-13-01", "")]
+    rows = [F.struct(F.lit(x).alias("x"), F.lit(m).alias("m"), D.datetime(D.stamp(F.lit(x), *filter(None, m.split(", ")))).alias("d")) for x, m in cases]
+    return spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 @_on("fn_time_values", "SELECT event_id, CAST(year(ts) AS INTEGER) AS y, CAST(month(ts) AS INTEGER) AS m, CAST(day(ts) AS INTEGER) AS d, CAST(hour(ts) AS INTEGER) AS h, CAST(minute(ts) AS INTEGER) AS mi, CAST(second(ts) AS INTEGER) AS s, CAST(dayofyear(ts) AS INTEGER) AS yd, CAST(weekofyear(ts) AS INTEGER) AS iw, CAST(isoyear(ts) AS INTEGER) AS iy, CAST((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) * 1000 AS BIGINT) AS sub, CASE WHEN ts < TIMESTAMP '2024-01-15' THEN -1 WHEN ts > TIMESTAMP '2024-01-15' THEN 1 ELSE 0 END AS c, epoch_us(time_bucket(INTERVAL 15 MINUTE, ts)) AS tr FROM events", "events")
 def time_values(t):
     s = F.col("ts")
@@ -124,17 +132,17 @@ def json_types(spark, sf_dir):
     return t.select("id", J.valid(F.col("j")).alias("v"), J.type_of(F.col("j")).alias("t"))
 
 
-@register("fn_json_extract", """SELECT * FROM (VALUES (1, '1', 'x', '2'), (3, '{"b":"t"}', NULL, NULL)) t(id, a, c, e)""")
+@register("fn_json_extract", """SELECT * FROM (VALUES (1, '1', 'x', '2'), (2, NULL, NULL, NULL), (3, '{"b":"t"}', NULL, NULL), (4, NULL, NULL, NULL)) t(id, a, c, e)""")
 def json_extract(spark, sf_dir):
-    t = spark.createDataFrame([d for d in _DOCS if d[0] in (1, 3)], "id int, j string")
+    t = spark.createDataFrame(_DOCS, "id int, j string")
     return t.select("id", J.extract(F.col("j"), "$.a").alias("a"), J.extract(F.col("j"), "$.b[2].c").alias("c"), J.extract(F.col("j"), "$.b[#-2]").alias("e"))
 
 
-@register("fn_json_edit", """SELECT * FROM (VALUES (1, '{"a":9,"b":[1,2,{"c":"x"}],"d":null}', '{"a":1,"b":[1,2,{"c":"x"}],"d":null}', '{"a":1,"b":[1,2,{"c":"x"}],"d":null,"z":7}', '{"a":1,"d":null}', '{"b":[1,2,{"c":"x"}],"d":null,"n":1}'), (3, '{"a":9}', '{"a":{"b":"t"}}', '{"a":{"b":"t"},"z":7}', '{"a":{"b":"t"}}', '{"n":1}')) t(id, s, i, z, r, p)""")
+@register("fn_json_edit", """SELECT * FROM (VALUES (1, '{"a":9,"b":[1,2,{"c":"x"}],"d":null}', '{"a":1,"b":[1,2,{"c":"x"}],"d":null}', '{"a":1,"b":[1,2,{"c":"x"}],"d":null,"z":7}', '{"a":1,"d":null}', '{"b":[1,2,{"c":"x"}],"d":null,"n":1}', '{"a":1,"b":[1,2,{"c":"x"}],"d":null}'), (2, '[1,2.5,true]', '[1,2.5,true]', '[1,2.5,true]', '[1,2.5,true]', '{"n":1}', '[1,2.5,true]'), (3, '{"a":9}', '{"a":{"b":"t"}}', '{"a":{"b":"t"},"z":7}', '{"a":{"b":"t"}}', '{"n":1}', '{"a":{"b":"t"}}'), (4, NULL, NULL, NULL, NULL, NULL, NULL), (5, '{"a":9}', '{"a":1.10}', '{"a":1.10,"z":7}', '{"a":1.10}', '{"n":1}', '{"a":1.10}')) t(id, s, i, z, r, p, q)""")
 def json_edit(spark, sf_dir):
-    """json_set, json_insert, json_remove and json_patch."""
-    t, j = spark.createDataFrame([d for d in _DOCS if d[0] in (1, 3)], "id int, j string"), F.col("j")
-    return t.select("id", J.set_(j, "$.a", F.lit("9")).alias("s"), J.insert(j, "$.a", F.lit("9")).alias("i"), J.insert(j, "$.z", F.lit("7")).alias("z"), J.remove(j, "$.b").alias("r"), J.patch(j, F.lit('{"a":null,"n":1}')).alias("p"))
+    """json_set, json_insert, json_remove, json_patch and json_replace; malformed text gives null, numbers stay as written."""
+    t, j = spark.createDataFrame([*_DOCS, (5, '{"a":1.10}')], "id int, j string"), F.col("j")
+    return t.select("id", J.set_(j, "$.a", F.lit("9")).alias("s"), J.insert(j, "$.a", F.lit("9")).alias("i"), J.insert(j, "$.z", F.lit("7")).alias("z"), J.remove(j, "$.b").alias("r"), J.patch(j, F.lit('{"a":null,"n":1}')).alias("p"), J.replace(j, "$.z", F.lit("1")).alias("q"))
 
 
 @register("fn_json_each", "SELECT n_nationkey, CAST(unnest([n_nationkey, n_regionkey]) AS BIGINT) AS v FROM nation")

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import more as M, vectors as V
+from ..functions import core as C, more as M, vectors as V
 from ..operators import maintenance
 from ..session import table
-from .base import sql
 from .registry import register
 
 
@@ -76,5 +75,13 @@ def triggers(spark, sf_dir):
     return t.run("before", "insert", table(spark, sf_dir, "region"))
 
 
-sql("pg_to_char", "SELECT o_orderkey, trim(to_char(CAST(o_orderkey AS DECIMAL(12,0)), '999999990')) AS c FROM orders WHERE o_orderkey > 0", "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS c FROM orders WHERE o_orderkey > 0")
-sql("pg_similar", "SELECT p_partkey FROM part WHERE p_name RLIKE '^[a-m]' AND p_name ILIKE '%E%'", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '^[a-m]') AND p_name ILIKE '%E%'")
+@register("pg_to_char", "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS c FROM orders")
+def to_char(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.trim(C.to_char(F.col("o_orderkey").cast("decimal(12,0)"), "999999990")).alias("c"))
+
+
+@register("pg_similar", "SELECT p_partkey, regexp_full_match(p_name, '[a-m].*(e|o).') AS s, p_name ILIKE '%E%' AS l FROM part")
+def similar(spark, sf_dir):
+    """SIMILAR TO: SQL wildcards with a regular expression's alternatives, over the whole value."""
+    p = F.col("p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", C.similar("[a-m]%(e|o)_", p).alias("s"), p.ilike("%E%").alias("l"))

@@ -43,4 +43,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import aggregates, clicks, functions, joins, more, scans, texts, tpch, writes  # noqa: F401
+    from . import aggregates, clicks, families, functions, joins, more, scans, texts, tpch, writes  # noqa: F401

@@ -37,7 +37,7 @@ _rev("tpch_q5", "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 4
 _rev("tpch_q6", "SELECT round(sum(l_extendedprice * l_discount), 4) AS revenue FROM lineitem WHERE l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
 _rev("tpch_q7", "SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, year(l_shipdate) AS l_year, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM supplier JOIN lineitem ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation n1 ON s_nationkey = n1.n_nationkey JOIN nation n2 ON c_nationkey = n2.n_nationkey WHERE n1.n_regionkey <> n2.n_regionkey GROUP BY n1.n_name, n2.n_name, year(l_shipdate)", "SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, CAST(year(l_shipdate) AS INTEGER) AS l_year, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM supplier JOIN lineitem ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation n1 ON s_nationkey = n1.n_nationkey JOIN nation n2 ON c_nationkey = n2.n_nationkey WHERE n1.n_regionkey <> n2.n_regionkey GROUP BY ALL")
 _rev("tpch_q8", "SELECT year(o_orderdate) AS y, round(sum(CASE WHEN n_name = 'NATION_3' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 6) AS share FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE p_size < 25 GROUP BY year(o_orderdate)", "SELECT CAST(year(o_orderdate) AS INTEGER) AS y, round(sum(CASE WHEN n_name = 'NATION_3' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 6) AS share FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE p_size < 25 GROUP BY ALL")
-_rev("tpch_q9", "SELECT n_name, year(o_orderdate) AS y, round(sum(l_extendedprice * (1 - l_discount) - p_retailprice * l_quantity * 0.1), 4) AS profit FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN nation ON s_nationkey = n_nationkey WHERE p_name LIKE '%1%' GROUP BY n_name, year(o_orderdate)", "SELECT n_name, CAST(year(o_orderdate) AS INTEGER) AS y, round(sum(l_extendedprice * (1 - l_discount) - p_retailprice * l_quantity * 0.1), 4) AS profit FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN nation ON s_nationkey = n_nationkey WHERE p_name LIKE '%1%' GROUP BY ALL")
+_rev("tpch_q9", "SELECT n_name, year(o_orderdate) AS y, round(sum(l_extendedprice * (1 - l_discount) - p_retailprice * l_quantity * 0.1), 4) AS profit FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN nation ON s_nationkey = n_nationkey WHERE p_name LIKE '%a%' GROUP BY n_name, year(o_orderdate)", "SELECT n_name, CAST(year(o_orderdate) AS INTEGER) AS y, round(sum(l_extendedprice * (1 - l_discount) - p_retailprice * l_quantity * 0.1), 4) AS profit FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN nation ON s_nationkey = n_nationkey WHERE p_name LIKE '%a%' GROUP BY ALL")
 _rev("tpch_q10", "SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, n_name FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON c_nationkey = n_nationkey WHERE l_returnflag = 'R' GROUP BY c_custkey, c_name, n_name ORDER BY revenue DESC, c_custkey LIMIT 20")
 _rev("tpch_q12", "SELECT o_orderpriority, sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS open_lines, sum(CASE WHEN l_linestatus <> 'O' THEN 1 ELSE 0 END) AS other FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity BETWEEN 10 AND 20 GROUP BY o_orderpriority", "SELECT o_orderpriority, CAST(sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS open_lines, CAST(sum(CASE WHEN l_linestatus <> 'O' THEN 1 ELSE 0 END) AS BIGINT) AS other FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity BETWEEN 10 AND 20 GROUP BY o_orderpriority")
 _rev("tpch_q13", "SELECT c_count, count(*) AS custdist FROM (SELECT c_custkey, count(o_orderkey) AS c_count FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority <> '1-URGENT' GROUP BY c_custkey) t GROUP BY c_count")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..operators import dml as W, fts
-from ..session import table
+from ..session import folder, table
 from ..streaming import ivm
 from .base import sql
 from .registry import register
@@ -53,7 +51,9 @@ def update_from(spark, sf_dir):
     return W.update_from(_customers(spark, sf_dir), source, ["c_custkey"], {"c_name": "s.n_name"})
 
 
-sql("dml_delete", "SELECT c_custkey FROM customer WHERE NOT coalesce(c_acctbal < 0, false)")
+@register("dml_delete", "SELECT c_custkey FROM customer WHERE NOT coalesce(c_acctbal < 0, false)")
+def delete(spark, sf_dir):
+    return W.delete(_customers(spark, sf_dir), "c_acctbal < 0").select("c_custkey")
 
 
 @register("dml_returning", "SELECT c_custkey, c_acctbal * 2 AS doubled FROM customer WHERE c_acctbal > 9000")
@@ -77,9 +77,13 @@ def cascade(spark, sf_dir):
     return kept.agg(F.count(F.lit(1)).alias("children"))
 
 
-@register("dml_generated_column", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net FROM lineitem")
+@register("dml_generated_column", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net, round(l_extendedprice * (1 - l_discount), 4) * 2 AS twice FROM lineitem UNION ALL SELECT -1, 1, 75.0, 150.0")
 def generated(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.expr("l_extendedprice * (1 - l_discount)"), 4).alias("net"))
+    """Columns that follow from others, also for rows that are inserted later."""
+    rules = {"twice": "net * 2", "net": "round(l_extendedprice * (1 - l_discount), 4)"}
+    base = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount")
+    new = spark.createDataFrame([(-1, 1, 100.0, 0.25)], "l_orderkey long, l_linenumber int, l_extendedprice double, l_discount double")
+    return W.with_generated(W.insert(base, new), rules).select("l_orderkey", "l_linenumber", "net", "twice")
 
 
 @register("cdc_changes", "SELECT r_regionkey, CAST(CASE WHEN r_regionkey = 0 THEN -1 ELSE 0 END AS INTEGER) AS change_type FROM region WHERE r_regionkey < 2 UNION ALL SELECT 9, 1")
@@ -137,10 +141,10 @@ def zset(spark, sf_dir):
 @register("ivm_filter_project", "SELECT event_id, value * 2 AS v FROM events WHERE event_type = 'click'")
 def ivm_filter_project(spark, sf_dir):
     """A view that follows the event table as a stream."""
-    view = ivm.MaterializedView(spark, _folder(spark), lambda d: ivm.project_delta(ivm.filter_delta(d, "event_type = 'click'"), "event_id", "value * 2 AS v"))
+    view = ivm.MaterializedView(spark, folder(spark, "view"), lambda d: ivm.project_delta(ivm.filter_delta(d, "event_type = 'click'"), "event_id", "value * 2 AS v"))
     source = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    query = view.follow(stream, _folder(spark))
+    query = view.follow(stream, folder(spark, "view"))
     query.awaitTermination()
     return view.read()
 
@@ -180,26 +184,25 @@ def ivm_min_max(spark, sf_dir):
     return ivm.extremes(state, ["event_type"], "value")
 
 
-@register("stream_tumbling", "SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS w, event_type, count(*) AS n FROM events GROUP BY ALL")
+@register("stream_tumbling", "SELECT CAST(epoch(w) AS BIGINT) AS w, event_type, count(*) AS n FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, event_type FROM events) t WHERE w + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 DAY GROUP BY ALL")
 def tumbling(spark, sf_dir):
-    """Counts of hours over a stream with a watermark."""
-    source = table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = _folder(spark)
-    counts = stream.withWatermark("ts", "1 day").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    """Counts of hours, given out once the watermark has passed them; a second batch brings a row of the first hour, which is too late."""
+    source = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = folder(spark, "hours")
+    source.coalesce(1).write.parquet(f"{out}/in")
+    late = source.orderBy("ts").limit(1).coalesce(1)
+    counts = spark.readStream.schema(source.schema).parquet(f"{out}/in").withWatermark("ts", "1 day").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.select(F.unix_seconds("window.start").alias("w"), "event_type", "n")
-    query = counts.writeStream.outputMode("complete").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{out}/now")).option("checkpointLocation", f"{out}/c").trigger(availableNow=True).start()
-    query.awaitTermination()
+
+    def go_on():
+        sink = counts.writeStream.outputMode("append").format("parquet").option("path", f"{out}/now").option("checkpointLocation", f"{out}/c").trigger(availableNow=True)
+        sink.start().awaitTermination()
+
+    go_on()
+    late.write.mode("append").parquet(f"{out}/in")
+    go_on()
     return spark.read.parquet(f"{out}/now")
 
 
 sql("stream_sliding_batch", "SELECT unix_seconds(w.start) AS w, count(*) AS n FROM (SELECT window(CAST(ts AS TIMESTAMP), '2 hours', '1 hour') AS w FROM events) x GROUP BY w", "SELECT CAST(w AS BIGINT) AS w, count(*) AS n FROM (SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts)) - 3600 * unnest([0, 1]) AS w FROM events) t GROUP BY w")
 sql("stream_session_batch", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id, session_window(CAST(ts AS TIMESTAMP), '30 minutes')", "SELECT user_id, count(*) AS n FROM (SELECT user_id, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events) a) b GROUP BY user_id, g")
-
-
-def _folder(spark) -> str:
-    """A new folder: under the shared one where the cluster names it."""
-    import uuid
-
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{top.rstrip('/')}/view-{uuid.uuid4().hex}" if top else tempfile.mkdtemp()

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import folder
+
 #: What a Spark type is called in the strict type system.
 TYPE_NAMES = {"bigint": "INTEGER", "int": "INTEGER", "smallint": "INTEGER", "tinyint": "INTEGER", "boolean": "INTEGER", "double": "REAL", "float": "REAL", "string": "TEXT", "binary": "BLOB"}
 
@@ -35,9 +35,12 @@ def attach(spark: SparkSession, folder: str, alias: str, tables: list[str]) -> d
     return out
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, header: bool = False, sep: str = ",", null: str | None = None) -> DataFrame:
-    """An RFC 4180 file as a table: quotes double inside quotes, fields may hold line breaks. The schema is given, so nothing is read to infer it."""
-    reader = spark.read.schema(schema).option("header", header).option("multiLine", True).option("sep", sep).option("quote", '"').option("escape", '"')
+def read_csv(spark: SparkSession, path: str, schema: str, header: bool = False, sep: str = ",", null: str | None = None, line_breaks: bool = True) -> DataFrame:
+    """An RFC 4180 file as a table: quotes double inside quotes, fields may hold line breaks. The schema is given, so nothing is read to infer it.
+
+    Where no field holds a line break, say so: a large file is then read in parts.
+    """
+    reader = spark.read.schema(schema).option("header", header).option("multiLine", line_breaks).option("sep", sep).option("quote", '"').option("escape", '"')
     return (reader if null is None else reader.option("nullValue", null)).csv(path)
 
 
@@ -47,9 +50,7 @@ def copy_text(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def through_csv(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Writes a table as CSV and reads it with its own schema."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    path = path or (f"{top}/csv-{abs(hash(tuple(df.columns)))}" if top else tempfile.mkdtemp() + "/csv")
+    """Writes a table as CSV, to a new folder unless one is named, and reads it with its own schema."""
+    path = path or folder(df.sparkSession, "csv")
     df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
-    return read_csv(spark, path, df.schema.simpleString()[7:-1].replace(":", " "), header=True)
+    return read_csv(df.sparkSession, path, df.schema.simpleString()[7:-1].replace(":", " "), header=True)

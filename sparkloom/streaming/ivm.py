@@ -71,10 +71,26 @@ def extremes(values: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 class MaterializedView:
-    """A view's weighted rows in a folder, one version for each batch; a batch that runs twice is applied once."""
+    """A view's weighted rows in a folder, one version for each batch; a batch that runs twice is applied once.
+
+    What the folder holds is the state: a view made anew on it, as after a restart, goes on
+    from its newest whole version. The one before is kept for readers; older ones go.
+    """
 
     def __init__(self, spark: SparkSession, path: str, compute: Callable[[DataFrame], DataFrame]):
-        self.spark, self.path, self.compute, self.version = spark, path, compute, None
+        self.spark, self.path, self.compute = spark, path, compute
+        self.version = max(self.versions(), default=None)
+
+    def _files(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        """The batches whose versions are whole."""
+        top, fs = self._files()
+        new = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        names = [s.getPath().getName() for s in fs.listStatus(top)] if fs.exists(top) else []
+        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(new(f"{self.path}/{n}/_SUCCESS")))
 
     def apply(self, change: DataFrame, batch: int) -> None:
         """Applies a weighted change of the base table."""
@@ -84,6 +100,9 @@ class MaterializedView:
         now = d if self.version is None else self.read_weighted().unionByName(d)
         consolidate(now).write.mode("overwrite").parquet(f"{self.path}/v{batch}")
         self.version = batch
+        _, fs = self._files()
+        for old in self.versions()[:-2]:
+            fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{old}"), True)
 
     def read_weighted(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/v{self.version}")
