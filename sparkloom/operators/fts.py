@@ -133,6 +133,37 @@ def score(idx: DataFrame, documents: int, mean_length: float, terms: list[str],
     return hits.join(F.broadcast(df), "token").groupBy("key").agg(F.sum(idf * tf * weight).alias("score"))  # one row per term
 
 
+def term_counts(df: DataFrame, key: str, columns: list[str], terms: list[str], tokenizer: str = "default") -> DataFrame:
+    """key, length, and how often each of the terms comes up: one narrow pass, nothing exploded."""
+    words = F.concat(*[F.coalesce(tokens(F.col(c), tokenizer), F.array().cast("array<string>")) for c in columns])
+    counts = df.select(F.col(key).alias("key"), words.alias("t"))
+
+    def times(term: str) -> Column:
+        return F.size(F.filter("t", lambda x: x == F.lit(term)))
+
+    return counts.select("key", F.size("t").alias("length"), *[times(w).alias(f"tf{k}") for k, w in enumerate(terms)])
+
+
+def search(counts: DataFrame, terms: list[str], k: int) -> DataFrame:
+    """The k best keys by BM25, from a table of term_counts. Corpus statistics come from the same table, as one row."""
+    stats = counts.agg(F.count(F.lit(1)).alias("_n"), F.avg("length").alias("_mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"_df{i}") for i in range(len(terms))])
+    hits = counts.where(" OR ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))
+    idf = lambda i: F.log(1 + (F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5))
+    tf = lambda i: F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("length") / F.col("_mean")))
+    return top_k(hits.select("key", sum((idf(i) * tf(i) for i in range(len(terms))), F.lit(0.0)).alias("score")), k)
+
+
+def store(idx: DataFrame, path: str, buckets: int = 64) -> None:
+    """CREATE INDEX USING fts: the token table in folders by a hash of the token, sorted, so that a search reads few files and row groups."""
+    idx.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets))).repartition("bucket").sortWithinPartitions("token", "key").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def stored(spark, path: str, terms: list[str], buckets: int = 64) -> DataFrame:
+    """The rows of the terms in a stored token table; other buckets aren't read."""
+    wanted = spark.range(1).select(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)).alias(f"b{k}") for k, t in enumerate(terms)]).first()
+    return spark.read.parquet(path).where(F.col("bucket").isin(sorted({int(b) for b in wanted})) & F.col("token").isin(terms)).drop("bucket")
+
+
 def top_k(scores: DataFrame, k: int) -> DataFrame:
     return scores.orderBy(F.desc("score"), "key").limit(k)
 

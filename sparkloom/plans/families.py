@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ext as X, jsonx as J, more as M
+from ..operators import windows as N
+from ..sources import virtual
 from ..session import table
 from . import dialect
 from .base import run_sql, sql, views
@@ -225,3 +227,38 @@ def insert_returning(spark, sf_dir):
 @register("sql_json_arrows", """SELECT n_nationkey, CAST(n_nationkey AS VARCHAR) AS a, '"' || n_name || '"' AS b, n_name AS c, '7' AS d FROM nation""")
 def sql_json_arrows(spark, sf_dir):
     return _run(spark, sf_dir, """SELECT n_nationkey, j -> '$.k' AS a, j -> 'n' AS b, j ->> 'n' AS c, x.j -> 'l' ->> 1 AS d FROM (SELECT n_nationkey, to_json(named_struct('k', n_nationkey, 'n', n_name, 'l', array(5, 7))) AS j FROM nation) x""")
+
+
+@register("window_groups_frame", "SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_returnflag GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS s FROM lineitem")
+def groups_frame(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem")
+    return N.over_groups(t, F.sum("l_quantity"), ["l_orderkey"], "l_returnflag", 1, 0, "s").select("l_orderkey", "l_linenumber", "s")
+
+
+_EXCLUDED = ("current row", "group", "ties", "no others")
+
+
+@register("window_exclude", "SELECT l_orderkey, l_linenumber, " + ", ".join(f"round(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_returnflag RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE {w}), 4) AS e{k}" for k, w in enumerate(_EXCLUDED)) + " FROM lineitem")
+def exclude(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    for k, what in enumerate(_EXCLUDED):
+        t = N.sum_excluding(t, "l_quantity", ["l_orderkey"], "l_returnflag", what, f"e{k}")
+    return t.select("l_orderkey", "l_linenumber", *[F.round(f"e{k}", 4).alias(f"e{k}") for k in range(len(_EXCLUDED))])
+
+
+@register("window_distinct", "SELECT o_orderkey, count(DISTINCT o_orderstatus) OVER (PARTITION BY o_custkey) AS n FROM orders")
+def distinct_over(spark, sf_dir):
+    return N.distinct_over(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderstatus", "n").select("o_orderkey", "n")
+
+
+@register("virtual_table", "SELECT CAST(range AS BIGINT) AS value FROM range(5, 3000001, 5) WHERE range >= 1000 AND range < 1100 AND range % 3 = 0")
+def virtual_table(spark, sf_dir):
+    """A module's table: bounds are handed down to it, what it can't use is left to Spark."""
+    virtual.register(spark)
+    return spark.read.format("series").option("start", 5).option("stop", 3_000_000).option("step", 5).load().where("value >= 1000 AND value < 1100 AND value % 3 = 0")
+
+
+sql("pivot_rows", "SELECT * FROM (SELECT o_orderpriority AS p, o_orderstatus AS s, o_orderkey FROM orders) PIVOT (count(o_orderkey) FOR s IN ('F' AS f, 'O' AS o, 'P' AS p2))", "SELECT o_orderpriority AS p, nullif(count(*) FILTER (WHERE o_orderstatus = 'F'), 0) AS f, nullif(count(*) FILTER (WHERE o_orderstatus = 'O'), 0) AS o, nullif(count(*) FILTER (WHERE o_orderstatus = 'P'), 0) AS p2 FROM orders GROUP BY o_orderpriority")
+sql("lateral_subquery", "SELECT c_custkey, t.n FROM customer, LATERAL (SELECT count(*) AS n FROM orders WHERE o_custkey = c_custkey) t")
+sql("map_values", "SELECT n_nationkey, map('k', n_nationkey, 'r', n_regionkey)['r'] AS r FROM nation", "SELECT n_nationkey, n_regionkey AS r FROM nation")
+sql("table_sample", "SELECT count(*) BETWEEN 0 AND (SELECT count(*) FROM orders) AS ok FROM orders TABLESAMPLE (30 PERCENT) REPEATABLE (7)", "SELECT true AS ok")

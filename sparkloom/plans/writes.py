@@ -120,10 +120,19 @@ h AS (SELECT doc_id, w, len(list_filter(t, lambda x: x = w)) AS tf, len(t) AS l
 f AS (SELECT w, count(*) AS df FROM h GROUP BY w)
 SELECT doc_id, round(sum(ln(1 + (s.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * h.l / s.l))), 6) AS score FROM h JOIN f USING (w), s GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10""")
 def bm25(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(fts.tokens(F.col("text")))).alias("l")).first()
-    scores = fts.score(fts.index(docs, "doc_id", ["text"]), stats.n, stats.l, ["with", "that", "inly"])
-    return fts.top_k(scores.withColumn("score", F.round("score", 6)), 10).select(F.col("key").alias("doc_id"), "score")
+    """Terms are counted where the texts are read, into a small table that both the statistics and the scores come from."""
+    terms, path = ["with", "that", "inly"], folder(spark, "terms")
+    fts.term_counts(table(spark, sf_dir, "documents"), "doc_id", ["text"], terms).write.parquet(path)
+    found = fts.search(spark.read.parquet(path), terms, 10)
+    return found.select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@register("fts_stored_index", f"SELECT doc_id, CAST(len(list_filter({_WORDS}, lambda x: x = 'with')) AS BIGINT) AS n FROM documents WHERE list_contains({_WORDS}, 'with')")
+def stored_index(spark, sf_dir):
+    """A token table that is written once, of which a search reads the terms' buckets alone."""
+    path = folder(spark, "index")
+    fts.store(fts.index(table(spark, sf_dir, "documents"), "doc_id", ["text"]), path)
+    return fts.stored(spark, path, ["with"]).select(F.col("key").alias("doc_id"), F.col("tf").alias("n"))
 
 
 @register("fts_highlight", "SELECT r_regionkey, regexp_replace(r_name, '(?i)\\b(asia|africa)\\b', '<b>\\1</b>', 'g') AS h FROM region")
@@ -171,6 +180,39 @@ def ivm_join(spark, sf_dir):
     return ivm.rows(ivm.apply_delta(first, ivm.join_delta(a, da, b, db, ["k"]))).select("o_orderkey", "c_name")
 
 
+@register("ivm_outer_join", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
+def ivm_outer_join(spark, sf_dir):
+    """Customers first, then the orders: rows that had no partner go when one comes."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("k"))
+    a, b, none = ivm.delta(c), ivm.delta(o.where("o_orderkey % 2 = 0")), ivm.delta(c.limit(0))
+    state = ivm.any_join(a, b, ["k"], "left")
+    change = ivm.any_join_delta(a, none, b, ivm.delta(o.where("o_orderkey % 2 <> 0")), ["k"], "left")
+    return ivm.rows(ivm.apply_delta(state, change)).select(F.col("k").alias("c_custkey"), "o_orderkey")
+
+
+@register("ivm_view_of_view", "SELECT n_regionkey AS r, count(*) AS n FROM nation WHERE n_nationkey % 2 = 0 GROUP BY n_regionkey")
+def ivm_view_of_view(spark, sf_dir):
+    """A view's change is the next view's input."""
+    t = table(spark, sf_dir, "nation")
+    even = ivm.compile_view("SELECT n_regionkey AS r, n_nationkey FROM nation WHERE n_nationkey % 2 = 0")
+    counted = ivm.compile_view("SELECT r, count(*) AS n FROM even GROUP BY r")
+    for part in (ivm.delta(t.where("n_nationkey < 10")), ivm.delta(t.where("n_nationkey >= 10"))):
+        counted.apply(even.apply(part))
+    return counted.read()
+
+
+@register("ivm_from_sql", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS s, round(avg(value * 2), 6) AS m FROM events WHERE value > 10 AND event_id % 5 <> 0 GROUP BY event_type")
+def ivm_from_sql(spark, sf_dir):
+    """A view from its SQL text: inserts in two batches, then deletes."""
+    t = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    view = ivm.compile_view("SELECT event_type, count(*) AS n, sum(value) AS s, avg(value * 2) AS m FROM events WHERE value > 10 GROUP BY event_type")
+    gone = ivm.delta(t.where("event_id % 5 = 0")).withColumn("_weight", -F.col("_weight"))
+    for change in (ivm.delta(t.where("event_id % 2 = 0")), ivm.delta(t.where("event_id % 2 <> 0")), gone):
+        view.apply(change)
+    return view.read().select("event_type", "n", F.round("s", 4).alias("s"), F.round("m", 6).alias("m"))
+
+
 @register("ivm_union", "SELECT n_name AS x FROM nation UNION SELECT r_name FROM region")
 def ivm_union(spark, sf_dir):
     d = ivm.delta(table(spark, sf_dir, "nation").selectExpr("n_name AS x")).unionByName(ivm.delta(table(spark, sf_dir, "region").selectExpr("r_name AS x")))

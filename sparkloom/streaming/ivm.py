@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -50,6 +51,22 @@ def join_delta(a: DataFrame, da: DataFrame, b: DataFrame, db: DataFrame, on: lis
     return reduce(DataFrame.unionByName, (one(da, b), one(a, db), one(da, db)))
 
 
+def any_join(a: DataFrame, b: DataFrame, on: list[str], how: str) -> DataFrame:
+    """A join of weighted tables of any kind but cross: a row without a partner has its own weight."""
+    both = a.join(b.withColumnRenamed(WEIGHT, "_w2"), on, how)
+    one = lambda c: F.coalesce(F.col(c), F.lit(1))
+    return both.withColumn(WEIGHT, one(WEIGHT) * one("_w2")).drop("_w2")
+
+
+def any_join_delta(a: DataFrame, da: DataFrame, b: DataFrame, db: DataFrame, on: list[str], how: str) -> DataFrame:
+    """The change of a join of any kind: what it is after for the keys that changed, less what it was. Only these keys' rows are read."""
+    keys = da.select(*on).unionByName(db.select(*on)).distinct()
+    some = lambda x: x.join(keys, on, "left_semi")
+    before = any_join(some(a), some(b), on, how)
+    after = any_join(some(apply_delta(a, da)), some(apply_delta(b, db)), on, how)
+    return consolidate(after.unionByName(before.withColumn(WEIGHT, -F.col(WEIGHT))))
+
+
 def aggregate_state(d: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Per group the parts that add up over changes: rows, values that aren't null, and their sum."""
     w = F.col(WEIGHT)
@@ -117,3 +134,67 @@ class MaterializedView:
         trigger = trigger or {"availableNow": True}
         run = lambda batch, n: self.apply(delta(batch), n)
         return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+class SqlView:
+    """A view's circuit: filter and project, then, with groups, states that add up over changes."""
+
+    def __init__(self, items: list[tuple[str, str]], where: str | None, keys: list[str]):
+        self.items, self.where, self.keys, self.state = items, where, keys, None
+
+    def apply(self, change: DataFrame) -> DataFrame:
+        """Takes a weighted change of the table and returns the view's own."""
+        d = change.where(self.where) if self.where else change
+        if not self.keys:
+            out = consolidate(d.selectExpr(*[f"{e} AS {n}" for e, n in self.items], WEIGHT))
+            self.state = out if self.state is None else apply_delta(self.state, out)
+            return out
+        w, aggregates = F.col(WEIGHT), [F.sum(WEIGHT).alias("_rows")]
+        for k, (e, _) in enumerate(self.items):
+            if m := _AGGREGATE.fullmatch(e):
+                x = F.lit(1) if m[2] == "*" else F.expr(m[2])
+                aggregates += [F.sum(F.when(x.isNotNull(), w).otherwise(0)).alias(f"_n{k}"), F.sum(F.coalesce(x, F.lit(0)) * w).alias(f"_s{k}")]
+        part = d.groupBy(*self.keys).agg(*aggregates)
+        before = self.state
+        if before is None:
+            self.state = part.where("_rows > 0")
+        else:
+            self.state = before.unionByName(part).groupBy(*self.keys).agg(*[F.sum(c).alias(c) for c in part.columns if c not in self.keys]).where("_rows > 0")
+        touched = lambda s: self._shown(s.join(part.select(*self.keys), self.keys, "left_semi"))
+        after = delta(touched(self.state))
+        return after if before is None else consolidate(after.unionByName(touched(before).withColumn(WEIGHT, F.lit(-1).cast("long"))))
+
+    def _shown(self, state: DataFrame) -> DataFrame:
+        def column(k: int, e: str):
+            m = _AGGREGATE.fullmatch(e)
+            if not m:
+                return F.col(e)
+            n, s = F.col(f"_n{k}"), F.col(f"_s{k}")
+            return {"count": n, "sum": F.when(n > 0, s), "avg": F.when(n > 0, s / n)}[m[1].lower()]
+
+        return state.select(*[column(k, e).alias(n) for k, (e, n) in enumerate(self.items)])
+
+    def read(self) -> DataFrame:
+        return self._shown(self.state) if self.keys else rows(self.state)
+
+
+_AGGREGATE = re.compile(r"(?is)(count|sum|avg)\s*\((.*)\)")
+_VIEW = re.compile(r"(?is)\s*select\s+(?P<items>.*?)\s+from\s+\w+(?:\s+where\s+(?P<where>.*?))?(?:\s+group\s+by\s+(?P<keys>.*?))?\s*;?\s*")
+
+
+def compile_view(text: str) -> SqlView:
+    """SELECT over one table, with WHERE and GROUP BY (count, sum and avg), as a view that takes changes."""
+    from ..sources.tables import parts
+
+    m = _VIEW.fullmatch(text)
+    if not m or re.search(r"(?i)\b(join|having|distinct|union|order|limit)\b", text):
+        raise ValueError("an incremental view is SELECT ... FROM one table [WHERE ...] [GROUP BY ...]")
+    items = []
+    for item in parts(m["items"]):
+        e, _, name = re.sub(r"(?i)\s+as\s+(\w+)$", "\x00\\1", item).partition("\x00")
+        items.append((e.strip(), name or e.strip()))
+    keys = parts(m["keys"] or "")
+    lacking = [e for e, _ in items if keys and e not in keys and not _AGGREGATE.fullmatch(e)]
+    if lacking:
+        raise ValueError(f"neither grouped by nor an aggregate: {', '.join(lacking)}")
+    return SqlView(items, m["where"], keys)

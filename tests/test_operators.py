@@ -264,3 +264,34 @@ def test_blake3_of_several_chunks():
     # the published test vectors' first bytes
     known = {0: "af1349b9f5f9a1a6", 1: "2d3adedff11b61f1", 1024: "42214739f095a406", 1025: "d00278ae47eb27b3", 2048: "e776b6028c7cd22a", 3073: "7124b49501012f81"}
     assert {n: blake3_digest(pattern(n)).hex()[:16] for n in known} == known
+
+
+def test_bounds_reach_a_virtual_table():
+    from pyspark.sql.datasource import EqualTo, GreaterThan, LessThanOrEqual
+
+    from sparkloom.sources.virtual import Series, SeriesReader
+
+    r = SeriesReader(5, 1000, 5)
+    left = list(r.pushFilters([GreaterThan(("value",), 12), LessThanOrEqual(("value",), 31), EqualTo(("other",), 3)]))
+    assert len(left) == 1 and (r.start, r.stop) == (15, 31)
+    assert [v for p in r.partitions() for b in r.read(p) for v in b.column(0).to_pylist()] == [15, 20, 25, 30]
+    r = SeriesReader(0, 10**12, 1)
+    list(r.pushFilters([EqualTo(("value",), 7)]))
+    assert (r.start, r.stop) == (7, 7)
+    with pytest.raises(ValueError):
+        Series({"stop": "3", "step": "0"}).reader(None)
+
+
+def test_views_that_are_not_incremental():
+    for text in ("SELECT a FROM t JOIN u", "SELECT a, count(*) FROM t", "SELECT DISTINCT a FROM t", "SELECT b, count(*) AS n FROM t GROUP BY a"):
+        if "GROUP" in text or "JOIN" in text or "DISTINCT" in text:
+            with pytest.raises(ValueError):
+                ivm.compile_view(text)
+
+
+def test_a_group_that_empties_leaves_the_view(spark):
+    view = ivm.compile_view("SELECT k, sum(v) AS s FROM t GROUP BY k")
+    rows = lambda *r: ivm.delta(spark.createDataFrame(list(r), "k int, v int"))
+    view.apply(rows((1, 5), (2, 7), (2, None)))
+    change = view.apply(rows((2, 7), (2, None)).withColumn("_weight", -F.col("_weight")))
+    assert [tuple(r) for r in change.collect()] == [(2, 7, -1)] and [tuple(r) for r in view.read().collect()] == [(1, 5)]
