@@ -72,3 +72,16 @@ def nearest(df: DataFrame, column: str, query: list[float], k: int, distance=cos
     """The k nearest rows: each task keeps k, nothing else moves."""
     q = F.array(*[F.lit(float(x)) for x in query])
     return df.withColumn("distance", distance(F.col(column), q)).orderBy("distance", *([ties] if ties else [])).limit(k)
+
+
+def postings(df: DataFrame, key: str, column: str, least: float = 0.0) -> DataFrame:
+    """An inverted index of sparse vectors: dim, key and x for each element above ``least``."""
+    pairs = F.filter(F.transform(column, lambda x, i: F.struct(i.alias("dim"), x.cast("double").alias("x"))), lambda p: p["x"] > least)
+    return df.select(F.col(key).alias("key"), F.explode(pairs).alias("p")).select("p.dim", "key", "p.x")
+
+
+def sparse_nearest(index: DataFrame, query: dict[int, float], k: int) -> DataFrame:
+    """The k greatest inner products with a sparse query: only the lists of its places are read."""
+    weight = F.coalesce(*[F.when(F.col("dim") == d, F.lit(float(x))) for d, x in query.items()])
+    hits = index.where(F.col("dim").isin(list(query))).groupBy("key").agg(F.sum(F.col("x") * weight).alias("score"))
+    return hits.orderBy(F.desc("score"), "key").limit(k)

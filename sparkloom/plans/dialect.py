@@ -273,7 +273,7 @@ def sql(spark: SparkSession, text: str, **args) -> DataFrame:
     """
     head = text.strip().rstrip(";")
     head = re.sub(r"(?i)\b(changes|total_changes|last_insert_rowid)\s*\(\s*\)", lambda m: str(tables.counter(spark, m[1].lower())), head)
-    if re.match(r"(?is)(insert|replace|update|delete|alter|create\s+(temp(orary)?\s+)?table\s+(if\s+not\s+exists\s+)?[\w\"`]+\s*\()", head):
+    if re.match(r"(?is)(insert|replace|update|delete|alter|reindex|drop\s+index|create\s+(unique\s+)?index|create\s+virtual|create\s+(temp(orary)?\s+)?table\s+(if\s+not\s+exists\s+)?[\w\"`]+\s*\()", head):
         return tables.write(spark, head, translate, args or None)
     sqlfuncs.install(spark, head.lower())
     if m := re.fullmatch(r"(?is)pragma\s+table_info\s*\(\s*['\"]?(\w+)['\"]?\s*\)", head):

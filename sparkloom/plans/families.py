@@ -262,3 +262,96 @@ sql("pivot_rows", "SELECT * FROM (SELECT o_orderpriority AS p, o_orderstatus AS
 sql("lateral_subquery", "SELECT c_custkey, t.n FROM customer, LATERAL (SELECT count(*) AS n FROM orders WHERE o_custkey = c_custkey) t")
 sql("map_values", "SELECT n_nationkey, map('k', n_nationkey, 'r', n_regionkey)['r'] AS r FROM nation", "SELECT n_nationkey, n_regionkey AS r FROM nation")
 sql("table_sample", "SELECT count(*) BETWEEN 0 AND (SELECT count(*) FROM orders) AS ok FROM orders TABLESAMPLE (30 PERCENT) REPEATABLE (7)", "SELECT true AS ok")
+
+
+@register("ddl_index_text", "SELECT * FROM (VALUES (3, 'c'), (2, 'b')) t(id, v)")
+def index_text(spark, sf_dir):
+    """CREATE INDEX, REINDEX and DROP INDEX: a seek on an indexed table."""
+    return _run(
+        spark, sf_dir, "DROP TABLE IF EXISTS indexed", "CREATE TABLE indexed (id INTEGER, v TEXT)", "INSERT INTO indexed VALUES (3, 'c'), (1, 'a'), (2, 'b')", "CREATE UNIQUE INDEX by_id ON indexed(id)",
+        "REINDEX indexed", "DROP INDEX by_id", "SELECT id, v FROM indexed INDEXED BY by_id WHERE id >= 2",
+    )
+
+
+@register("ddl_virtual_table", "SELECT CAST(range AS BIGINT) AS value FROM range(10, 31, 10)")
+def virtual_text(spark, sf_dir):
+    return _run(spark, sf_dir, "CREATE VIRTUAL TABLE tens USING series(start = 10, stop = 30, step = 10)", "SELECT value FROM tens")
+
+
+@register("pg_catalog_tables", "SELECT 'nation' AS relname, 'v' AS relkind, column_name AS attname, CAST(ordinal_position AS INT) AS attnum, CASE WHEN data_type = 'VARCHAR' THEN 'text' WHEN data_type = 'BIGINT' THEN 'bigint' ELSE 'integer' END AS t FROM information_schema.columns WHERE table_name = 'nation'")
+def pg_tables(spark, sf_dir):
+    from ..functions import sqlfuncs
+    from ..sources import catalog
+
+    table(spark, sf_dir, "nation").createOrReplaceTempView("nation")
+    sqlfuncs.install(spark, "format_type(")
+    both = catalog.pg_class(spark).where("relname = 'nation'").crossJoin(catalog.pg_attribute(spark, "nation"))  # one table's columns
+    return both.select("relname", "relkind", "attname", "attnum", F.expr("format_type(atttypid)").alias("t"))
+
+
+@register("vector_sparse_index", "SELECT vec_id FROM (SELECT a.vec_id, list_sum(list_transform(list_zip(a.embedding, q.e), lambda p: CASE WHEN p[1] > 0.05 AND p[2] > 0.05 THEN p[1]::DOUBLE * p[2]::DOUBLE ELSE 0 END)) AS s FROM embeddings a, (SELECT embedding AS e FROM embeddings WHERE vec_id = 7) q) t ORDER BY s DESC, vec_id LIMIT 10")
+def sparse_index(spark, sf_dir):
+    """An inverted index over sparse vectors: a search reads the lists of the query's places."""
+    from ..functions import vectors as V
+
+    t = table(spark, sf_dir, "embeddings")
+    query = {d: float(x) for d, x in enumerate(t.where("vec_id = 7").first().embedding) if x > 0.05}
+    return V.sparse_nearest(V.postings(t, "vec_id", "embedding", 0.05), query, 10).select(F.col("key").alias("vec_id"))
+
+
+@register("fn_vector_rest", "SELECT vec_id, CAST(len(embedding) AS INT) AS n, CAST(len(list_filter(embedding, lambda x: x <> 0)) AS INT) AS nz, round(CAST(1 AS DOUBLE) - 1, 4) AS same FROM embeddings")
+def vector_rest(spark, sf_dir):
+    from ..functions import vectors as V
+
+    e = F.col("embedding")
+    positive = F.transform(e, lambda x: F.abs(x))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.size(e).alias("n"), F.size(V.sparse(e)["at"]).alias("nz"), F.round(V.jaccard(positive, positive), 4).alias("same"))
+
+
+@register("fn_json_minify", """SELECT * FROM (VALUES (1, '{"a":[1,2],"b":"x y"}'), (2, '[]')) t(id, j)""")
+def json_minify(spark, sf_dir):
+    return spark.createDataFrame([(1, '{ "a" : [1, 2],\n "b": "x y"}'), (2, " [ ] ")], "id int, j string").select("id", J.minify(F.col("j")).alias("j"))
+
+
+@register("fn_fuzzy_osadist", "SELECT * FROM (VALUES ('ca', 'abc', 3), ('abcd', 'acbd', 1), ('', 'ab', 2), ('same', 'same', 0)) t(a, b, d)")
+def osa(spark, sf_dir):
+    return spark.createDataFrame([("ca", "abc"), ("abcd", "acbd"), ("", "ab"), ("same", "same")], "a string, b string").select("a", "b", X.fuzzy_osadist(F.col("a"), F.col("b")).alias("d"))
+
+
+@register("sequence_values", "SELECT * FROM (VALUES (1, 10), (2, 15), (3, 15), (4, 100), (5, 100), (6, 105)) t(k, v)")
+def sequence_values(spark, sf_dir):
+    """nextval, currval and setval."""
+    from ..operators.dml import Sequence
+
+    s = Sequence(start=10, increment=5)
+    values = [s.nextval(), s.nextval(), s.currval(), s.setval(100), s.currval(), s.nextval()]
+    return spark.createDataFrame(list(enumerate(values, 1)), "k int, v int")
+
+
+@register("copy_text_format", "SELECT n_nationkey, n_name, CAST(NULL AS VARCHAR) AS none FROM nation")
+def copy_text(spark, sf_dir):
+    """A table through COPY's text format: tabs between fields, a mark for null."""
+    from ..session import folder
+    from ..sources import catalog
+
+    path = folder(spark, "copy")
+    t = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.lit(None).cast("string").alias("none"))
+    t.write.option("sep", "\t").option("nullValue", "\\N").option("quote", "").csv(path)
+    return catalog.copy_text(spark, path, "n_nationkey long, n_name string, none string")
+
+
+@register("vacuum_into", "SELECT count(*) AS n, sum(o_orderkey) AS s FROM orders")
+def vacuum(spark, sf_dir):
+    """A table rewritten in files of a fitting size."""
+    from ..operators import maintenance
+    from ..session import folder
+
+    path = folder(spark, "compact")
+    maintenance.compact(spark, f"{sf_dir}/orders.parquet", path)
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("s"))
+
+
+@register("explain_statement", "SELECT true AS shown")
+def explain(spark, sf_dir):
+    out = _run(spark, sf_dir, "EXPLAIN QUERY PLAN SELECT o_orderkey FROM orders WHERE o_custkey == 7")
+    return out.select(F.col("plan").contains("PushedFilters").alias("shown"))

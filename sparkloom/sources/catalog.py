@@ -54,3 +54,19 @@ def through_csv(df: DataFrame, path: str | None = None) -> DataFrame:
     path = path or folder(df.sparkSession, "csv")
     df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
     return read_csv(df.sparkSession, path, df.schema.simpleString()[7:-1].replace(":", " "), header=True)
+
+
+#: Type numbers of another server's catalogue, by Spark type.
+_OIDS = {"boolean": 16, "binary": 17, "bigint": 20, "smallint": 21, "int": 23, "string": 25, "float": 700, "double": 701, "date": 1082, "timestamp_ntz": 1114, "timestamp": 1184}
+
+
+def pg_class(spark: SparkSession) -> DataFrame:
+    """oid, relname and relkind (r: table, v: view) of every table of the session, as another server's catalogue has them."""
+    rows = [(16384 + k, t.name, "v" if t.isTemporary or t.tableType == "VIEW" else "r") for k, t in enumerate(sorted(spark.catalog.listTables(), key=lambda t: t.name))]
+    return spark.createDataFrame(rows, "oid int, relname string, relkind string")
+
+
+def pg_attribute(spark: SparkSession, table: str) -> DataFrame:
+    """attname, atttypid, attnum and attnotnull of a table's columns."""
+    rows = [(f.name, _OIDS.get(f.dataType.simpleString(), 1700 if f.dataType.simpleString().startswith("decimal") else 25), k, not f.nullable) for k, f in enumerate(spark.table(table).schema, 1)]
+    return spark.createDataFrame(rows, "attname string, atttypid int, attnum int, attnotnull boolean")

@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import dml
+from ..session import folder
+from . import virtual
 
 #: Types by the words of their declared names, in the order in which they are tried.
 _TYPES = (("INT", "bigint"), ("CHAR", "string"), ("CLOB", "string"), ("TEXT", "string"), ("BLOB", "binary"), ("REAL", "double"), ("FLOA", "double"), ("DOUB", "double"), ("BOOL", "boolean"), ("DATE", "string"))
@@ -72,6 +74,10 @@ def write(spark: SparkSession, text: str, translate: Callable[[str], str], args:
         returning, text = translate(m[1]), text[: m.start()].rstrip()
     forms = (
         (rf"create\s+(?:temp(?:orary)?\s+)?table\s+(if\s+not\s+exists\s+)?({_NAME})\s*\((.*)\)(?:\s*strict)?", _create),
+        (rf"create\s+virtual\s+table\s+({_NAME})\s+using\s+(\w+)\s*\((.*)\)", _create_virtual),
+        (rf"create\s+(unique\s+)?index\s+(?:if\s+not\s+exists\s+)?({_NAME})\s+on\s+({_NAME})\s*\((.*)\)", _create_index),
+        (rf"drop\s+index\s+(if\s+exists\s+)?({_NAME})", _drop_index),
+        (rf"reindex\s+({_NAME})", _reindex),
         (rf"alter\s+table\s+({_NAME})\s+(.*)", _alter),
         (rf"(insert|replace)(?:\s+or\s+(\w+))?\s+into\s+({_NAME})\s*(?:\(([^()]*)\)\s*)?(values\b.*|select\b.*|with\b.*|default\s+values)", _insert),
         (rf"update\s+({_NAME})\s+set\s+(.*?)(?:\s+where\s+(.*))?", _update),
@@ -106,6 +112,43 @@ def _create(spark, m, translate, args) -> None:
     _replace(spark, name, spark.createDataFrame([], ", ".join(columns)))
 
 
+def _create_virtual(spark, m, translate, args) -> None:
+    """A module's table; its arguments are options, name = value."""
+    options = {k.strip(): v.strip().strip("'\"") for k, _, v in (p.partition("=") for p in parts(m[3]))}
+    if m[2].lower() == "series":
+        virtual.register(spark)
+    spark.read.format(m[2]).options(**options).load().createOrReplaceTempView(_plain(m[1]))
+
+
+def _indexes(spark) -> dict:
+    return _of(spark).setdefault("indexes", {})
+
+
+def _create_index(spark, m, translate, args) -> None:
+    """An index is the table itself, written in the order of its columns, so that the statistics of its files and row groups lead a seek."""
+    name, unique, table, columns = _plain(m[2]), bool(m[1]), _plain(m[3]), [_plain(c) for c in parts(m[4])]
+    t = spark.table(table)
+    keyed = t.dropna(subset=columns)
+    if unique and not keyed.groupBy(*columns).count().where("count > 1").isEmpty():
+        raise dml.ConstraintError(f"UNIQUE constraint failed: {', '.join(f'{table}.{c}' for c in columns)}")
+    path = folder(spark, f"index-{name}")
+    t.orderBy(*[F.expr(c) for c in columns]).write.parquet(path)
+    _replace(spark, table, spark.read.parquet(path))
+    _indexes(spark)[name] = (table, m[4], unique)
+
+
+def _drop_index(spark, m, translate, args) -> None:
+    if _indexes(spark).pop(_plain(m[2]), None) is None and not m[1]:
+        raise ValueError(f"no such index: {_plain(m[2])}")
+
+
+def _reindex(spark, m, translate, args) -> None:
+    """Writes a table again in the order of an index, or of all of its own."""
+    for name, (table, columns, unique) in list(_indexes(spark).items()):
+        if _plain(m[1]) in (name, table):
+            _create_index(spark, [None, unique, name, table, columns], translate, args)
+
+
 def _alter(spark, m, translate, args) -> None:
     name, what, tables = _plain(m[1]), m[2].strip(), _of(spark)["tables"]
     t = spark.table(name)
