@@ -17,7 +17,7 @@ from datetime import datetime, timezone
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import file_system, keep, ship, slice_texts, utf8, work_dir
+from .common import file_system, hot_keys, join_salted, keep, ship, slice_texts, utf8, work_dir
 
 #: Payloads below so many bytes are never revisits.
 REVISIT_BYTES = 100
@@ -80,19 +80,19 @@ def parse_arc(data: bytes, version: int | None = None):
         at = end + 1 + n
 
 
-def members(data: bytes, step: int = 1 << 14):
-    """Yields (offset, length, bytes) of each gzip member."""
-    at = 0
-    while at < len(data):
-        z, out, to = zlib.decompressobj(31), [], at
+def members(source, step: int = 1 << 16):
+    """Yields (offset, length, bytes) of each gzip member of a file that is read from its start, a step at a time."""
+    at, rest = 0, source.read(step)
+    while rest:
+        z, out, n = zlib.decompressobj(31), [], 0
         while not z.eof:
-            if to >= len(data):
+            if not rest:
                 raise ValueError(f"the member at byte {at} is cut short")
-            out.append(z.decompress(data[to : to + step]))
-            to += step
-        end = min(to, len(data)) - len(z.unused_data)
-        yield at, end - at, b"".join(out)
-        at = end
+            out.append(z.decompress(rest))
+            n += len(rest) - len(z.unused_data)
+            rest = z.unused_data if z.eof else source.read(step)
+        yield at, n, b"".join(out)
+        at, rest = at + n, rest or source.read(step)
 
 
 def split_http(body: bytes) -> tuple[bytes, bytes]:
@@ -126,8 +126,8 @@ def record_id(key: str) -> str:
     return f"<urn:uuid:{x[:8]}-{x[8:12]}-{x[12:16]}-{x[16:20]}-{x[20:]}>"
 
 
-def warc_record(fields: dict, body: bytes, digest: str, first: str | None, first_key: str | None, key: str) -> bytes:
-    """The WARC record of an ARC record: a response, or a revisit of the record ``first`` that keeps the HTTP head only."""
+def warc_record(fields: dict, body: bytes, digest: str, first_key: str | None, key: str) -> bytes:
+    """The WARC record of an ARC record: a response, or a revisit of the record with ``first_key`` that keeps the HTTP head only."""
     head, payload = split_http(body)
     block = head if first_key else body
     lines = [
@@ -136,7 +136,7 @@ def warc_record(fields: dict, body: bytes, digest: str, first: str | None, first
         f"Content-Type: {'application/http; msgtype=response' if head else fields['type']}", f"Content-Length: {len(block)}", f"X-Payload-Length: {len(payload)}",
     ]
     if first_key:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(first_key)}", f"X-Refers-To-Page: {first}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(first_key)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -185,8 +185,11 @@ class _Files:
             self.f, self.k = None, self.k + 1
 
 
-def write_arc(pages: DataFrame, out: str, page_id: str = "page_id", url: str = "url", html: str = "html", version: int = 1) -> list[str]:
-    """Writes pages as ARC files, an HTTP response each; returns the files' URIs in order."""
+def write_arc(pages: DataFrame, out: str, page_id: str = "page_id", url: str = "url", html: str = "html", version: int | None = None) -> list[str]:
+    """Writes pages as ARC files, an HTTP response each; returns the files' URIs in order.
+
+    Without a ``version`` pages with odd ids go to files of version 2, others to version 1.
+    """
     ship(pages.sparkSession)
     rows = pages.select(F.col(page_id).cast("long").alias("p"), F.col(url).cast("string").alias("u"), F.col(html).alias("h"))
 
@@ -194,14 +197,16 @@ def write_arc(pages: DataFrame, out: str, page_id: str = "page_id", url: str = "
         from pyspark import TaskContext
 
         stem = f"pages-{TaskContext.get().partitionId():06d}"
-        files = _Files(out, stem, arc_head(stem, version))
+        both = {v: _Files(out, f"{stem}-v{v}", arc_head(stem, v)) for v in ((1, 2) if version is None else (version,))}
         for b in batches:
             for p, u, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), slice_texts(*utf8(b.column(2)))):
                 head = f"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(h)}\r\n" + (f"X-Page-Id: {p}\r\n" if p is not None else "") + "\r\n"
-                files.add(member(arc_record(u, head.encode(), h, version)))
-        files.close()
-        if files.done:
-            yield pa.RecordBatch.from_pydict({"uri": files.done})
+                v = version or 1 + (p or 0) % 2
+                both[v].add(member(arc_record(u, head.encode(), h, v)))
+        for files in both.values():
+            files.close()
+        if done := [uri for files in both.values() for uri in files.done]:
+            yield pa.RecordBatch.from_pydict({"uri": done})
 
     return sorted(r.uri for r in rows.mapInArrow(run, "uri string").collect())
 
@@ -211,10 +216,9 @@ def _listed(spark, uris: list[str]) -> DataFrame:
     return df.repartition(max(1, len(uris))) if uris else df
 
 
-def _read(uri: str) -> bytes:
+def _open(uri: str):
     store, path = file_system(uri)
-    with store.open_input_stream(path, compression=None) as f:
-        return f.read()
+    return store.open_input_stream(path, compression=None)
 
 
 def index_arc(spark, uris: list[str]) -> DataFrame:
@@ -225,21 +229,28 @@ def index_arc(spark, uris: list[str]) -> DataFrame:
     def run(batches):
         for b in batches:
             for uri in b.column(0).to_pylist():
-                out, version = [], None
-                for at, (fields, body) in enumerate(_records(_read(uri))):
-                    head, payload = split_http(body)
-                    p = http_field(head, "X-Page-Id")
-                    out.append((uri, at, int(p) if p else None, hashlib.sha256(payload).hexdigest(), len(payload)))
-                yield pa.RecordBatch.from_pylist([dict(zip(shape.names, r)) for r in out], shape)
+                out = []
+                with _open(uri) as f:
+                    for at, (fields, body) in enumerate(_records(f)):
+                        head, payload = split_http(body)
+                        p = http_field(head, "X-Page-Id")
+                        out.append((uri, at, int(p) if p else None, hashlib.sha256(payload).hexdigest(), len(payload)))
+                        if len(out) == 1000:
+                            yield _batch(out, shape)
+                            out = []
+                yield _batch(out, shape)
 
     return _listed(spark, uris).mapInArrow(run, "uri string, at long, page_id long, digest string, length long")
 
 
-def _records(data: bytes):
-    """The records after the filedesc of a gzipped or plain ARC file."""
+def _batch(rows: list[tuple], shape: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([dict(zip(shape.names, r)) for r in rows], shape)
+
+
+def _records(source):
+    """The records after the filedesc of an ARC file with a gzip member for each record, read as a stream."""
     version = None
-    parts = (x for _, _, x in members(data)) if data[:2] == b"\x1f\x8b" else [data]
-    for x in parts:
+    for _, _, x in members(source):
         for fields, body in parse_arc(x, version):
             if fields["url"].startswith("filedesc:"):
                 version = int(body[:1])
@@ -255,9 +266,11 @@ def convert(spark, uris: list[str], out: str, least: int = REVISIT_BYTES) -> lis
     """
     index = keep(index_arc(spark, uris), f"{out}/index")
     place = F.struct(F.col("page_id").isNull().alias("n"), "page_id", "uri", "at")
-    firsts = index.where(F.col("length") >= least).groupBy("digest").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "f")
-    revisits = index.where(F.col("length") >= least).join(firsts, "digest").where((F.col("uri") != F.col("f.uri")) | (F.col("at") != F.col("f.at")))
-    told = revisits.select("uri", "at", F.col("f.page_id").alias("first"), F.concat_ws("#", F.col("f.uri"), F.col("f.at")).alias("key"))
+    long = index.where(F.col("length") >= least).withColumn("k", F.xxhash64("digest"))
+    firsts = keep(long.groupBy("k", "digest").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1"), f"{out}/firsts")
+    revisits = join_salted(long, firsts.select("k", "digest", "f"), ["k", "digest"], hot_keys(firsts, "k", "c", index.count()), F.xxhash64("uri", "at"))
+    revisits = revisits.where((F.col("uri") != F.col("f.uri")) | (F.col("at") != F.col("f.at")))
+    told = revisits.select("uri", "at", F.concat_ws("#", F.col("f.uri"), F.col("f.at")).alias("key"))
     rows = index.select("uri", "at", "digest").join(told, ["uri", "at"], "left")
     placed = rows.repartition(max(1, len(uris)), "uri").sortWithinPartitions("uri", "at")
 
@@ -265,49 +278,63 @@ def convert(spark, uris: list[str], out: str, least: int = REVISIT_BYTES) -> lis
         uri = files = source = None
         made = []
         for b in batches:
-            for u, at, digest, first, key in zip(*(c.to_pylist() for c in b.columns)):
+            for u, at, digest, key in zip(*(c.to_pylist() for c in b.columns)):
                 if u != uri:
                     if files:
                         files.close()
                         made += files.done
                     uri, stem = u, u.rsplit("/", 1)[1].split(".")[0]
-                    files, source = _Files(out, stem, suffix="warc.gz"), enumerate(_records(_read(u)))
+                    files, source = _Files(out, stem, suffix="warc.gz"), enumerate(_records(_open(u)))
                 k, (fields, body) = next(source)
-                assert k == at, "the index has every record"
-                files.add(member(warc_record(fields, body, digest, None if first is None else str(first), key, f"{u}#{at}")))
+                if k != at:
+                    raise ValueError(f"the index of {u} lacks a record")
+                files.add(member(warc_record(fields, body, digest, key, f"{u}#{at}")))
         if files:
             files.close()
             made += files.done
         if made:
             yield pa.RecordBatch.from_pydict({"uri": made})
 
-    return sorted(r.uri for r in placed.select("uri", "at", "digest", "first", "key").mapInArrow(run, "uri string").collect())
+    return sorted(r.uri for r in placed.select("uri", "at", "digest", "key").mapInArrow(run, "uri string").collect())
+
 
+def read_warc(spark, uris: list[str], out: str) -> DataFrame:
+    """One row per record of WARC files, with what its fields say; the digest of a response is checked against its payload.
 
-def read_warc(spark, uris: list[str]) -> DataFrame:
-    """One row per record of WARC files, with what its fields say; the digest of a response is checked against its payload."""
+    What a revisit refers to is found by the identifiers: the page of the record that WARC-Refers-To names.
+    """
     ship(spark)
-    shape = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("refers_to_record", pa.string()), ("warc_date", pa.string()), ("url", pa.string())])
+    shape = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers_to_record", pa.string()), ("warc_date", pa.string()), ("url", pa.string())])
 
     def run(batches):
         for b in batches:
             for uri in b.column(0).to_pylist():
-                out = []
-                for _, _, x in members(_read(uri)):
-                    f, block = parse_warc(x)
-                    head, payload = split_http(block)
-                    digest = f["warc-payload-digest"].partition(":")[2]
-                    if f["warc-type"] == "response" and hashlib.sha256(payload).hexdigest() != digest:
-                        raise ValueError(f"a payload in {uri} isn't what its digest says")
-                    page, first = http_field(head, "X-Page-Id"), f.get("x-refers-to-page")
-                    out.append((int(page) if page else None, int(f["x-payload-length"]), digest, f["warc-type"], int(first) if first and first != "None" else None, f["warc-record-id"], f.get("warc-refers-to"), f["warc-date"], f["warc-target-uri"]))
-                yield pa.RecordBatch.from_pylist([dict(zip(shape.names, r)) for r in out], shape)
-
-    return _listed(spark, uris).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_record string, warc_date string, url string")
-
-
-def pages_through_warc(pages: DataFrame, version: int = 1) -> DataFrame:
-    """Pages to ARC files, those to WARC files, and the records of the latter.
+                rows = []
+                with _open(uri) as source:
+                    for _, _, x in members(source):
+                        f, block = parse_warc(x)
+                        head, payload = split_http(block)
+                        digest = f["warc-payload-digest"].partition(":")[2]
+                        if f["warc-type"] == "response" and hashlib.sha256(payload).hexdigest() != digest:
+                            raise ValueError(f"a payload in {uri} isn't what its digest says")
+                        page = http_field(head, "X-Page-Id")
+                        rows.append((int(page) if page else None, int(f["x-payload-length"]), digest, f["warc-type"], f["warc-record-id"], f.get("warc-refers-to"), f["warc-date"], f["warc-target-uri"]))
+                        if len(rows) == 1000:
+                            yield _batch(rows, shape)
+                            rows = []
+                yield _batch(rows, shape)
+
+    read = _listed(spark, uris).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, record_id string, refers_to_record string, warc_date string, url string")
+    read = keep(read, f"{out}/records")
+    responses = read.where("record_type = 'response'").select(F.xxhash64("record_id").alias("k"), F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to"))
+    revisits = read.where("record_type = 'revisit'").withColumn("k", F.xxhash64("refers_to_record"))
+    often = hot_keys(revisits.groupBy("k").agg(F.count(F.lit(1)).alias("c")), "k", "c", read.count())
+    told = join_salted(revisits, responses, ["k", "refers_to_record"], often, F.xxhash64("record_id"), "left").drop("k")
+    return read.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).unionByName(told)
+
+
+def pages_through_warc(pages: DataFrame, version: int | None = None) -> DataFrame:
+    """Pages to ARC files (of both versions unless one is named), those to WARC files, and the records of the latter.
 
     A null html is an empty payload, a null url becomes ``unknown:``, a null page_id stays
     null. Repeated rows make a record each; of equal ids the first in place is the
@@ -315,7 +342,7 @@ def pages_through_warc(pages: DataFrame, version: int = 1) -> DataFrame:
     """
     spark = ship(pages.sparkSession)
     out = work_dir(spark)
-    return read_warc(spark, convert(spark, write_arc(pages, out, version=version), out))
+    return read_warc(spark, convert(spark, write_arc(pages, out, version=version), out), out)
 
 
 def op1_warc(spark, sf_dir: str) -> DataFrame:
