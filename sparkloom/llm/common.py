@@ -6,9 +6,11 @@ table or file in the folder that ``spark.checkpoint.dir`` names, never executor-
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -62,12 +64,12 @@ LEAN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl
 def keep(df: DataFrame, path: str, rows: int | None = None, each: int = 1 << 19) -> DataFrame:
     """Writes a table and reads it back: cuts lineage so that lost executors cost no recomputation.
 
-    Where the table has ``rows`` rows at most, it is written in no more files than these need
-    at ``each`` rows, however many partitions its making has.
+    Where the table has ``rows`` rows at most, it is written in no more files than there are
+    cores, or than these rows need at ``each``, however many partitions its making has.
     """
     spark = df.sparkSession
     if rows is not None:
-        df = df.coalesce(max(1, -(-int(rows) // each)))
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-int(rows) // each)))
     df.write.mode("overwrite").options(**LEAN).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -126,6 +128,21 @@ def release(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
+def settled(run):
+    """A task's function that gives memory back when the task ends: its worker goes on to serve other operators."""
+
+    @wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return whole
+
+
 def file_system(uri: str):
     """The pyarrow file system of a URI and the path on it; works for local, HDFS and object stores."""
     from pyarrow import fs

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import drop, file_system, keep, ship, slice_texts, utf8, work_dir
+from .common import drop, file_system, keep, settled, ship, slice_texts, utf8, work_dir
 
 #: Words of a window.
 WINDOW = 10
@@ -306,7 +306,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
                 columns = [pa.array(n_words), pa.array(n_hit, pa.int64()), spans, pa.array([sorted(x) for x in names], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in through), *columns], schema.names)
 
-        return run
+        return settled(run)
 
     paths = [f"{out}/parts"] if blocks == 1 else [f"{out}/blocks/block={k}" for k in range(blocks)]
     now = rest

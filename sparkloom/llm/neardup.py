@@ -13,7 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import blocks_of_rows, drop, gram_hashes, hot_keys, hot_least, join_salted, keep, mix, release, ship, slice_texts, utf8, word_hashes, word_spans, work_dir
+from .common import blocks_of_rows, drop, gram_hashes, hot_keys, hot_least, join_salted, keep, mix, release, settled, ship, slice_texts, utf8, word_hashes, word_spans, work_dir
 
 #: Words of a shingle, and the least similarity of a link, in hundredths.
 SHINGLE, PERCENT = 5, 75
@@ -174,7 +174,7 @@ def _promising(members: DataFrame, hot: list[int], comp: DataFrame, texts: DataF
     opened = now.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("floor")).where("lo <> hi").select("band", "floor")
     now = keep(join_salted(now, opened, ["band"], hot, F.col("node")), f"{out}/open", n)
     nodes = now.groupBy("node").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.min("floor").alias("floor"))
-    shingles = texts.join(nodes.select("node", "c"), "node").select("node", "text", "c").mapInArrow(_shingles, "node long, shingle long, c long")
+    shingles = texts.join(nodes.select("node", "c"), "node").select("node", "text", "c").mapInArrow(settled(_shingles), "node long, shingle long, c long")
     lone = shingles.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo = hi").select("shingle")
     lone = shingles.join(lone, "shingle").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
     least = F.greatest(F.col("floor"), F.ceil(F.col("n") * percent / 100))
@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = ship(docs.sparkSession)
     out = work_dir(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    sig = keep(rows.mapInArrow(_signatures, "doc_id long, h long, n_shingles long, k1 long, k2 long, regs binary"), f"{out}/signatures")
+    sig = keep(rows.mapInArrow(settled(_signatures), "doc_id long, h long, n_shingles long, k1 long, k2 long, regs binary"), f"{out}/signatures")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "h", "n_shingles", "regs")).alias("f")
     n_rows = sig.count()
     reps = sig.where("n_shingles > 0").groupBy("k1", "k2").agg(least, F.count(F.lit(1)).alias("copies"))
@@ -320,13 +320,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     n_pairs = pairs.count()
     left, right = (light.select(F.col("node").alias(x), F.col("n_shingles").alias(n), F.col("regs").alias(r)) for x, n, r in (("a", "n", "r"), ("b", "m", "s")))
     pivots = hot_keys(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("k")), "b", "k", n_pairs)
-    some = join_salted(pairs.join(left, "a"), right, ["b"], pivots, F.col("a")).mapInArrow(likely, "a long, b long")
+    some = join_salted(pairs.join(left, "a"), right, ["b"], pivots, F.col("a")).mapInArrow(settled(likely), "a long, b long")
     some = keep(some.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(PARTS))), f"{out}/likely", n_pairs, 1 << 16)
     # a bucket's least text goes once to each of its parts, ahead of the members there
     ahead = some.select("b", "part").distinct().join(texts, F.col("b") == F.col("node")).select("b", "part", F.lit(None).cast("long").alias("a"), "text")
     after = some.join(texts, F.col("a") == F.col("node")).select("b", "part", "a", "text")
     dealt = ahead.unionAll(after).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
-    links = keep(dealt.mapInArrow(exact, "a long, b long"), f"{out}/links-0", n_pairs, 1 << 12)
+    links = keep(dealt.mapInArrow(settled(exact), "a long, b long"), f"{out}/links-0", n_pairs, 1 << 12)
 
     comp = components(links, f"{out}/components-0")
     able = keep(_promising(members, hot, comp, texts, percent, out, n_members), f"{out}/promising", n_members)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import ship, slice_texts, utf8
+from .common import settled, ship, slice_texts, utf8
 
 #: Labelled rows of each class that a fit looks at, at most, and their bytes on average; a fit sees fewer rows where these are longer, all of them whole.
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 16 << 10
@@ -156,7 +156,7 @@ def score_quality(docs: DataFrame, model: Model, text: str = "text") -> DataFram
             scores = [s.score(t) for t in slice_texts(*utf8(b.column(text)))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, "_score"])
 
-    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField("_score", T.DoubleType())]))
+    return rest.mapInArrow(settled(run), T.StructType([*rest.schema.fields, T.StructField("_score", T.DoubleType())]))
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

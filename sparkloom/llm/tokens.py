@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import file_system, input_bytes, partitions_for, read_bytes, ship, slice_texts, utf8, work_dir
+from .common import file_system, input_bytes, partitions_for, read_bytes, settled, ship, slice_texts, utf8, work_dir
 from .crc32c import crc32c, masked
 
 #: Bytes that a worker's remembered words and their ids take, at most about; what looks them up takes as much again.
@@ -29,7 +29,7 @@ READ_BYTES = 4 << 20
 #: Punctuation that makes one piece after letters.
 _TAIL = b",.!?;:*$%&#"
 #: Bytes of text that are encoded in one go.
-PIECE = 4 << 20
+PIECE = 2 << 20
 
 
 class WordEncoder:
@@ -274,7 +274,7 @@ def write_tokens(docs: DataFrame, out: str, vocabulary: str, end_id: int = 1, do
         store.move(temp, at)
         yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "index": [f"{path}.idx"], "docs": [len(offsets)], "tokens": [tokens]})
 
-    rows = ordered.mapInArrow(run, "part long, path string, index string, docs long, tokens long").collect()
+    rows = ordered.mapInArrow(settled(run), "part long, path string, index string, docs long, tokens long").collect()
     return [r.asDict() for r in sorted(rows, key=lambda r: r.part)]
 
 
@@ -309,7 +309,7 @@ def read_tokens(spark, files: list[dict]) -> DataFrame:
                         yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(c, pa.int64()) for c in out]))
                         k = j
 
-    return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.mapInArrow(settled(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_records(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1) -> DataFrame:

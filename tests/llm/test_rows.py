@@ -163,7 +163,7 @@ def test_long_texts_are_encoded_in_pieces(monkeypatch):
     assert e.encode([text]) == whole
 
 
-@pytest.mark.parametrize("version", [1, 2])
+@pytest.mark.parametrize("version", [1, 2, None])
 def test_warc(spark, version):
     rows = [(5, "http://a b/", "x" * 200), (3, None, "x" * 200), (4, "q", None), (9, "q", "b"), (8, "q", "b"), (7, "q", "é" * 60), (6, "q", "é" * 60), (None, "q", "x" * 200), (3, "z", "x" * 200)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
@@ -179,6 +179,28 @@ def test_warc(spark, version):
     assert warc.pages_through_warc(df.limit(0)).count() == 0
 
 
+def test_long_pages_and_other_columns(spark):
+    """A page far larger than what is read at a time, and columns with the names that the operator uses."""
+    rng = np.random.default_rng(8)
+    big = "".join(map(chr, rng.integers(97, 123, 3_000_000)))
+    rows = [(1, "u", big, "x", "y"), (2, "u", big, "x", "y"), (3, "u", big[:99], "x", "y"), (4, "u", big[:99], "x", "y")]
+    got = {r.page_id: r for r in warc.pages_through_warc(spark.createDataFrame(rows, "page_id long, url string, html string, digest string, k string")).collect()}
+    assert [got[k].payload_bytes for k in (1, 2, 3, 4)] == [3_000_000, 3_000_000, 99, 99]
+    assert [(got[k].record_type, got[k].refers_to) for k in (1, 2, 3, 4)] == [("response", None), ("revisit", 1), ("response", None), ("response", None)]
+    assert got[2].refers_to_record == got[1].record_id
+
+
+def test_members_are_streamed():
+    import io
+
+    made = [warc.member(bytes([k]) * (k * 7000)) for k in range(1, 9)]
+    for step in (1, 97, 1 << 16):
+        got = list(warc.members(io.BytesIO(b"".join(made)), step))
+        assert [x for _, _, x in got] == [bytes([k]) * (k * 7000) for k in range(1, 9)] and [n for _, n, _ in got] == [len(m) for m in made]
+    with pytest.raises(ValueError):
+        list(warc.members(io.BytesIO(made[0][:-3])))
+
+
 def test_arc_lines():
     record = b"http://x/a b 1.2.3.4 19970101123456 text/html; charset=x 3\nabc\n"
     (fields, body), = warc.parse_arc(record, 1)
@@ -485,3 +507,127 @@ def test_operators_replace_clashing_columns(spark):
     assert named.columns == ["doc_id", "text", "source", "_score", "_target", "_text", "_values"] and named.first()._text == "one two"
     placed = M.mix_sources(df.withColumn("n", M.words("text")), "n")
     assert placed.columns == ["doc_id", "text", "source", "_score", "_text", "n", "_source_size", "_target", "_taken", "_positions"] and placed.first()._target == 2.0
+
+
+def plain_fingerprint(data: bytes) -> str:
+    """The fingerprint with one loop over bytes, and nothing shared with the operator but its constants' values."""
+    if not data:
+        return "0::"
+    m32 = 0xFFFFFFFF
+    sums, levels, total = [], [], 0
+    for i in range(len(data)):
+        h = 1
+        for j in range(7):
+            k = i - 6 + j
+            x = data[k] if k >= 0 else 0
+            h = x + 1 if j == 0 else (h * 0x01000193 + x) & m32
+        for shift, factor in ((15, 0x2C1B3C6D), (12, 0x297A2D39)):
+            h = ((h ^ h >> shift) * factor) & m32
+        h ^= h >> 15
+        total = (total + h) & m32
+        if h % 4 == 0:
+            zeros = 0
+            while zeros < 30 and not h >> zeros & 1:
+                zeros += 1
+            levels.append(zeros)
+            sums.append(total)
+    level = max([2] + [k for k in range(2, 31) if sum(x >= k for x in levels) >= 32])
+
+    def code(x):
+        x = ((x ^ x >> 16) * 0x85EBCA6B) & m32
+        return (x ^ x >> 13) >> 20
+
+    def signature(least):
+        ends = [s for s, x in zip(sums, levels) if x >= least] + [total]
+        codes = [code((b - a) & m32) for a, b in zip([0] + ends, ends)]
+        for period in range(1, 17):
+            if period > 1 and len(codes) <= 64:
+                break
+            stay = [k for k in range(len(codes)) if k < 4 * period - 1 or any(codes[j] != codes[j - period] for j in range(k - 3 * period + 1, k + 1))]
+            codes, ends = [codes[k] for k in stay], [ends[k] for k in stay]
+        if len(codes) > 64:
+            codes = codes[:63] + [code((total - ends[62]) & m32)]
+        digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+        return "".join(digits[c >> 6] + digits[c & 63] for c in codes)
+
+    return f"{level}:{signature(level)}:{signature(level + 1)}"
+
+
+def plain_likeness(f: str, g: str) -> float:
+    """By the table of an edit distance of insertions and deletions."""
+    if f == g:
+        return 1.0
+    (k, *a), (j, *b) = f.split(":"), g.split(":")
+    best = 0.0
+    for x, own in ((int(k), a[0]), (int(k) + 1, a[1])):
+        for y, other in ((int(j), b[0]), (int(j) + 1, b[1])):
+            if x == y and own and other:
+                p, q = ([t[i : i + 2] for i in range(0, len(t), 2)] for t in (own, other))
+                row = list(range(len(q) + 1))
+                for i, c in enumerate(p, 1):
+                    last, row[0] = row[0], i
+                    for n, d in enumerate(q, 1):
+                        last, row[n] = row[n], last if c == d else 1 + min(row[n], row[n - 1])
+                best = max(best, 1 - row[-1] / (len(p) + len(q)))
+    return best
+
+
+def test_fingerprints_by_plain_loops(spark, data):
+    rng = np.random.default_rng(12)
+    texts = [r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").limit(40).collect()]
+    texts = [t[:6000] for t in texts] + ["a", "ab" * 900, "line again\n" * 300 + texts[0][:2000], "".join(map(chr, rng.integers(97, 123, 3000))), "abcdefghij klmnop\n" * 100]
+    prints = [H.fingerprint(t.encode()) for t in texts]
+    assert prints == [plain_fingerprint(t.encode()) for t in texts]
+    pairs = [*zip(prints, prints[1:]), *((f, H.fingerprint(H.edited(t, "x" * 400).encode())) for f, t in zip(prints, texts))]
+    assert all(abs(H.likeness(f, g) - plain_likeness(f, g)) < 1e-12 for f, g in pairs) and any(0 < H.likeness(f, g) < 1 for f, g in pairs)
+
+
+def test_mix_by_plain_loops(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "source", "text", M.F.xxhash64("doc_id", "text").alias("h")).collect()
+    got = {r.doc_id: (r.size, r.source_size, r.target, r.taken) for r in M.op4_mix_sources(spark, data).collect()}
+    import re
+
+    size = {r.doc_id: len(re.findall("[^\\x20\\x09-\\x0d]+", r.text or "")) for r in docs}
+    groups: dict = {}
+    for r in docs:
+        groups.setdefault(r.source, []).append(r)
+    sizes = {s: sum(size[r.doc_id] for r in rows) for s, rows in groups.items()}
+    named = {("0" + s if s is not None else "1"): n for s, n in sizes.items()}  # null last
+    targets = plain_targets(named)
+    want = {}
+    for s, rows in groups.items():
+        target = targets["0" + s if s is not None else "1"]
+        left = round(target)
+        order = sorted(rows, key=lambda r: (r.h % 4096, r.h))
+        taken = {r.doc_id: 0 for r in rows}
+        while left > 0 and sizes[s]:
+            for r in order:
+                part = min(left, size[r.doc_id])
+                taken[r.doc_id] += part
+                left -= part
+        for r in rows:
+            want[r.doc_id] = (size[r.doc_id], sizes[s], target, taken[r.doc_id])
+    assert {d: (w[0], w[1], w[3]) for d, w in want.items()} == {d: (g[0], g[1], g[3]) for d, g in got.items()}
+    assert all(abs(got[d][2] - w[2]) < 1e-6 * w[2] + 1e-9 for d, w in want.items())
+
+
+def test_scores_by_plain_loops(spark, data):
+    """Each score from the model by its formula, with compressors of the test's own."""
+    import math
+
+    import zstandard as z
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    model = Q.fit(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    got = {r.doc_id: r.score for r in Q.op5_quality(spark, data).collect()}
+    sizes = {}
+    for name, raw in (("good", model.good), ("bad", model.bad)):
+        c = z.ZstdCompressor(level=Q.LEVEL, dict_data=z.ZstdCompressionDict(raw), write_content_size=False, write_dict_id=False, write_checksum=False)
+        sizes[name] = lambda t, c=c: sum(len(c.compress(t[k : k + Q.PIECE])) for k in range(0, len(t), Q.PIECE))
+    for r in docs.collect():
+        t = (r.text or "").encode()
+        g, b = sizes["good"](t), sizes["bad"](t)
+        x, y = ((b - g) / (b + g), g / len(t)) if t else (0.0, 0.5)
+        a = model.weights
+        want = 1 / (1 + math.exp(-max(-40.0, min(40.0, a[0] + a[1] * x + a[2] * y + a[3] * y * y))))
+        assert abs(got[r.doc_id] - want) < 1e-9
