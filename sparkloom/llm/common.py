@@ -74,12 +74,12 @@ def keep(df: DataFrame, path: str, rows: int | None = None, each: int = 1 << 19)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keep_bucketed(df: DataFrame, path: str, key: str) -> tuple[DataFrame, str]:
-    """Writes a table in buckets of ``key``, so that later joins on it don't move its rows; returns it and its name."""
-    spark, name = df.sparkSession, f"sparkloom_{uuid.uuid4().hex}"
+def keep_bucketed(df: DataFrame, path: str, key: str, name: str) -> DataFrame:
+    """Writes a table in buckets of ``key``, so that later joins on it don't move its rows, under a name that the caller drops."""
+    spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").options(**LEAN).option("path", path).bucketBy(n, key).saveAsTable(name)
-    return spark.table(name), name
+    return spark.table(name)
 
 
 #: Parts that the rows of a hot key are dealt in, and a number that stands for no hot key at all.

@@ -11,6 +11,7 @@ also start earlier. Everything of a shard is decided there; nothing is sampled o
 from __future__ import annotations
 
 import hashlib
+import uuid
 from dataclasses import dataclass
 from typing import Callable
 
@@ -398,7 +399,16 @@ def without_repeats(docs: DataFrame, kind: Kind, decide: Callable, doc_id: str =
     and repeated rows get equal results. Texts of fewer than k units stay whole. An
     empty table stays empty; other columns aren't read.
     """
-    spark = ship(docs.sparkSession)
+    spark, name = ship(docs.sparkSession), f"sparkloom_{uuid.uuid4().hex}"
+    try:
+        return _without_repeats(docs, kind, decide, doc_id, text, with_text, name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _without_repeats(docs: DataFrame, kind: Kind, decide: Callable, doc_id: str, text: str, with_text: bool, name: str) -> DataFrame:
+    """The same, with the name of the one catalogue table that is made on the way."""
+    spark = docs.sparkSession
     out = work_dir(spark)
     last, content = F.lit((1 << 63) - 1), F.coalesce(F.col(text), F.lit(""))
     hashed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), last).alias("d"), F.xxhash64(content).alias("h"), F.xxhash64(F.lit(7), content).alias("g"), content.alias("text"))
@@ -413,7 +423,7 @@ def without_repeats(docs: DataFrame, kind: Kind, decide: Callable, doc_id: str =
     release(spark)
     # texts move once, into buckets: the first row of each (repeated rows stay), with its keys
     chosen = few.join(sets, "tid").where("d = first")
-    chosen, name = keep_bucketed(chosen.select("tid", "d", "text", "keys", "hot"), f"{out}/chosen", "tid")
+    chosen = keep_bucketed(chosen.select("tid", "d", "text", "keys", "hot"), f"{out}/chosen", "tid", name)
     del sets
     drop(spark, f"{out}/keys")
     release(spark)
@@ -441,7 +451,6 @@ def without_repeats(docs: DataFrame, kind: Kind, decide: Callable, doc_id: str =
     changed = chosen.select("tid", "text").join(ranges, "tid").mapInArrow(_cut(kind), cut)
     changed = keep((changed if with_text else changed.drop("kept_text", "spans")).dropDuplicates(["tid"]), f"{out}/changed", n_rows, 1 << 13)
     del chosen, ranges
-    spark.sql(f"DROP TABLE {name}")
     drop(spark, f"{out}/chosen", f"{out}/ranges")
     release(spark)
     whole = rows.select("doc_id", "tid", "text").mapInArrow(_whole(kind), "doc_id long, tid long, n_units long, whole_sha256 string")

@@ -97,3 +97,11 @@ def test_sets_are_told_apart_by_two_families():
     data = np.frombuffer(b"a b c d e f", np.uint8)
     x, y = (N.shingle_hashes(data, np.array([0, len(data)]), other=o)[0] for o in (False, True))
     assert len(x) == 2 and not set(x.tolist()) & set(y.tolist())
+
+
+def test_very_long_texts(spark, frame):
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in rng.integers(0, 50_000, 150_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:140_000])), (3, " ".join(words[:20_000])), (4, "x" * 500_000), (5, "la " * 100_000), (6, "la " * 99_000), (7, " " * 200_000)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in N.near_duplicates(frame(rows)).collect()}
+    assert got == N.brute(rows) and got[2][1] == 1 and got[6][1] == 5

@@ -175,3 +175,23 @@ def test_many_copies_of_one_text(spark, frame):
     for module, call, names in ((fmindex, fmindex.substring_dedup, ("n_units", "n_removed", "kept_sha256")), (induced, induced.suffix_dedup, ("n_units", "n_removed", "n_spans", "kept_sha256"))):
         got = {r.doc_id: tuple(r[c] for c in names) for r in call(frame(rows)).collect()}
         assert got == module.brute(rows)
+
+
+def test_very_long_texts(spark, frame):
+    """Texts of a megabyte: a shared half, one word or byte many times, and white space alone."""
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in rng.integers(0, 50_000, 150_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:50_000] + ["new"] + words[90_000:])), (3, "x" * 400_000), (4, "x" * 100_000 + "y"), (5, "la " * 100_000), (6, " " * 200_000)]
+    for module, call, names in ((fmindex, fmindex.substring_dedup, ("n_units", "n_removed", "kept_sha256")), (induced, induced.suffix_dedup, ("n_units", "n_removed", "n_spans", "kept_sha256"))):
+        got = {r.doc_id: tuple(r[c] for c in names) for r in call(frame(rows)).collect()}
+        assert got == module.brute(rows)
+
+
+def test_no_table_is_left_behind(spark, frame):
+    def fail(*_):
+        raise RuntimeError("a shard fails")
+
+    text = " ".join(f"w{k}" for k in range(60))
+    with pytest.raises(Exception, match="a shard fails"):
+        repeats.without_repeats(frame([(1, text + " a"), (2, text + " b")]), Kind("word", 20, 5, True), fail).collect()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("sparkloom_")]

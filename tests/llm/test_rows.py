@@ -631,3 +631,32 @@ def test_scores_by_plain_loops(spark, data):
         a = model.weights
         want = 1 / (1 + math.exp(-max(-40.0, min(40.0, a[0] + a[1] * x + a[2] * y + a[3] * y * y))))
         assert abs(got[r.doc_id] - want) < 1e-9
+
+
+def test_fingerprints_of_null_and_repeated_ids(spark, frame):
+    rows = [(None, "null id"), (None, None), (3, "c c c c"), (3, "d d d d"), (3, "c c c c"), (1, ""), (2, "x" * 700_000)]
+    df = frame(rows)
+    h = {(r.doc_id, r.text): r.h for r in df.select("doc_id", "text", M.F.xxhash64(M.F.coalesce("text", M.F.lit(""))).alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), h[r], r[1] or ""))
+    want = []
+    for (d, t), (_, u) in zip(order, order[1:] + order[:1]):
+        e = H.edited(t or "", u or "")
+        f, g, n = (H.fingerprint(x.encode()) for x in (t or "", e, u or ""))
+        want.append((d, len(t or ""), hashlib.sha256(e.encode()).hexdigest(), f, g, H.likeness(f, g), H.likeness(f, n)))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    assert sorted((tuple(r) for r in H.compare_with_next(df).collect()), key=key) == sorted(want, key=key)
+
+
+def test_scores_of_repeated_and_long_rows(spark, frame):
+    model = Q.Model(b"good words " * 50, b"bad %%% " * 50, (0.1, 5.0, -1.0, 0.2), 0.5)
+    rows = [(1, "good words"), (1, "good words"), (2, "bad %%% " * 100_000), (None, "good words"), (3, None)]
+    got = sorted((r.doc_id or 0, r._score) for r in Q.score_quality(frame(rows), model).collect())
+    assert got[1][1] == got[2][1] == got[0][1] == Q.Scorer(model).score(b"good words") and len(got) == 5
+    assert got[3][1] == Q.Scorer(model).score(b"bad %%% " * 100_000)
+
+
+def test_mix_of_a_very_long_text(spark):
+    df = spark.createDataFrame([(1, "w " * 300_000, "a"), (2, "v", "a"), (3, "u u", "b")], "doc_id long, text string, source string").withColumn("n", M.words("text"))
+    got = {r.doc_id: r for r in M.mix_sources(df, "n").collect()}
+    # b is held at three times its two words; a takes the rest
+    assert got[1].n == 300_000 and got[3]._taken == 6 and abs(got[1]._taken + got[2]._taken - (300_003 - 6)) <= 1
