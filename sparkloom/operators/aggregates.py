@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -23,14 +25,33 @@ def percentile_floor(x: Column, p: float) -> Column:
     return F.lit(None) if p > 1 else F.get(F.sort_array(F.collect_list(x)), F.floor(F.lit(p) * (F.count(x) - 1)).cast("int"))
 
 
-def geometric_mean():
-    """A user-defined aggregate."""
+def user_aggregate(df: DataFrame, keys: list[str], columns: list[str], partial: Callable[[pd.DataFrame], pd.DataFrame], states: dict[str, str], merge: dict[str, str], result: Column) -> DataFrame:
+    """A user's aggregate with states that merge: no group is ever whole in one place.
 
-    @F.pandas_udf("double")
-    def f(x: pd.Series) -> float:
-        return float(np.exp(np.log(x).mean()))
+    ``partial`` makes of a batch of ``columns`` a row of ``states`` (names and types) for each
+    group of it; ``merge`` names the aggregate that joins each state; ``result`` is an
+    expression over the merged ones.
+    """
+    t = df.select(*keys, *columns)
+    shape = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in t.select(*keys).schema], *[f"{n} {k}" for n, k in states.items()]])
 
-    return f
+    def run(batches):
+        for b in batches:
+            if len(b):
+                yield b.groupby(keys, dropna=False).apply(partial, include_groups=False).reset_index()[[*keys, *states]]
+
+    parts = t.mapInPandas(run, shape)
+    return parts.groupBy(*keys).agg(*[F.expr(f"{how}({n})").alias(n) for n, how in merge.items()]).select(*keys, result)
+
+
+def geometric_mean(df: DataFrame, keys: list[str], column: str, alias: str) -> DataFrame:
+    """A user-defined aggregate, by way of counts and sums of logarithms."""
+
+    def partial(b: pd.DataFrame) -> pd.Series:
+        x = b[column].dropna()
+        return pd.Series({"n": float(len(x)), "s": float(np.log(x).sum())})
+
+    return user_aggregate(df, keys, [column], partial, {"n": "double", "s": "double"}, {"n": "sum", "s": "sum"}, F.exp(F.try_divide("s", "n")).alias(alias))
 
 
 def mean_of():

@@ -52,8 +52,8 @@ def ext_percentile_disc(spark, sf_dir):
 
 @register("agg_user_defined", "SELECT o_orderstatus, round(exp(avg(ln(o_totalprice))), 2) AS g FROM orders GROUP BY o_orderstatus")
 def user_defined(spark, sf_dir):
-    """A user's aggregate (here a geometric mean) as a grouped-aggregate pandas UDF."""
-    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.round(A.geometric_mean()("o_totalprice"), 2).alias("g"))
+    """A user's aggregate (here a geometric mean) with states of batches that merge in the JVM."""
+    return A.geometric_mean(table(spark, sf_dir, "orders"), ["o_orderstatus"], "o_totalprice", "g").withColumn("g", F.round("g", 2))
 
 
 sql("window_row_number", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders", "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS rn FROM orders")
@@ -67,7 +67,7 @@ sql("window_ntile", "SELECT c_custkey, ntile(4) OVER (PARTITION BY c_nationkey O
 sql("window_percent_rank", "SELECT c_custkey, round(percent_rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal), 6) AS p, round(cume_dist() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal), 6) AS d FROM customer")
 sql("window_rows_frame", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 6) AS m FROM events")
 sql("window_range_frame", "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 5 PRECEDING AND CURRENT ROW) AS n FROM part")
-sql("window_many", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS a, sum(1) OVER (PARTITION BY o_orderstatus) AS b FROM orders", "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS a, count(*) OVER (PARTITION BY o_orderstatus) AS b FROM orders")
+sql("window_many", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS a, sum(1) OVER (PARTITION BY o_orderdate) AS b FROM orders", "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS a, count(*) OVER (PARTITION BY o_orderdate) AS b FROM orders")
 sql("window_top_k_per_group", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) t WHERE rn <= 2")
 
 
