@@ -286,7 +286,7 @@ def read_tokens(spark, files: list[dict]) -> DataFrame:
         rows.append((f["path"], f["index"], base))
         base += f["tokens"]
     listed = spark.createDataFrame(rows, "path string, index string, base long")
-    tasks = partitions_for(spark, 4 * base, 16 << 20)
+    tasks = partitions_for(spark, 4 * base, 64 << 20)
     listed = listed.repartition(min(len(rows), tasks)) if rows else listed
 
     def run(batches):
