@@ -28,6 +28,12 @@ def apart(docs: DataFrame) -> tuple[DataFrame, list]:
     return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), [F.col(n).alias(c) for c, n in names.items()]
 
 
+def merged(docs: DataFrame) -> DataFrame:
+    """``docs`` in partitions of some 48 MB, or as many as there are cores: a stage's files are as few as its input's size asks for."""
+    spark = docs.sparkSession
+    return docs.coalesce(common.partitions_for(spark, common.input_bytes(docs), 48 << 20))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the compression classifier doesn't reject. It learns from labelled documents of this stage's input.
 
@@ -36,7 +42,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     docs, back = apart(docs)
     model = classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return classifier.score_quality(docs, model).where(F.col("_score") >= LEAST_SCORE).select(*back)
+    return classifier.score_quality(merged(docs), model).where(F.col("_score") >= LEAST_SCORE).select(*back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +62,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = keyed.join(chosen.join(light, ["_u", "_d", "_h"]), ["_u", "_d", "_h", "_x"])
     once = rows.where("_n = 1").select(*back)
     kept = once.unionAll(rows.where("_n > 1").select(*back).dropDuplicates())
-    return kept.coalesce(common.partitions_for(spark, common.input_bytes(docs), 16 << 20))  # the files of few rows are few
+    return kept.coalesce(common.partitions_for(spark, common.input_bytes(docs), 48 << 20))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +71,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and empty texts hold none; repeated rows are judged alike; an empty table stays empty.
     """
     docs, back = apart(docs)
-    marked = clean.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    marked = clean.decontaminate(merged(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return marked.where("_n_hit = 0").select(*back)
 
 
