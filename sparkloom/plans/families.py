@@ -14,13 +14,26 @@ from .registry import register
 
 _AT = "TIMESTAMP_NTZ'2024-02-29 12:34:56.789'"
 
-sql(
+def _times(name: str, others: str, times: str, text: str, oracle: str) -> None:
+    """A query whose ``times`` are shown as text to the microsecond."""
+    shown = lambda f: ", ".join(f.format(c=c.strip()) for c in times.split(","))
+    sql(
+        name, f"SELECT {others}, " + shown("date_format({c}, 'yyyy-MM-dd HH:mm:ss.SSSSSS') AS {c}") + f" FROM ({text}) shown",
+        f"SELECT {others}, " + shown("strftime(CAST({c} AS TIMESTAMP), '%Y-%m-%d %H:%M:%S.%f') AS {c}") + f" FROM ({oracle}) shown",
+    )
+
+
+_times(
     "fn_time_build",
+    "event_id",
+    "t, d, md, mt",
     "SELECT event_id, time_date(2024, CAST(event_id % 12 + 1 AS INT), CAST(event_id % 28 + 1 AS INT), CAST(event_id % 24 AS INT), 5, 6.5D) AS t, time_date(2024, 2, 29) AS d, make_date(2024, CAST(event_id % 12 + 1 AS INT), 3) AS md, make_timestamp_ntz(2024, 1, 2, 3, 4, 5) AS mt FROM events",
     "SELECT event_id, make_timestamp(2024, event_id % 12 + 1, event_id % 28 + 1, event_id % 24, 5, 6.5) AS t, TIMESTAMP '2024-02-29' AS d, make_date(2024, event_id % 12 + 1, 3) AS md, TIMESTAMP '2024-01-02 03:04:05' AS mt FROM events",
 )
-sql(
+_times(
     "fn_time_epochs",
+    "event_id, s, ms, us, ns, sub",
+    "a, b, c, d",
     "SELECT event_id, time_to_unix(ts) AS s, time_to_milli(ts) AS ms, time_to_micro(ts) AS us, time_to_nano(ts) AS ns, time_get_nano(ts) AS sub, time_unix(time_to_unix(ts)) AS a, time_milli(time_to_milli(ts)) AS b, time_micro(time_to_micro(ts)) AS c, time_nano(time_to_nano(ts)) AS d FROM events",
     "SELECT event_id, CAST(floor(epoch_us(ts) / 1e6) AS BIGINT) AS s, epoch_us(ts) // 1000 AS ms, epoch_us(ts) AS us, epoch_us(ts) * 1000 AS ns, epoch_us(ts) % 1000000 * 1000 AS sub, date_trunc('second', ts) AS a, date_trunc('millisecond', ts) AS b, ts AS c, ts AS d FROM events",
 )
@@ -34,18 +47,24 @@ sql(
     "SELECT event_id, time_after(ts, u) AS a, time_before(ts, u) AS b, time_equal(ts, u) AS e, time_compare(ts, u) AS c FROM (SELECT event_id, ts, TIMESTAMP_NTZ'2024-01-15 00:00:00' AS u FROM events) x",
     "SELECT event_id, ts > u AS a, ts < u AS b, ts = u AS e, CAST(CASE WHEN ts < u THEN -1 WHEN ts > u THEN 1 ELSE 0 END AS INT) AS c FROM (SELECT event_id, ts, TIMESTAMP '2024-01-15' AS u FROM events) x",
 )
-sql(
+_times(
     "fn_durations",
+    "event_id, small, s",
+    "a, b, f, r",
     "SELECT event_id, dur_ns() + dur_us() + dur_ms() AS small, time_add(ts, 90 * dur_m()) AS a, time_add(ts, -dur_h()) AS b, time_sub(ts, TIMESTAMP_NTZ'2024-01-01 00:00:00') AS s, time_floor(ts, 15 * dur_m()) AS f, time_round(ts, 10 * dur_s()) AS r FROM events",
     "SELECT event_id, CAST(1001001 AS BIGINT) AS small, ts + INTERVAL 90 MINUTE AS a, ts - INTERVAL 1 HOUR AS b, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) * 1000 AS s, time_bucket(INTERVAL 15 MINUTE, ts) AS f, make_timestamp((epoch_us(ts) + 5000000) // 10000000 * 10000000) AS r FROM events",
 )
-sql(
+_times(
     "fn_time_add_date",
+    "o_orderkey",
+    "y, m, d",
     "SELECT o_orderkey, time_add_date(t, 1) AS y, time_add_date(t, 0, 1) AS m, time_add_date(t, -1, -1, 10) AS d FROM (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP_NTZ) AS t FROM orders) x",
     "SELECT o_orderkey, t + INTERVAL 1 YEAR AS y, t + INTERVAL 1 MONTH AS m, t - INTERVAL 1 YEAR - INTERVAL 1 MONTH + INTERVAL 10 DAY AS d FROM (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS t FROM orders) x",
 )
-sql(
+_times(
     "fn_time_trunc_field",
+    "event_id",
+    "de, q, w, h",
     "SELECT event_id, time_trunc_field(ts, 'decade') AS de, time_trunc_field(ts, 'quarter') AS q, time_trunc_field(ts, 'week') AS w, time_trunc_field(ts, 'hour') AS h FROM events",
     "SELECT event_id, date_trunc('decade', ts) AS de, CAST(date_trunc('quarter', ts) AS TIMESTAMP) AS q, CAST(date_trunc('week', ts) AS TIMESTAMP) AS w, date_trunc('hour', ts) AS h FROM events".replace("date_trunc('decade', ts)", "CAST(date_trunc('decade', ts) AS TIMESTAMP)"),
 )
@@ -59,8 +78,10 @@ sql(
     f"SELECT time_fmt_iso({_AT}) AS a, time_fmt_iso(TIMESTAMP_NTZ'2024-02-29 12:34:56', 5400) AS b, time_fmt_iso(TIMESTAMP_NTZ'2024-02-29 12:34:56', -3600) AS c",
     "SELECT '2024-02-29T12:34:56.789000000Z' AS a, '2024-02-29T14:04:56+01:30' AS b, '2024-02-29T11:34:56-01:00' AS c",
 )
-sql(
+_times(
     "fn_time_parse",
+    "x",
+    "t",
     "SELECT x, time_parse(x) AS t FROM VALUES ('2024-02-29T12:00:00+02:00'), ('2024-02-29T12:00:00Z'), ('2024-02-29 01:02:03'), ('2024-02-29'), ('nonsense'), (NULL) AS v(x)",
     "SELECT * FROM (VALUES ('2024-02-29T12:00:00+02:00', TIMESTAMP '2024-02-29 10:00:00'), ('2024-02-29T12:00:00Z', TIMESTAMP '2024-02-29 12:00:00'), ('2024-02-29 01:02:03', TIMESTAMP '2024-02-29 01:02:03'), ('2024-02-29', TIMESTAMP '2024-02-29'), ('nonsense', NULL), (NULL, NULL)) v(x, t)",
 )
@@ -198,7 +219,7 @@ def _run(spark, sf_dir: str, *statements: str):
     return out
 
 
-@register("ddl_and_dml_text", "SELECT * FROM (VALUES (1, 'one!', 10.0, 'n'), (3, 'three', 30.0, 'n'), (4, NULL, 7.5, 'n'), (9, 'ten', 7.5, 'n')) t(id, label, price, note)")
+@register("ddl_and_dml_text", "SELECT CAST(id AS BIGINT) AS id, label, CAST(price AS DOUBLE) AS price, note FROM (VALUES (1, 'one!', 10.0, 'n'), (3, 'three', 30.0, 'n'), (4, NULL, 7.5, 'n'), (9, 'ten', 7.5, 'n')) t(id, label, price, note)")
 def statements(spark, sf_dir):
     """CREATE TABLE, INSERT, UPDATE, DELETE and ALTER TABLE as text."""
     return _run(
@@ -219,7 +240,7 @@ def counters(spark, sf_dir):
     return dialect.sql(spark, f"SELECT changes() AS c, total_changes() - {before} AS t, last_insert_rowid() AS r")
 
 
-@register("insert_returning", "SELECT n_nationkey * 2 AS d, n_name FROM nation WHERE n_regionkey = 1")
+@register("insert_returning", "SELECT CAST(n_nationkey * 2 AS BIGINT) AS d, n_name FROM nation WHERE n_regionkey = 1")
 def insert_returning(spark, sf_dir):
     return _run(spark, sf_dir, "DROP TABLE IF EXISTS taken", "CREATE TABLE taken (k INTEGER, n_name TEXT)", "INSERT INTO taken SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1 RETURNING k * 2 AS d, n_name")
 
@@ -264,7 +285,7 @@ sql("map_values", "SELECT n_nationkey, map('k', n_nationkey, 'r', n_regionkey)['
 sql("table_sample", "SELECT count(*) BETWEEN 0 AND (SELECT count(*) FROM orders) AS ok FROM orders TABLESAMPLE (30 PERCENT) REPEATABLE (7)", "SELECT true AS ok")
 
 
-@register("ddl_index_text", "SELECT * FROM (VALUES (3, 'c'), (2, 'b')) t(id, v)")
+@register("ddl_index_text", "SELECT CAST(id AS BIGINT) AS id, v FROM (VALUES (3, 'c'), (2, 'b')) t(id, v)")
 def index_text(spark, sf_dir):
     """CREATE INDEX, REINDEX and DROP INDEX: a seek on an indexed table."""
     return _run(
@@ -340,7 +361,7 @@ def copy_text(spark, sf_dir):
     return catalog.copy_text(spark, path, "n_nationkey long, n_name string, none string")
 
 
-@register("vacuum_into", "SELECT count(*) AS n, sum(o_orderkey) AS s FROM orders")
+@register("vacuum_into", "SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS s FROM orders")
 def vacuum(spark, sf_dir):
     """A table rewritten in files of a fitting size."""
     from ..operators import maintenance

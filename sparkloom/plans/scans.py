@@ -60,7 +60,7 @@ def division(spark, sf_dir):
     return t.select("l_orderkey", "l_linenumber", C.divide(F.col("l_orderkey"), by, integers=True).alias("q"), C.modulo(F.col("l_orderkey"), by).alias("r"), F.round(C.divide(F.col("l_tax"), F.col("l_discount")), 6).alias("f"))
 
 
-@register("overflow_to_real", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'BIGINT', '2', CAST(NULL AS DOUBLE)), (9007199254740992, 'BIGINT', '9007199254740993', NULL), (9223372036854775806, 'BIGINT', '9223372036854775807', NULL), (9223372036854775807, 'DOUBLE', NULL, 9223372036854775808.0)) t(x, kind, i, r)")
+@register("overflow_to_real", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'BIGINT', '2', CAST(NULL AS DOUBLE)), (9007199254740992, 'BIGINT', '9007199254740993', NULL), (9223372036854775806, 'BIGINT', '9223372036854775807', NULL), (9223372036854775807, 'DOUBLE', NULL, CAST(9223372036854775808.0 AS DOUBLE))) t(x, kind, i, r)")
 def overflow(spark, sf_dir):
     """Integer addition stays an integer, to the last digit, unless it overflows: then it goes on as REAL."""
     t = spark.sql("SELECT x, x AS y FROM VALUES (1L), (9007199254740992L), (9223372036854775806L), (9223372036854775807L) AS t(x)")

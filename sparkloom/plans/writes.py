@@ -248,3 +248,29 @@ def tumbling(spark, sf_dir):
 
 sql("stream_sliding_batch", "SELECT unix_seconds(w.start) AS w, count(*) AS n FROM (SELECT window(CAST(ts AS TIMESTAMP), '2 hours', '1 hour') AS w FROM events) x GROUP BY w", "SELECT CAST(w AS BIGINT) AS w, count(*) AS n FROM (SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts)) - 3600 * unnest([0, 1]) AS w FROM events) t GROUP BY w")
 sql("stream_session_batch", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id, session_window(CAST(ts AS TIMESTAMP), '30 minutes')", "SELECT user_id, count(*) AS n FROM (SELECT user_id, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events) a) b GROUP BY user_id, g")
+
+
+def _stream(spark, sf_dir: str, windowed, *columns):
+    """An append stream over the events: what the watermark, a day behind, has passed."""
+    source = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = folder(spark, "stream")
+    source.coalesce(1).write.parquet(f"{out}/in")
+    rows = spark.readStream.schema(source.schema).parquet(f"{out}/in").withWatermark("ts", "1 day")
+    counts = windowed(rows).select(*columns)
+    counts.writeStream.outputMode("append").format("parquet").option("path", f"{out}/now").option("checkpointLocation", f"{out}/c").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/now")
+
+
+_PASSED = "(SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 DAY"
+
+
+@register("stream_sliding", f"SELECT CAST(epoch(w) AS BIGINT) AS w, count(*) AS n FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) - to_hours(unnest([0, 1])) AS w FROM events) t WHERE w + INTERVAL 2 HOUR <= {_PASSED} GROUP BY w")
+def sliding(spark, sf_dir):
+    """Windows of two hours that begin each hour, over a stream."""
+    return _stream(spark, sf_dir, lambda rows: rows.groupBy(F.window("ts", "2 hours", "1 hour")).agg(F.count(F.lit(1)).alias("n")), F.unix_seconds("window.start").alias("w"), "n")
+
+
+@register("stream_session", f"SELECT user_id, count(*) AS n FROM (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events) a) b GROUP BY user_id, g HAVING max(ts) + INTERVAL 30 MINUTE <= {_PASSED}")
+def sessions(spark, sf_dir):
+    """Sessions of a user that half an hour without an event ends, over a stream."""
+    return _stream(spark, sf_dir, lambda rows: rows.groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count(F.lit(1)).alias("n")), "user_id", "n")
