@@ -33,13 +33,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path under ``spark.checkpoint.dir``; a local session may use one of its machine."""
+    """A path for a new folder under ``spark.checkpoint.dir``, deleted when the application ends; a local session may use its machine's."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    parent = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{top.rstrip('/')}/sparkloom-{uuid.uuid4().hex}")
+    fs = parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(parent)
+    fs.deleteOnExit(parent)
+    return f"{parent}/{name}"
 
 
 _shipped: set[str] = set()
