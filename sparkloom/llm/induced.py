@@ -104,8 +104,7 @@ def _names(text: np.ndarray, small: np.ndarray, lms: np.ndarray, depth: int) ->
     length = np.append(np.diff(lms) + 1, 1)
     bits = (2 * int(text.max(initial=0)) + 1).bit_length()
     per = max(1, 60 // bits)
-    name, sub = np.zeros(len(lms), np.int64), np.zeros(len(lms), np.int64)
-    active = np.arange(len(lms))
+    name, active = np.zeros(len(lms), np.int64), np.arange(len(lms))  # how many are less, as far as they were looked at
     for done in range(0, depth, per):
         active = active[length[active] > done]
         if not len(active):
@@ -115,17 +114,19 @@ def _names(text: np.ndarray, small: np.ndarray, lms: np.ndarray, depth: int) ->
             at = np.minimum(lms[active] + q, n - 1)
             code = np.where(length[active] > q, text[at].astype(np.int64) * 2 + small[at], 0)
             key = key << bits | code
-        r = np.unique(key, return_inverse=True)[1]
-        if not done:
-            name[active] = r
-        else:
-            sub[active] = _pair(_pair(name[active], sub[active]), r) + 1
-    return _pair(name, sub)
-
-
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Ranks of pairs."""
-    return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
+        name[active] = _refined(name[active], key)
+    return _dense(name)
+
+
+def _refined(name: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Names told apart by keys. Each counts those that are less, so that names elsewhere, which aren't looked at any more, keep their order."""
+    order = np.lexsort((key, name))
+    a, b = name[order], key[order]
+    other = np.concatenate([[True], a[1:] != a[:-1]])
+    at = np.arange(len(order))
+    out = np.empty(len(order), np.int64)
+    out[order] = a + np.maximum.accumulate(np.where(other | np.concatenate([[True], b[1:] != b[:-1]]), at, 0)) - np.maximum.accumulate(np.where(other, at, 0))
+    return out
 
 
 def _dense(key: np.ndarray) -> np.ndarray:

@@ -120,6 +120,28 @@ def test_induced_sorting(symbols, spill):
         assert n == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([1, 200, 255]), st.integers(1, 25)), min_size=40, max_size=60))
+def test_runs_of_many_lengths(runs):
+    """Substrings between leftmost S positions that begin alike, and end in different rounds of naming."""
+    text = np.append(np.repeat(*np.array(runs).T), 0).astype(np.uint8)
+    order, common = induced.suffix_sort(text, 50)
+    keys = [tuple(text[i : i + 50].tolist()) for i in order]
+    assert sorted(order.tolist()) == list(range(len(text))) and keys == sorted(keys)
+    reduced = induced.reduced_sort(text.astype(np.int64) * 300, 50, 1 << 20, None)
+    assert [tuple(text[i : i + 50].tolist()) for i in reduced] == keys
+
+
+def test_rules_and_blanks_of_many_lengths(spark, frame):
+    """Lines of one character and indents, whose lengths differ, beside passages that documents share."""
+    rng = np.random.default_rng(4)
+    part = lambda: [chr(rng.integers(97, 100)) * int(rng.integers(1, 70)), " " * int(rng.integers(1, 30)), "zyxwvutsrqponmlkji"[: rng.integers(1, 18)], "".join(map(chr, rng.integers(97, 123, 12)))][rng.integers(0, 4)]
+    shared = ["".join(part() for _ in range(12)) for _ in range(20)]
+    rows = [(d, "".join(shared[rng.integers(0, 20)] if rng.random() < 0.3 else part() for _ in range(25))) for d in range(60)]
+    got = {r.doc_id: (r.n_units, r.n_removed, r.n_spans, r.kept_sha256) for r in induced.suffix_dedup(frame(rows)).collect()}
+    assert got == induced.brute(rows)
+
+
 def test_long_texts_are_cut_into_pieces(monkeypatch):
     monkeypatch.setattr(repeats, "PIECE", 64)
     monkeypatch.setattr(repeats, "LONGEST", 16)
