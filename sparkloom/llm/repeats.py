@@ -173,12 +173,16 @@ def _keys(kind: Kind):
     return run
 
 
-_INSTANCES = "tid long, d long, start long, n long, key long, c long"
+_INSTANCES = "tid long, d long, start long, n long, key long, c long, more array<long>"
 
 
 def _instances(kind: Kind):
-    """Of batches (tid, d, text, keys, hot): the segments with these keys, by place and hash of content; those of hot keys window by window."""
-    shape = pa.schema([(c, pa.int64()) for c in ("tid", "d", "start", "n", "key", "c")])
+    """Of batches (tid, d, text, keys, hot): the segments with these keys, by place and hash of content; those of hot keys window by window.
+
+    A window that comes up many times in a text (runs and periodic lines have few different ones) is one row,
+    with its first place and the ``more`` ones.
+    """
+    shape = pa.schema([*((c, pa.int64()) for c in ("tid", "d", "start", "n", "key", "c")), ("more", pa.list_(pa.int64()))])
     salt = np.uint64(0xA0761D6478BD642F)
 
     def chosen(lists, i: int, j: int, rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -208,10 +212,23 @@ def _instances(kind: Kind):
                     if not len(rows):
                         continue
                     c = u.hashes(starts, n)
-                    keys = np.where(hot, mix(c + salt), keys)
+                    keys = np.where(hot, mix(c + keys * salt), keys)  # with c it still tells the key: 128 bits
                     at = starts - u.first[rows]
+                    counts, more = np.ones(len(rows), np.int64), at[:0]
+                    if hot.any():
+                        # the others first, each alone; then the windows of hot keys by text and content, by place
+                        alone = np.flatnonzero(~hot)
+                        order = np.flatnonzero(hot)
+                        order = order[np.lexsort((at[order], keys[order], c[order], rows[order]))]
+                        new = np.ones(len(order), bool)
+                        new[1:] = (rows[order[1:]] != rows[order[:-1]]) | (c[order[1:]] != c[order[:-1]]) | (keys[order[1:]] != keys[order[:-1]])
+                        firsts, more = np.flatnonzero(new), at[order[~new]]
+                        counts = np.concatenate([counts[alone], np.diff(np.append(firsts, len(order)))])
+                        on = np.concatenate([alone, order[firsts]])
+                        rows, at, n, keys, c = rows[on], at[on], n[on], keys[on], c[on]
                     columns = (tids[i + rows], ds[i + rows], at, n.astype(np.int64), keys.view(np.int64), c.view(np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=shape)
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts - 1)]).astype(np.int32)), pa.array(more, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in columns), lists], schema=shape)
 
     return run
 
@@ -381,10 +398,16 @@ def _ranges(made: DataFrame, decided: DataFrame, kind: Kind) -> DataFrame:
     """
     first = [F.col("d").alias("fd"), *([F.col("start").alias("fs")] if kind.own else [])]
     found = made.join(decided.select("key", "c", *first, F.when(F.size("runs") > 0, F.col("runs")).alias("runs")), ["key", "c"])
-    later = "d > fd or (d = fd and start > fs)" if kind.own else "d > fd"
-    pairs = F.transform(F.sequence(F.lit(0), (F.size("runs") / 2).cast("int") - 1), lambda i: F.struct((F.col("start") + F.get("runs", 2 * i)).alias("at"), F.get("runs", 2 * i + 1).alias("n")))
-    all_of = F.array(F.struct(F.col("start").alias("at"), F.col("n").alias("n")))
-    found = found.withColumn("r", F.when(F.expr(later), all_of).when(F.size("runs") > 0, pairs)).where("r is not null")
+    starts, whole = F.concat(F.array("start"), "more"), lambda at: F.struct(at.alias("at"), F.col("n").alias("n"))
+
+    def each(at: Column) -> Column:
+        """Of a content's place in its first document."""
+        pairs = F.transform(F.sequence(F.lit(0), (F.size("runs") / 2).cast("int") - 1), lambda i: F.struct((at + F.get("runs", 2 * i)).alias("at"), F.get("runs", 2 * i + 1).alias("n")))
+        pairs = F.when(F.size("runs") > 0, pairs).otherwise(F.array().cast("array<struct<at:bigint,n:bigint>>"))
+        return F.when(at > F.col("fs"), F.array(whole(at))).otherwise(pairs) if kind.own else pairs
+
+    found = found.where("d > fd or size(runs) > 0" + " or d = fd and (start > fs or size(more) > 0)" * kind.own)
+    found = found.withColumn("r", F.when(F.expr("d > fd"), F.transform(starts, whole)).otherwise(F.flatten(F.transform(starts, each))))
     return found.groupBy("tid").agg(F.flatten(F.collect_list("r")).alias("removed"))
 
 

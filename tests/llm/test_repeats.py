@@ -179,6 +179,22 @@ def test_a_key_is_hot_by_its_segments(spark, frame, monkeypatch):
     assert all(r.hot for r in repeats._wanted(docs, kind).collect())
 
 
+def test_windows_of_a_hot_key_are_one_row_a_text(spark, frame, monkeypatch):
+    """Periodic lines of many lengths: the few different windows of each text are joined, not each place of them."""
+    monkeypatch.setattr(repeats, "HOT", 50)
+    rows = [(d, f"w{d} " * (d % 3) + "la li lu " * (300 + 7 * d) + f"end {d}") for d in range(30)]
+    for module, call, names, kind in (
+        (fmindex, fmindex.substring_dedup, ("n_units", "n_removed", "kept_sha256"), Kind("word", 20, 5, True)),
+        (induced, induced.suffix_dedup, ("n_units", "n_removed", "n_spans", "kept_sha256"), Kind("byte", 50, 20, False)),
+    ):
+        docs = frame(rows).selectExpr("doc_id", "doc_id AS d", "doc_id AS tid", "text")
+        made = docs.select("tid", "d", "text").join(repeats._wanted(docs, kind), "tid").mapInArrow(repeats._instances(kind), repeats._INSTANCES).where("n = 1")
+        places = made.selectExpr("count(*) AS n", "sum(1 + size(more)) AS places").first()
+        assert places.places > 30 * 800 and places.n < 30 * 40
+        got = {r.doc_id: tuple(r[c] for c in names) for r in call(frame(rows)).collect()}
+        assert got == module.brute(rows)
+
+
 def test_texts_with_one_hash_are_told_apart(spark, frame, odd, monkeypatch):
     """A hash that all texts share: a second one keeps them apart."""
     rows = odd + odd[:2]
